@@ -2,36 +2,24 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import save  # noqa: F401  (for the operators)
+
+
 #: A word is a run of anything but these seven ASCII characters.
 SPACES = "\t\n\x0b\x0c\r "
 WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names.  Only where that is unset (tests) a local folder is made."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="kbquarry-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/kbquarry/{name}-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a new scratch table and read it back: cuts the lineage, survives lost executors, runs the plan once."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,8 +53,42 @@ class HashCache(dict):
         return h
 
 
-_TRIM = re.compile(r"\s+")
-
-
-def one_line(text: str) -> str:
-    return _TRIM.sub(" ", text).strip()
+def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[dict[str, np.ndarray]]:
+    """Runs of rows with equal keys, as arrays by column, from batches that are sorted by these keys (no null keys)."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(table: pa.Table) -> Iterator[dict[str, np.ndarray]]:
+        columns = {n: table.column(n).combine_chunks() for n in table.column_names}
+        values = {n: c.to_numpy(zero_copy_only=False) for n, c in columns.items()}
+        change = np.zeros(max(table.num_rows - 1, 0), bool)
+        for k in keys:
+            change |= values[k][1:] != values[k][:-1]
+        edges = [0, *(np.nonzero(change)[0] + 1).tolist(), table.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield {n: v[a:b] for n, v in values.items()}
+
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tail = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys)
+        head = tuple(batch.column(k)[0].as_py() for k in keys)
+        if held and head != last:
+            yield from cut(pa.Table.from_batches(held))
+            held = []
+        if held and tail == last:
+            held.append(batch)
+            continue
+        held.append(batch)
+        whole = pa.Table.from_batches(held)
+        stop = whole.num_rows
+        columns = [whole.column(k).to_numpy() for k in keys]
+        same = np.ones(stop, bool)
+        for c, v in zip(columns, tail, strict=True):
+            same &= c == v
+        start = stop - int(same[::-1].argmin()) if not same.all() else 0
+        if start:
+            yield from cut(whole.slice(0, start))
+        held, last = whole.slice(start).to_batches(), tail
+    if held:
+        yield from cut(pa.Table.from_batches(held))

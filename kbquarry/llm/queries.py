@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, line_dedup, packing, quality_rules, sql, toxicity, url_filter
+from . import ann, bpe, line_dedup, minhash, packing, quality_rules, sql, toxicity, url_filter
 from .common import table
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -54,5 +54,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_url_filter, op4_line_dedup, op5_toxicity, op7_quality, op8_ann, op9_packing)}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_url_filter, op4_line_dedup, op5_toxicity, op7_quality, op8_ann, op9_packing, op10_minhash)}
 SQL: dict[str, str] = {"op3_url_filter": sql.OP3, "op4_line_dedup": sql.OP4, "op7_quality": sql.OP7}
