@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, line_dedup, minhash, packing, quality_rules, sql, toxicity, url_filter
+from . import ann, bpe, line_dedup, minhash, packing, quality_rules, sql, substring_dedup, toxicity, url_filter
 from .common import table
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 MIN_SITES, MAX_SHARE = 10, 0.5
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -58,5 +63,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_url_filter, op4_line_dedup, op5_toxicity, op7_quality, op8_ann, op9_packing, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_url_filter, op4_line_dedup, op5_toxicity, op7_quality, op8_ann, op9_packing, op10_minhash)}
 SQL: dict[str, str] = {"op3_url_filter": sql.OP3, "op4_line_dedup": sql.OP4, "op7_quality": sql.OP7}
