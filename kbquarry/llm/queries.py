@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, line_dedup, minhash, packing, quality_rules, sql, substring_dedup, toxicity, url_filter
+from . import ann, bpe, line_dedup, maxent_lm, minhash, packing, quality_rules, sql, substring_dedup, toxicity, url_filter
 from .common import table
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -44,6 +44,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_matches")
 
 
+def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
+    held_out = F.coalesce(remainder == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (~held_out).alias("train"))
+    found = maxent_lm.score_texts(docs, domain="lang")
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality_rules.quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -63,5 +71,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_url_filter, op4_line_dedup, op5_toxicity, op7_quality, op8_ann, op9_packing, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_url_filter, op4_line_dedup, op5_toxicity, op6_maxent_lm, op7_quality, op8_ann, op9_packing, op10_minhash)}
 SQL: dict[str, str] = {"op3_url_filter": sql.OP3, "op4_line_dedup": sql.OP4, "op7_quality": sql.OP7}
