@@ -1,8 +1,9 @@
 """Near-duplicate documents by MinHash, with sequential Bayesian verification.
 
-1. Each text gives its set of word shingles, two hashes of the whole set, band keys of a MinHash signature and the low
-   byte of each signature value (the sketch).  Documents with equal sets are linked at once and go on as one.
-2. Band keys that several sets share are buckets.  Within a bucket the sketches of a pair are compared batch by batch:
+1. Each text gives its set of word shingles, two hashes of the whole set and band keys of a MinHash signature.  Documents
+   with equal sets are linked at once and go on as one.
+2. Band keys that several sets share are buckets.  Their members get sketches: a byte each of further signature values,
+   which the bands don't know, so that estimates are unbiased.  Sketches of a pair are compared batch by batch:
    after n values, m of them equal, the pair is dropped if P(similarity >= threshold | m of n) is under ``miss``.  With
    a uniform prior that is P(Bin(n + 1, threshold) <= m).
 3. First each bucket is covered by stars: the first member and its survivors, then the first of the others, and so on:
@@ -35,10 +36,10 @@ from ..components import connected_components
 from . import bpe
 from .common import HashCache, groups, save
 
-BANDS, ROWS, BATCH = 25, 4, 20
+BANDS, ROWS, BATCH, SKETCH = 25, 4, 50, 400
 _RNG = np.random.default_rng(20240607)
-_MULTIPLY = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_FLIP = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
+_MULTIPLY = _RNG.integers(0, 1 << 64, BANDS * ROWS + SKETCH, dtype=np.uint64) | np.uint64(1)
+_FLIP = _RNG.integers(0, 1 << 64, BANDS * ROWS + SKETCH, dtype=np.uint64)
 _PRIME, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -61,48 +62,60 @@ def shingle_set(text: str | None, cache: HashCache, size: int) -> np.ndarray:
     return np.unique(s)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(len(_MULTIPLY), np.iinfo(np.uint64).max, np.uint64)
+def signature(shingles: np.ndarray, which: slice) -> np.ndarray:
+    multiply, flip = _MULTIPLY[which], _FLIP[which]
+    low = np.full(len(multiply), np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for a in range(0, len(shingles), 512):
-            np.minimum(low, ((shingles[a : a + 512, None] ^ _FLIP) * _MULTIPLY).min(axis=0), out=low)
+            np.minimum(low, ((shingles[a : a + 512, None] ^ flip) * multiply).min(axis=0), out=low)
     return low
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (of the set; null if empty), keys, sketch."""
+    """doc_id, n_shingles, h1, h2 (of the set; null if empty), keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, powers = HashCache(), _PRIME ** np.arange(ROWS, dtype=np.uint64)
         for whole in batches:
             for batch in bpe.slices(whole, "text"):
-                n, h, keys, sketches = [], [], [], []
+                n, h, keys = [], [], []
                 for text in batch.column("text").to_pylist():
                     s = shingle_set(text, cache, size)
                     n.append(len(s))
                     if not len(s):
-                        h.append((None, None)), keys.append(None), sketches.append(None)
+                        h.append((None, None)), keys.append(None)
                         continue
                     d = xxhash.xxh3_128_intdigest(s.tobytes())
                     h.append(tuple(int(v) for v in np.array([d & (1 << 64) - 1, d >> 64], np.uint64).view(np.int64)))
-                    low = signature(s)
+                    low = signature(s, slice(0, BANDS * ROWS))
                     with np.errstate(over="ignore"):
                         k = ((low.reshape(BANDS, ROWS) * powers).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)) * _MIX
                     keys.append((k ^ (k >> np.uint64(31))).view(np.int64))
-                    sketches.append((low >> np.uint64(56)).astype(np.uint8).tobytes())
                 h1, h2 = zip(*h, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                    ["doc_id", "n_shingles", "h1", "h2", "keys", "sketch"],
+                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "h1", "h2", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
+
+
+def sketches(texts: DataFrame, size: int) -> DataFrame:
+    """doc, sketch of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = HashCache()
+        for batch in batches:
+            out = [(signature(shingle_set(t, cache, size), slice(BANDS * ROWS, None)) >> np.uint64(56)).astype(np.uint8).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc", "sketch"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc long, sketch binary")
 
 
 def needed_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
     """(values compared, matches needed to go on) after each batch."""
     out = []
-    for n in range(BATCH, BANDS * ROWS + 1, BATCH):
+    for n in range(BATCH, SKETCH + 1, BATCH):
         tail, m = 0.0, -1
         while True:
             tail += comb(n + 1, m + 1) * threshold ** (m + 1) * (1 - threshold) ** (n - m)
@@ -204,31 +217,31 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, per_star
     return rows.select("a", "part", "doc", "text").repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, miss: float = 1e-5, block: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, miss: float = 2e-5, block: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id linked, directly or not), kept (doc_id = component_id)."""
     needed = needed_matches(percent / 100, miss)
     sigs = save(signatures(docs, size), "signatures")
     sets = sigs.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"))
     sets = save(sets, "sets")
-    own = sigs.select("doc_id", "h1", "h2", "keys", "sketch").join(sets.withColumnRenamed("doc", "doc_id"), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"])
+    own = sigs.select("doc_id", "h1", "h2", "keys").join(sets.withColumnRenamed("doc", "doc_id"), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"])
     banded = own.select(F.col("doc_id").alias("doc"), F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    found = banded.join(shared, "key").select("key", "doc", "n")
-    buckets = save(found.join(own.select(F.col("doc_id").alias("doc"), "sketch"), "doc"), "buckets")
+    buckets = save(banded.join(shared, "key").select("key", "doc", "n"), "buckets")
     # texts of members only, kept as a table: the verifications read no other
     texts = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(buckets.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    drawn = save(sketches(texts, size), "sketches")
 
     parts = F.ceil(F.col("n") / block)
     part = F.pmod(F.xxhash64("doc"), parts)
     several = F.when(F.pmod(F.xxhash64("doc", F.lit(5)), F.col("n")) < 64, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(part))
-    first = buckets.select("key", "doc", "sketch", F.explode(F.when(F.col("n") > block, several).otherwise(F.array(F.lit(0).cast("long")))).alias("part"))
+    first = buckets.join(drawn, "doc").select("key", "doc", "sketch", F.explode(F.when(F.col("n") > block, several).otherwise(F.array(F.lit(0).cast("long")))).alias("part"))
     tested = save(_pairs(first.withColumn("comp", F.lit(0).cast("long")), needed, 0), "pairs").select("a", "b")
     links = save(verify(tested, texts, size, percent), "links")
     comps, most = connected_components(links), 8
     while True:
         member = buckets.join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
         mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        member = member.join(mixed, "key")
+        member = member.join(mixed, "key").join(drawn, "doc")
         # of large buckets every two blocks meet; part = lower block * 2^24 + higher block
         meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(j, part) * (1 << 24) + F.greatest(j, part))
         dealt = member.select("key", "doc", "sketch", "comp", F.explode(F.when(F.col("n") > block, meets).otherwise(F.array(F.lit(0).cast("long")))).alias("part"))
