@@ -3,7 +3,8 @@
 1. Each text's anchors are the minimizers of its 8-word grams: every window of 35 words holds one, and equal windows hold
    the same one at the same place.  Only anchors whose hash occurs twice in the corpus can lie in a repeated window.
 2. The passage of an anchor is all that windows around it can cover (62 words).  Equal passages are counted and go on as
-   one with their number as weight, so copies cost no more than one of them.
+   one with their number as weight, so copies cost no more than one of them.  Where an anchor has one passage only, that
+   weight is the answer for all its windows.
 3. Passages are dealt to shards by anchor.  A shard is indexed (FM-index over a wavelet matrix), its passages are
    streamed through backward search, and window starts whose string has a weight of two or more are reported.  The
    anchor's first word has a symbol of its own, so that overlapping passages of one text don't count each other.
@@ -18,6 +19,7 @@ rows without an id take part like all others; further columns are kept only wher
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -121,7 +123,7 @@ def search_shard(rows: list[dict[str, np.ndarray]], window: int, cache: HashCach
     split = [w.split(b" ") for w in words.tolist()]
     size = np.array([len(w) for w in split])
     begin = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
-    hashes = np.fromiter((cache[w] for own in split for w in own), np.uint64, int(size.sum()))
+    hashes = np.fromiter(map(cache.__getitem__, chain.from_iterable(split)), np.uint64, int(size.sum()))
     _, symbol = np.unique(hashes, return_inverse=True)
     text = np.zeros(int((size + 1).sum()), np.int64)
     inside = np.ones(len(text), bool)
@@ -212,18 +214,23 @@ def remove_repeats(docs: DataFrame, window: int = 35, keep: tuple[str, ...] = ()
     rid = F.coalesce(F.col("doc_id").cast("long"), -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
     keyed = docs.select(*dict.fromkeys(["doc_id", *keep, "text"]), rid.alias("rid"))
     found = save(anchors(keyed, window), "anchors")
-    twice = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    twice = save(found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "twice")  # a table: the join's sides can then be split where skewed
     found = save(found.join(twice, "anchor").select("rid", "at", "anchor", "passage"), "repeated-anchors")
     passages = found.groupBy("passage").agg(F.min(F.struct("rid", "at", "anchor")).alias("one"), F.count("*").alias("n"))
     passages = save(passages.select("passage", "one.rid", "one.at", "one.anchor", "n"), "passages")
-    crowded = save(passages.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("anchor"), "hot-anchors")
-    cut = _cut(keyed, passages, window)
-    shards = max(1, -(-passages.count() // per_index))
+    kinds = save(passages.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor-kinds")
+    passages = save(passages.join(kinds, "anchor"), "passages-by-kind")
+    alone = passages.where("kinds = 1").select("passage", F.lit((1 << (window - GRAM + 1)) - 1).cast("long").alias("mask"))
+    varied = passages.where("kinds > 1")
+    cut = _cut(keyed, varied.select("rid", "at", "anchor", "passage", "n"), window)
+    shards = max(1, -(-varied.count() // per_index))
+    crowded = kinds.where(F.col("kinds") > hot).select("anchor")
     if crowded.isEmpty():
         masks = _searched(cut, shards, window, per_index)
     else:
         cut = save(cut, "passage-words")
         masks = _searched(cut.join(crowded, "anchor", "left_anti"), shards, window, per_index).unionByName(_counted(cut.join(crowded, "anchor", "left_semi"), window))
+    masks = masks.unionByName(alone)
     masks = save(masks, "masks")
     placed = found.select("rid", "at", "passage").join(masks, "passage").select("rid", "at", "mask")
     return _remove(keyed, placed, window, ["doc_id", *keep])
