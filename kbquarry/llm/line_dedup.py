@@ -21,43 +21,40 @@ from .common import ascii_lower, save
 LG_K, BAND = 10, 0.2
 
 
-def line_key(line: Column) -> Column:
-    """128 bits of the line without outer white space, A-Z folded; null without a word."""
-    bare = ascii_lower(F.regexp_replace(line, "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", ""))
-    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(1), bare).alias("b")))
+def line_keys(text: Column) -> Column:
+    """128 bits of each line without outer white space, A-Z folded; null for lines without a word.  Every line is trimmed and
+    folded once: two steps, since a lambda evaluates what it names as often as it names it."""
+    bare = F.transform(F.split(text, "\n", -1), lambda x: ascii_lower(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))))
+    return F.transform(bare, lambda x: F.when(F.length(x) > 0, F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))))
 
 
-def _keys(text: Column) -> Column:
-    return F.transform(F.split(text, "\n", -1), line_key)
-
-
-def boilerplate(docs: DataFrame, min_sites: int, site: str = "source") -> DataFrame:
-    """(a, b) of the lines on at least ``min_sites`` distinct sites."""
-    rows = docs.select(F.coalesce(F.xxhash64(F.col(site)), F.lit(0)).alias("site"), F.explode(F.array_distinct(_keys(F.col("text")))).alias("k"))
-    rows = rows.where(F.col("k").isNotNull()).select("site", "k.a", "k.b")
+def boilerplate(rows: DataFrame, min_sites: int) -> DataFrame:
+    """(a, b) of the lines on at least ``min_sites`` distinct sites, from ``rows`` (site, a, b)."""
     sketches = rows.groupBy("a", "b").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
     known = save(sketches.select("a", "b", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites - max(2, BAND * min_sites)), "line-spread")
     near = known.where(F.col("sites") <= min_sites + max(2, BAND * min_sites)).select("a", "b")
-    exact = rows.join(near, ["a", "b"], "left_semi").distinct().groupBy("a", "b").agg(F.count("*").alias("sites"))
+    exact = rows.join(near, ["a", "b"], "left_semi").select("a", "b", "site").distinct().groupBy("a", "b").agg(F.count("*").alias("sites"))
     far = known.where(F.col("sites") > min_sites + max(2, BAND * min_sites))
     return save(far.select("a", "b").unionByName(exact.where(F.col("sites") >= min_sites).select("a", "b")), "boilerplate")
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10, max_share: float = 0.5, site: str = "source") -> DataFrame:
     """``docs`` with its text cleaned, plus n_lines and n_removed (long; null text: 0)."""
-    found = boilerplate(docs.select("text", site), min_sites, site)
-    rows = docs.select("doc_id", F.explode(F.array_distinct(_keys(F.col("text")))).alias("k")).where(F.col("k").isNotNull()).select("doc_id", "k.a", "k.b")
+    where = F.coalesce(F.xxhash64(F.col(site)), F.lit(0)).alias("site")
+    rows = docs.select("doc_id", where, F.explode(F.array_distinct(line_keys(F.col("text")))).alias("k")).where(F.col("k").isNotNull())
+    rows = save(rows.select("doc_id", "site", "k.a", "k.b"), "line-keys")  # texts are split and hashed once for all that follows
+    found = boilerplate(rows, min_sites)
     own = rows.join(found, ["a", "b"], "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("_bad"))
-    joined = docs.join(own, "doc_id", "left").select(*[docs[c] for c in docs.columns], F.col("_bad"))
-    lines = F.split(F.col("text"), "\n", -1)
-    stay = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_bad"), line_key(x)), F.lit(False)))
-    clean = F.array_join(stay, "\n")
-    shared = F.length("text") - F.length(clean)
-    takes = F.col("_bad").isNotNull() & (F.size(stay) < F.size(lines)) & (shared <= max_share * F.length("text"))
-    cleaned = joined.select(
-        *[c for c in docs.columns if c != "text"],
-        F.when(takes, clean).otherwise(F.col("text")).alias("text"),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(takes, F.size(lines) - F.size(stay)).otherwise(0).cast("long").alias("n_removed"),
+    joined = docs.join(own, "doc_id", "left").select(*[docs[c] for c in docs.columns], F.col("_bad"), F.split(docs["text"], "\n", -1).alias("_lines"))
+    pairs = F.arrays_zip(F.col("_lines").alias("x"), line_keys(F.col("text")).alias("k"))
+    stay = F.filter(pairs, lambda p: ~F.coalesce(F.array_contains(F.col("_bad"), p["k"]), F.lit(False)))
+    stay = F.when(F.col("_bad").isNotNull(), F.transform(stay, lambda p: p["x"]))
+    step = joined.withColumn("_stay", stay).withColumn("_clean", F.array_join("_stay", "\n"))
+    shared = F.length("text") - F.length("_clean")
+    takes = F.coalesce((F.size("_stay") < F.size("_lines")) & (shared <= max_share * F.length("text")), F.lit(False)) & F.col("_bad").isNotNull()
+    text = F.when(takes, F.col("_clean")).otherwise(F.col("text")).alias("text")
+    return step.select(
+        *[text if c == "text" else F.col(c) for c in docs.columns],
+        F.when(F.col("text").isNotNull(), F.size("_lines")).otherwise(0).cast("long").alias("n_lines"),
+        F.when(takes, F.size("_lines") - F.size("_stay")).otherwise(0).cast("long").alias("n_removed"),
     )
-    return cleaned.select(*docs.columns, "n_lines", "n_removed")
