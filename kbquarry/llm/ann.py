@@ -52,12 +52,12 @@ class Tree:
 
     def _grow(self, x: np.ndarray, branch: int, leaf_size: int, rng: np.random.Generator) -> int:
         centres = _kmeans(x, branch, rng) if len(x) > leaf_size else x[:0]
-        if len(centres) < 2:
+        own = np.argmax(x @ centres.T, axis=1) if len(centres) > 1 else np.zeros(len(x), int)
+        if len(np.unique(own)) < 2:  # few vectors, or equal ones that no centre parts
             self.leaves += 1
             return -self.leaves
         at = len(self.nodes)
         self.nodes.append((centres, []))
-        own = np.argmax(x @ centres.T, axis=1)
         children = [self._grow(x[own == j], branch, leaf_size, rng) for j in range(len(centres))]
         self.nodes[at] = (centres, children)
         return at
