@@ -217,6 +217,17 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, per_star
     return rows.select("a", "part", "doc", "text").repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(run, "a long, b long")
 
 
+def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links: only the components that these links join are worked on."""
+    at = [comps.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in "ab"]
+    ends = links.select("a", "b").join(at[0], "a", "left").join(at[1], "b", "left")
+    joined = connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    moved = comps.join(joined, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    alone = joined.join(comps.select(F.col("node").alias("component")), "component", "left_anti")
+    return save(moved.unionByName(alone.select(F.col("component").alias("node"), F.col("now").alias("component"))), "components")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, miss: float = 2e-5, block: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id linked, directly or not), kept (doc_id = component_id)."""
     needed = needed_matches(percent / 100, miss)
@@ -255,8 +266,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, miss: flo
         more = save(verify(new, texts, size, percent), "links")
         tested, most = tested.unionByName(new), most * 8
         if not more.isEmpty():
-            links = links.unionByName(more)
-            comps = connected_components(links)
+            comps = _merge(comps, more)
     by_set = sets.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("h1", "h2", F.coalesce("component", "doc").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", "h1", "h2").join(by_set, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
