@@ -139,24 +139,30 @@ def library_encoder(path: str, pattern: str) -> Encoder:
     return _LOADED[key]
 
 
-def _pieces(path: str) -> list[bytes]:
+def _pieces(path: str) -> pa.Array:
     if (key := ("pieces", path)) not in _LOADED:
         ranks = load_ranks(path)
-        _LOADED[key] = [b""] * (max(ranks.values()) + 1)
+        pieces = [b""] * (max(ranks.values()) + 1)
         for piece, i in ranks.items():
-            _LOADED[key][i] = piece
+            pieces[i] = piece
+        _LOADED[key] = pa.array(pieces, pa.binary())
     return _LOADED[key]
 
 
+def _cuts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``most`` in all, one row at least."""
+    sums, start = np.cumsum(sizes), 0
+    while start < len(sums):
+        stop = max(start + 1, int(np.searchsorted(sums, (sums[start - 1] if start else 0) + most, "right")))
+        yield start, stop
+        start = stop
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``most`` bytes of text, one row at least: long texts don't pile up."""
-    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
-    start = 0
-    while start < batch.num_rows:
-        base = sizes[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(sizes, base + most, "right")))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    for start, stop in _cuts(sizes, most):
         yield batch.slice(start, stop - start)
-        start = stop
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -183,12 +189,18 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = _pieces(path).__getitem__
+        pieces = _pieces(path)
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
-                joined = [None if r is None else b"".join(map(piece, r)) for r in batch.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(joined, pa.binary())], [*names, out])
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(whole.column(ids)), 0), dtype=np.int64)
+            for start, stop in _cuts(sizes, 2 << 20):
+                batch = whole.slice(start, stop - start)
+                # the pieces of all ids lie one after another: a row is the stretch from its first to its last
+                taken = pieces.take(batch.column(ids).flatten())
+                ends = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1, taken.offset * 4) if len(taken) else np.zeros(1, np.int32)
+                at = ends[np.concatenate([[0], np.cumsum(sizes[start:stop])])]
+                joined = pa.Array.from_buffers(pa.binary(), stop - start, [None, pa.py_buffer(at), taken.buffers()[2] or pa.py_buffer(b"")])
+                joined = pc.if_else(pc.is_valid(batch.column(ids)), joined, pa.scalar(None, pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), joined], [*names, out])
 
     return coded.select(*names).mapInArrow(run, T.StructType([*kept, T.StructField(out, T.BinaryType())]))
 
