@@ -9,8 +9,8 @@
 3. First each bucket is covered by stars: the first member and its survivors, then the first of the others, and so on:
    at most one pair per member.  Survivors are verified on full sets, and links give components.
 4. Then buckets that hold several components give survivors between these (the likeliest first, some for each member
-   and component, eight times as many each round), until no untested one is left.  Pairs within a component are never
-   needed.
+   and component in the first two rounds, then all), until a round that has all of them adds no link.  Pairs within a
+   component are never needed.
 5. Buckets of over ``block`` members are dealt to blocks, in the first round with some members of the bucket in each;
    what of them still holds several components is compared block against block.
 
@@ -37,6 +37,7 @@ from . import bpe
 from .common import HashCache, groups, save
 
 BANDS, ROWS, BATCH, SKETCH = 25, 4, 50, 400
+ALL = 1 << 62
 _RNG = np.random.default_rng(20240607)
 _MULTIPLY = _RNG.integers(0, 1 << 64, BANDS * ROWS + SKETCH, dtype=np.uint64) | np.uint64(1)
 _FLIP = _RNG.integers(0, 1 << 64, BANDS * ROWS + SKETCH, dtype=np.uint64)
@@ -257,14 +258,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, miss: flo
         meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(j, part) * (1 << 24) + F.greatest(j, part))
         dealt = member.select("key", "doc", "sketch", "comp", F.explode(F.when(F.col("n") > block, meets).otherwise(F.array(F.lit(0).cast("long")))).alias("part"))
         pairs = save(_pairs(dealt, needed, most), "pairs")
+        whole = pairs.where("more").isEmpty()
         new = save(pairs.join(tested, ["a", "b"], "left_anti").select("a", "b"), "new-pairs")
-        if new.isEmpty():
-            if pairs.where("more").isEmpty():
-                break
-            most *= 8
-            continue
         more = save(verify(new, texts, size, percent), "links")
-        tested, most = tested.unionByName(new), most * 8
+        if whole and more.isEmpty():
+            break
+        tested, most = tested.unionByName(new), most * 8 if most < 64 else ALL
         if not more.isEmpty():
             comps = _merge(comps, more)
     by_set = sets.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("h1", "h2", F.coalesce("component", "doc").alias("component_id"))
