@@ -25,7 +25,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def read_entity_markdown(spark: SparkSession, path: str) -> DataFrame:
     """S3: front matter of plain ``key: value`` lines and lists, and the body; files without it are dropped"""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     parts = F.split(F.col("value"), "(?m)^---\\s*$", 3)
     rows = raw.where(F.size(parts) == 3).select("path", parts[1].alias("front"), F.trim(parts[2]).alias("body"))
     pairs = F.transform(F.regexp_extract_all("front", F.lit(r"(?m)^(\w+):[ \t]*(.*)$"), 0), lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(1)).alias("k"), F.trim(F.regexp_replace(x, r"^\w+:", "")).alias("v")))
@@ -49,7 +49,7 @@ def render_markdown() -> Column:
 
 def read_work_items(spark: SparkSession, path: str, most: int = 2000) -> DataFrame:
     """S9"""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{md,txt}").text(path).select(F.trim("value").alias("t"), F.col("_metadata.file_name").alias("f")).where("t <> ''")
+    raw = spark.read.option("pathGlobFilter", "*.{md,txt}").text(path, wholetext=True).select(F.trim("value").alias("t"), F.col("_metadata.file_name").alias("f")).where("t <> ''")
     topic = F.substring(F.trim(F.regexp_replace(F.split("t", "\n")[0], "#", "")), 1, 50)
     text = F.when(F.length("t") > most, F.concat(F.substring("t", 1, most), F.lit("\n[truncated]"))).otherwise(F.col("t"))
     return raw.select(text.alias("question"), F.lit("work-item").alias("source"), F.regexp_replace("f", r"\.\w+$", "").alias("source_file"), topic.alias("topic"))

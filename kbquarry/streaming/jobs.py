@@ -33,3 +33,16 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     spark, path = stream.sparkSession, scratch_path(stream.sparkSession, name)
     stream.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
+
+
+def fold_batches(stream: DataFrame, key: str, **folds) -> DataFrame:
+    """Every batch is folded by itself and written under its number, so that a batch that runs again replaces its own
+    part; the folded parts give the table."""
+    spark, path = stream.sparkSession, scratch_path(stream.sparkSession, "folded")
+    fold = lambda df: df.groupBy(key).agg(*[f(c).alias(c) for c, f in folds.items()])
+
+    def merge(batch: DataFrame, number: int) -> None:
+        fold(batch).write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return fold(spark.read.schema(stream.schema).parquet(f"{path}/data"))
