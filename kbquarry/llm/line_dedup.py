@@ -2,12 +2,15 @@
 
 Each line hash gets a HyperLogLog sketch of its sites; sketches merge by aggregation, map side first.  Estimates far
 from the threshold decide; lines near it get exact distinct counts.  Lines on ``min_sites`` sites or more are
-boilerplate and go from every document of which they are at most ``max_share`` of the characters.  A document that is
-made of shared lines for the larger part is a copy, not boilerplate: it is left whole for near-duplicate removal.
+candidates.  They are counted again with copies of one document as one site (the smallest of those with the line): exact
+copies by the hash of the text; and among the documents of which candidates are over ``max_share`` of the characters, copies by
+their shingles, as near-duplicate removal counts them.  Lines that still have ``min_sites`` sites are boilerplate and go
+from every document that keeps a line of its own; a document of nothing but boilerplate is left whole.
 
 Defined cases: a null text stays null; lines without a word are kept and never counted; a null site is a site of its own;
 repeated rows and repeated lines count once per site; an empty table gives an empty table; lines of any length are
-hashed whole (128 bits); ties can't occur.  Further columns are kept.
+hashed whole (128 bits); rows are known by a hash of id and text, so that null ids are cleaned too; ties can't occur.
+Further columns are kept.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..components import connected_components
+from . import minhash
 from .common import ascii_lower, save
 
 #: log2 of a sketch's registers, and the band around the threshold in which exact counts decide: six deviations.
@@ -38,21 +43,52 @@ def boilerplate(rows: DataFrame, min_sites: int) -> DataFrame:
     return save(far.select("a", "b").unionByName(exact.where(F.col("sites") >= min_sites).select("a", "b")), "boilerplate")
 
 
+def copies(texts: DataFrame, size: int = 5, percent: int = 75, miss: float = 2e-5, block: int = 4096) -> DataFrame:
+    """(node, component) of the texts (doc_id, text) that have a near duplicate: each member of a MinHash bucket is compared
+    with the stars of its bucket, at most one pair a member, and pairs are verified on full sets."""
+    sigs = save(minhash.signatures(texts, size), "copy-signatures").where("h1 is not null")
+    banded = sigs.select(F.col("doc_id").alias("doc"), F.explode("keys").alias("key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = save(banded.join(shared, "key").select("key", "doc", "n"), "copy-buckets")
+    members = save(texts.join(buckets.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "copy-texts")
+    parts = F.ceil(F.col("n") / block)
+    several = F.when(F.pmod(F.xxhash64("doc", F.lit(5)), F.col("n")) < 64, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), parts)))
+    part = F.explode(F.when(F.col("n") > block, several).otherwise(F.array(F.lit(0).cast("long")))).alias("part")
+    dealt = buckets.join(minhash.sketches(members, size), "doc").select("key", "doc", "sketch", part, F.lit(0).cast("long").alias("comp"))
+    pairs = save(minhash._pairs(dealt, minhash.needed_matches(percent / 100, miss), 0).select("a", "b"), "copy-pairs")
+    return connected_components(save(minhash.verify(pairs, members, size, percent), "copy-links"))
+
+
+def independent(docs: DataFrame, shared: DataFrame, min_sites: int, max_share: float) -> DataFrame:
+    """(a, b) of the candidate lines ``shared`` (r1, r2, t, total, size, site, a, b) on ``min_sites`` sites or more, copies as one."""
+    share = shared.groupBy("r1", "r2", "t", "total").agg(F.sum(F.col("size") + 1).alias("size"))
+    suspects = save(share.where(F.col("size") > max_share * F.col("total")).select("t").distinct(), "suspects")
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text").join(suspects.withColumnRenamed("t", "doc_id"), "doc_id", "left_semi")
+    found = copies(save(texts.groupBy("doc_id").agg(F.first("text").alias("text")), "suspect-texts"))
+    homes = shared.groupBy("a", "b", "t").agg(F.min("site").alias("site"))
+    homes = homes.join(found.withColumnRenamed("node", "t"), "t", "left").groupBy("a", "b", F.coalesce("component", "t").alias("copy")).agg(F.min("site").alias("site"))
+    counts = homes.select("a", "b", "site").distinct().groupBy("a", "b").agg(F.count("*").alias("sites"))
+    return save(counts.where(F.col("sites") >= min_sites).select("a", "b"), "independent")
+
+
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10, max_share: float = 0.5, site: str = "source") -> DataFrame:
     """``docs`` with its text cleaned, plus n_lines and n_removed (long; null text: 0)."""
     where = F.coalesce(F.xxhash64(F.col(site)), F.lit(0)).alias("site")
-    rows = docs.select("doc_id", where, F.explode(F.array_distinct(line_keys(F.col("text")))).alias("k")).where(F.col("k").isNotNull())
-    rows = save(rows.select("doc_id", "site", "k.a", "k.b"), "line-keys")  # texts are split and hashed once for all that follows
-    found = boilerplate(rows, min_sites)
-    own = rows.join(found, ["a", "b"], "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("_bad"))
-    joined = docs.join(own, "doc_id", "left").select(*[docs[c] for c in docs.columns], F.col("_bad"), F.split(docs["text"], "\n", -1).alias("_lines"))
+    row = [F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("r2")]  # never null
+    sized = F.arrays_zip(line_keys(F.col("text")).alias("k"), F.transform(F.split("text", "\n", -1), lambda x: F.length(x)).alias("n"))
+    rows = docs.select(*row, F.xxhash64("text").alias("t"), F.length("text").alias("total"), where, F.explode(sized).alias("x")).where(F.col("x.k").isNotNull())
+    rows = save(rows.select("r1", "r2", "t", "total", "site", "x.k.a", "x.k.b", F.col("x.n").alias("size")), "line-keys")  # texts are split and hashed once for all that follows
+    shared = save(rows.join(boilerplate(rows, min_sites), ["a", "b"], "left_semi"), "shared-lines")
+    found = independent(docs, shared, min_sites, max_share)
+    own = shared.join(found, ["a", "b"], "left_semi").groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "b")).alias("_bad"))
+    keyed = docs.select(*docs.columns, *row)
+    joined = keyed.join(own, ["r1", "r2"], "left").select(*docs.columns, "_bad", F.split("text", "\n", -1).alias("_lines"))
     pairs = F.arrays_zip(F.col("_lines").alias("x"), line_keys(F.col("text")).alias("k"))
     stay = F.filter(pairs, lambda p: ~F.coalesce(F.array_contains(F.col("_bad"), p["k"]), F.lit(False)))
-    stay = F.when(F.col("_bad").isNotNull(), F.transform(stay, lambda p: p["x"]))
-    step = joined.withColumn("_stay", stay).withColumn("_clean", F.array_join("_stay", "\n"))
-    shared = F.length("text") - F.length("_clean")
-    takes = F.coalesce((F.size("_stay") < F.size("_lines")) & (shared <= max_share * F.length("text")), F.lit(False)) & F.col("_bad").isNotNull()
-    text = F.when(takes, F.col("_clean")).otherwise(F.col("text")).alias("text")
+    step = joined.withColumn("_stay", F.when(F.col("_bad").isNotNull(), stay))
+    takes = F.coalesce((F.size("_stay") < F.size("_lines")) & F.exists("_stay", lambda p: p["k"].isNotNull()), F.lit(False)) & F.col("_bad").isNotNull()
+    clean = F.array_join(F.transform("_stay", lambda p: p["x"]), "\n")
+    text = F.when(takes, clean).otherwise(F.col("text")).alias("text")
     return step.select(
         *[text if c == "text" else F.col(c) for c in docs.columns],
         F.when(F.col("text").isNotNull(), F.size("_lines")).otherwise(0).cast("long").alias("n_lines"),

@@ -68,6 +68,20 @@ def test_line_dedup(spark):
     assert got[50] == ("shared line here", 0) and got[51] == (None, 0) and got[52] == ("", 0)
 
 
+def test_line_dedup_cleans_thin_pages_and_spares_copies(spark):
+    footer = "\n".join(" ".join(words(12, 700 + k)) for k in range(3))
+    thin = [(i, f"{' '.join(words(20, 800 + i))}\n{footer}", f"s{i}") for i in range(12)] + [(None, f"no id at all\n{footer}", "s1")]
+    lines = [" ".join(words(30, 900 + k)) for k in range(8)]
+    near = [(100 + i, "\n".join([*lines, f"edit {i}"]), f"s{i}") for i in range(12)]
+    exact = [(200 + i, "one text\nwith two lines", f"s{i}") for i in range(12)] + [(300, "one text\nand its own", "s3")]
+    rows = thin + near + exact
+    found = line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), 10, 0.5).collect()
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in found}
+    assert len(found) == len(rows)
+    assert all(got[i] == (t.split("\n")[0], 3) for i, t, _ in thin)
+    assert all(got[i] == (t, 0) for i, t, _ in near + exact)
+
+
 def test_toxicity_learns_words_stems_and_folds(spark):
     rng = random.Random(1)
     rows, labels = [], []
