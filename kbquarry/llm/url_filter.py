@@ -6,8 +6,9 @@ rates follow a beta distribution around the level above, whose strength comes fr
 blocked if the lower bound of its posterior bad rate is over ``block_over``.
 
 Defined cases: a null url, or one without "://", has an empty host and path and the verdict of the pooled rate; null
-outcomes are no labels; hosts without labels are allowed (their posterior is too wide to block); with no labels at all
-the prior is 0.5 with strength 2.  Repeated rows count as often as they occur.  An empty table gives an empty table.
+outcomes are no labels; a host without labels has the bound that its domain's rate gives for no outcomes, else its suffix's,
+else the pooled rate's, which is drawn to 0.5 with strength 2 and no surer than its own labels; with no labels at all that
+is 0.5 with strength 2.  Repeated rows count as often as they occur.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -58,8 +59,9 @@ def beta_prior(groups: DataFrame) -> tuple[float, float]:
     return p, (1 - rho) / rho
 
 
-def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """Posterior by host from ``outcomes`` (host, bad): host, n, k, mean, lower (mean - z posterior deviations)."""
+def reputation(outcomes: DataFrame, z: float = 1.645, others: DataFrame | None = None) -> DataFrame:
+    """Posterior by host from ``outcomes`` (host, bad): host, n, k, mean, lower (mean - z posterior deviations).  Hosts of
+    ``others`` (host) without labels come with n = k = 0."""
     hosts = outcomes.where(F.col("bad").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("k"))
     domain, suffix = domains(F.col("host"))
     hosts = save(hosts.select("host", "n", "k", domain.alias("domain"), suffix.alias("suffix")), "hosts")
@@ -69,9 +71,19 @@ def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     n, k = F.col("n"), F.col("k")
     suffixes = by_suffix.select("suffix", ((k + s_suffix * p) / (n + s_suffix)).alias("m_suffix"))
     names = by_domain.join(suffixes, "suffix").select("domain", ((k + s_domain * F.col("m_suffix")) / (n + s_domain)).alias("m_domain"))
-    a, b = k + s_host * F.col("m_domain"), n - k + s_host * (1 - F.col("m_domain"))
+    known = hosts.join(names, "domain").select("host", "n", "k", F.col("m_domain").alias("m"), F.lit(float(s_host)).alias("s"))
+    if others is not None:
+        # by host, not by page: a host's pages meet once
+        bare = others.select("host").distinct().join(hosts.select("host"), "host", "left_anti").select("host", domain.alias("domain"), suffix.alias("suffix"))
+        placed = bare.join(names, "domain", "left").join(suffixes, "suffix", "left")
+        t = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
+        near = F.coalesce("m_domain", "m_suffix")
+        strength = F.when(near.isNotNull(), float(s_host)).otherwise(float(min(s_host, t[0] + 2)))
+        none = F.lit(0).cast("long")
+        known = known.unionByName(placed.select("host", none.alias("n"), none.alias("k"), F.coalesce(near, F.lit((t[1] + 1) / (t[0] + 2))).alias("m"), strength.alias("s")))
+    a, b = k + F.col("s") * F.col("m"), n - k + F.col("s") * (1 - F.col("m"))
     mean = a / (a + b)
-    return hosts.join(names, "domain").select("host", "n", "k", mean.alias("mean"), (mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("lower"))
+    return known.select("host", "n", "k", mean.alias("mean"), (mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("lower"))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], block_over: float = 0.5) -> DataFrame:
@@ -80,10 +92,9 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, st
     host, path = host_and_path(F.col("url"))
     parts = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     labelled = parts.select("page_id", "host").join(outcomes.select("page_id", "bad"), "page_id")
-    known = reputation(labelled)
+    known = reputation(labelled, others=parts)
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    lower = F.coalesce(F.col("lower"), F.lit(0.0))  # a host without labels has too wide a posterior to be blocked
-    own = F.when(lower > block_over, "block").otherwise("allow")
+    own = F.when(F.col("lower") > block_over, "block").otherwise("allow")
     return parts.join(known.select("host", "mean", "lower"), "host", "left").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.col("mean").alias("bad_rate"), "lower"
     )

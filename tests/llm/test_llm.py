@@ -61,6 +61,17 @@ def test_url_rules_and_shrinkage(spark):
     assert lower["h0.bad.org"] > 0.5 > lower["h1.good.org"]
 
 
+def test_url_hosts_without_labels_follow_domain_and_suffix(spark):
+    hosts = [f"h{i % 4}.{d}" for d in ("bad.org", "good.org", "worse.zz", "evil.zz", "fine.aa") for i in range(80)]
+    bad = [not ("good" in h or "fine" in h) for h in hosts]
+    new = ["new.bad.org", "new.good.org", "new.unseen.zz", "new.unseen.aa", "new.unseen.qq"]
+    pages = spark.createDataFrame([(i, f"http://{h}/x") for i, h in enumerate(hosts + new)], "page_id long, url string")
+    got = url_filter.filter_urls(pages, spark.createDataFrame(list(enumerate(bad)), "page_id long, bad boolean"), []).collect()
+    verdict = {r["host"]: r["verdict"] for r in got}
+    assert len(got) == len(hosts) + len(new) and all(r["bad_rate"] is not None for r in got)
+    assert verdict["new.bad.org"] == "block" and verdict["new.good.org"] == verdict["new.unseen.aa"] == "allow"
+
+
 def test_line_dedup(spark):
     rows = [(i, f"own words of {i} and some more of them\nSHARED line here\n\nlast {i}", f"s{i}") for i in range(12)] + [(50, "shared line here", "s0"), (51, None, None), (52, "", "s1")]
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), 10, 0.5).collect()}
