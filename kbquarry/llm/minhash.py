@@ -1,24 +1,24 @@
 """Near-duplicate documents by MinHash, with sequential Bayesian verification.
 
-1. Each text gives its set of word shingles, two hashes of the whole set and band keys of a MinHash signature.  Documents
-   with equal sets are linked at once and go on as one.
-2. Band keys that several sets share are buckets.  Their members get sketches: a byte each of further signature values,
-   which the bands don't know, so that estimates are unbiased.  Sketches of a pair are compared batch by batch:
-   after n values, m of them equal, the pair is dropped if P(similarity >= threshold | m of n) is under ``miss``.  With
-   a uniform prior that is P(Bin(n + 1, threshold) <= m).
-3. First each bucket is covered by stars: the first member and its survivors, then the first of the others, and so on:
-   at most one pair per member.  Survivors are verified on full sets, and links give components.
-4. Then buckets that hold several components give survivors between these (the likeliest first, some for each member
-   and component in the first two rounds, then all), until a round that has all of them adds no link.  Pairs within a
-   component are never needed.
-5. Buckets of over ``block`` members are dealt to blocks, in the first round with some members of the bucket in each;
-   what of them still holds several components is compared block against block.
-
-With 25 bands of 4 values a pair at similarity 0.75 shares no band with a chance of 8e-5.
+1. Each text gives its set of word shingles, two hashes of the whole set and band keys of a MinHash signature.  Texts
+   with equal sets are linked at once and go on as one node, whatever their ids.
+2. Band keys that several nodes share are buckets; of buckets with the same members one is kept.  Members come with their
+   full set and a sketch: a byte each of further signature values, which the bands don't know, so that estimates are
+   unbiased.
+3. A bucket is settled in one task.  Sketches of a pair are compared batch by batch: after n values, m of them equal, the
+   pair is dropped if P(similarity >= threshold | m of n) is under ``miss``.  With a uniform prior that is
+   P(Bin(n + 1, threshold) <= m).  Survivors are verified on full sets.  Pairs that links already join are skipped, so
+   that a task gives fewer links than it has members.
+4. Buckets of over ``block`` members are dealt to blocks, with some members of the bucket in each.  Where such a bucket
+   still holds several components, members outside its largest one visit all its blocks; all pairs between components
+   are then tested.
+
+With 32 bands of 3 values a pair at similarity 0.75 shares no band with a chance of 2.4e-8; ``miss`` is 1e-7.
 
 Defined cases: null texts and texts without words have an empty set and no links; texts with fewer words than a shingle
-have one shingle; equal rows are linked by their equal sets; texts are taken whole; an empty table gives an empty table;
-further columns are ignored; rows without an id come back with a null component and are kept.
+have one shingle; equal rows are linked by their equal sets; rows that share an id but not their text are nodes of their
+own; texts are taken whole; an empty table gives an empty table; further columns are ignored.  Rows without an id take
+part: they get the smallest id of their component, and are kept only where it has none.
 """
 
 from __future__ import annotations
@@ -29,15 +29,14 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..components import connected_components
 from . import bpe
 from .common import HashCache, groups, save
 
-BANDS, ROWS, BATCH, SKETCH = 25, 4, 50, 400
-ALL = 1 << 62
+BANDS, ROWS, BATCH, SKETCH = 32, 3, 50, 400
 _RNG = np.random.default_rng(20240607)
 _MULTIPLY = _RNG.integers(0, 1 << 64, BANDS * ROWS + SKETCH, dtype=np.uint64) | np.uint64(1)
 _FLIP = _RNG.integers(0, 1 << 64, BANDS * ROWS + SKETCH, dtype=np.uint64)
@@ -72,8 +71,22 @@ def signature(shingles: np.ndarray, which: slice) -> np.ndarray:
     return low
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """A byte of each value, mixed first: minima of large sets all start with zeros."""
+    low = signature(shingles, slice(BANDS * ROWS, None))
+    with np.errstate(over="ignore"):
+        low = (low ^ (low >> np.uint64(31))) * _MIX
+    return (low >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def row_key() -> list[Column]:
+    """128 bits of a row's id and text, never null.  With the id, copies of a text have keys of their own."""
+    return [F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("r2")]
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (of the set; null if empty), keys."""
+    """rid (of the row), doc_id, r1, r2 (row_key()), n_shingles, h1, h2 (of the set; null if empty), keys."""
+    own = ["rid", "doc_id", "r1", "r2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, powers = HashCache(), _PRIME ** np.arange(ROWS, dtype=np.uint64)
@@ -94,23 +107,25 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     keys.append((k ^ (k >> np.uint64(31))).view(np.int64))
                 h1, h2 = zip(*h, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "h1", "h2", "keys"],
+                    [*(batch.column(c) for c in own), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                    [*own, "n_shingles", "h1", "h2", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), *row_key(), "text")
+    return rows.mapInArrow(run, "rid long, doc_id long, r1 long, r2 long, n_shingles long, h1 long, h2 long, keys array<long>")
 
 
-def sketches(texts: DataFrame, size: int) -> DataFrame:
-    """doc, sketch of each text."""
+def with_sets(texts: DataFrame, size: int) -> DataFrame:
+    """node, sketch, shingles of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
-        for batch in batches:
-            out = [(signature(shingle_set(t, cache, size), slice(BANDS * ROWS, None)) >> np.uint64(56)).astype(np.uint8).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc", "sketch"])
+        for whole in batches:
+            for batch in bpe.slices(whole, "text", 2 << 20):
+                sets = [shingle_set(t, cache, size) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "sketch", "shingles"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc long, sketch binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, sketch binary, shingles binary")
 
 
 def needed_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
@@ -127,146 +142,115 @@ def needed_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
     return out
 
 
-def survivors(one: np.ndarray, others: np.ndarray, needed: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Places and matches of the sketches that no batch prunes."""
-    live, matches = np.arange(len(others)), np.zeros(len(others), np.int64)
-    before = 0
+def survivors(one: np.ndarray, sketches: np.ndarray, live: np.ndarray, needed: list[tuple[int, int]]) -> np.ndarray:
+    """Those of the places ``live`` that no batch prunes."""
+    matches, before = np.zeros(len(live), np.int64), 0
     for n, least in needed:
-        matches = matches + (others[live, before:n] == one[before:n]).sum(axis=1)
+        matches = matches + (sketches[live, before:n] == one[before:n]).sum(axis=1)
         on = matches >= least
         live, matches, before = live[on], matches[on], n
         if not len(live):
             break
-    return live, matches
-
-
-def _cover(docs: np.ndarray, sketches: np.ndarray, needed) -> Iterator[tuple[int, int]]:
-    rest = np.arange(len(docs))
-    while len(rest) > 1:
-        c, others = rest[0], rest[1:]
-        hit, _ = survivors(sketches[c], sketches[others], needed)
-        for i in others[hit].tolist():
-            yield int(docs[c]), int(docs[i])
-        rest = np.delete(others, hit)
-
-
-def _across(docs: np.ndarray, sketches: np.ndarray, comps: np.ndarray, needed, most: int) -> Iterator[tuple[int, int, bool]]:
-    for i in range(len(docs) - 1):
-        others = np.nonzero(comps[i + 1 :] != comps[i])[0] + i + 1
+    return live
+
+
+def bucket_links(sketches: np.ndarray, sets: list[np.ndarray], comps: np.ndarray, home: np.ndarray, needed: list[tuple[int, int]], percent: int) -> Iterator[tuple[int, int]]:
+    """Places (i, j) of similar members that neither ``comps`` nor earlier links join.  Members are compared with those at
+    home: visitors with all of these, others with the ones behind them."""
+    size = np.array([len(s) for s in sets])
+    begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+    kinds, number = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, at_home = np.zeros(len(kinds), bool), np.nonzero(home)[0]
+    comps = np.unique(comps, return_inverse=True)[1]
+    for i in range(len(sets)):
+        others = at_home[np.searchsorted(at_home, i, "right") :] if home[i] else at_home
+        others = others[comps[others] != comps[i]]
+        if len(others):
+            others = survivors(sketches[i], sketches, others, needed)
         if not len(others):
             continue
-        hit, matches = survivors(sketches[i], sketches[others], needed)
-        found = others[hit]
-        order = np.lexsort((docs[found], -matches, comps[found]))
-        found = found[order]
-        place = np.arange(len(found)) - np.searchsorted(comps[found], comps[found], "left") if len(found) else found
-        cut = bool((place >= most).any())
-        for j in found[place < most].tolist():
-            yield int(docs[i]), int(docs[j]), cut
+        own = number[begin[i] : begin[i] + size[i]]
+        mark[own] = True
+        for part in np.array_split(others, -(-int(size[others].sum()) // 4_000_000)):
+            where = np.repeat(begin[part] - np.concatenate([[0], np.cumsum(size[part])])[:-1], size[part]) + np.arange(int(size[part].sum()))
+            both = np.add.reduceat(mark[number[where]], np.concatenate([[0], np.cumsum(size[part])])[:-1], dtype=np.int64)
+            for j in part[100 * both >= percent * (size[i] + size[part] - both)].tolist():
+                if comps[j] != comps[i]:
+                    comps[comps == comps[j]] = comps[i]
+                    yield i, j
+        mark[own] = False
 
 
-def _pairs(members: DataFrame, needed, most: int) -> DataFrame:
-    """Survivors of buckets (key, part, doc, comp, sketch): by stars if ``most`` is 0, else between components."""
+def _links(members: DataFrame, needed: list[tuple[int, int]], percent: int) -> DataFrame:
+    """Links (a, b) within the groups (key, part) of members (node, comp, home, sketch, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, bool]] = []
+        out: list[tuple[int, int]] = []
         for g in groups(batches, "key", "part"):
-            if len(g["doc"]) > 1:
-                docs, first = np.unique(g["doc"], return_index=True)
-                sketches = np.frombuffer(b"".join(g["sketch"][first].tolist()), np.uint8).reshape(len(docs), -1)
-                if most:
-                    out += _across(docs, sketches, g["comp"][first], needed, most)
-                else:
-                    out += [(*p, False) for p in _cover(docs, sketches, needed)]
+            if len(g["node"]) > 1:
+                sketches = np.frombuffer(b"".join(g["sketch"].tolist()), np.uint8).reshape(len(g["node"]), -1)
+                sets = [np.frombuffer(s, np.uint64) for s in g["shingles"].tolist()]
+                out += [(g["node"][i], g["node"][j]) for i, j in bucket_links(sketches, sets, g["comp"], g["home"].astype(bool), needed, percent)]
             if len(out) > 20_000:
-                yield _pair_batch(out)
+                yield _link_batch(out)
                 out = []
-        yield _pair_batch(out)
-
-    dealt = members.repartition("key", "part").sortWithinPartitions("key", "part")
-    found = dealt.mapInArrow(run, "a long, b long, more boolean")
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more"))
-
-
-def _pair_batch(rows: list) -> pa.RecordBatch:
-    a, b, more = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], ["a", "b", "more"])
+        yield _link_batch(out)
 
+    dealt = members.select("key", "part", "node", "comp", "home", "sketch", "shingles").repartition("key", "part").sortWithinPartitions("key", "part", "node")
+    return dealt.mapInArrow(run, "a long, b long")
 
-def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, per_star: int = 400) -> DataFrame:
-    """The pairs (a, b) that are similar on full sets.  A pair's text goes to its a; an a with many pairs is dealt to
-    several parts, each with its own copy of a's text."""
-    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_star).alias("parts"))
-    dealt = pairs.select("a", "b").join(stars, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-    wanted = dealt.select("a", "part", F.col("b").alias("doc")).unionByName(dealt.select("a", "part", F.col("a").alias("doc")).distinct())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, out = HashCache(), []
-        for g in groups(batches, "a", "part"):
-            at = int(np.nonzero(g["doc"] == g["a"][0])[0][0])
-            own = shingle_set(g["text"][at], cache, size)
-            for doc, text in zip(g["doc"].tolist(), g["text"], strict=True):
-                if doc != g["a"][0]:
-                    s = shingle_set(text, cache, size)
-                    both = len(np.intersect1d(own, s, assume_unique=True))
-                    if 100 * both >= percent * (len(own) + len(s) - both):
-                        out.append((int(g["a"][0]), int(doc)))
-        a, b = zip(*out, strict=True) if out else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _link_batch(rows: list) -> pa.RecordBatch:
+    a, b = zip(*rows, strict=True) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = wanted.join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
-    return rows.select("a", "part", "doc", "text").repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(run, "a long, b long")
 
+def _across_blocks(large: DataFrame, comps: DataFrame, drawn: DataFrame, block: int, needed: list[tuple[int, int]], percent: int) -> DataFrame:
+    """Links between components of ``large`` (key, node, parts): all blocks of a bucket are visited by the members outside
+    its largest component, in chunks."""
+    placed = large.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    counts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("major"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    placed = save(placed.join(mixed, "key").withColumn("chunks", F.ceil(F.col("others") / block)), "mixed-buckets")
+    part = lambda h, v: (h * (1 << 24) + v).alias("part")
+    own, chunk = F.pmod(F.xxhash64("node"), F.col("parts")), F.pmod(F.xxhash64("node", F.lit(9)), F.col("chunks"))
+    homes = placed.select("key", "node", "comp", F.lit(True).alias("home"), own.alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("v"))
+    visits = placed.where("comp <> major").select("key", "node", "comp", F.lit(False).alias("home"), chunk.alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("h"))
+    dealt = homes.unionByName(visits).select("key", "node", "comp", "home", part(F.col("h"), F.col("v")))
+    return _links(dealt.join(drawn, "node"), needed, percent)
 
-def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """Components (node, component) after further links: only the components that these links join are worked on."""
-    at = [comps.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in "ab"]
-    ends = links.select("a", "b").join(at[0], "a", "left").join(at[1], "b", "left")
-    joined = connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("now"))
-    moved = comps.join(joined, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
-    alone = joined.join(comps.select(F.col("node").alias("component")), "component", "left_anti")
-    return save(moved.unionByName(alone.select(F.col("component").alias("node"), F.col("now").alias("component"))), "components")
 
-
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, miss: float = 2e-5, block: int = 4096) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id linked, directly or not), kept (doc_id = component_id)."""
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, miss: float = 1e-7, block: int = 4096) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id linked, directly or not), kept (doc_id = component_id), and r1, r2
+    (row_key(), to find the row again)."""
     needed = needed_matches(percent / 100, miss)
     sigs = save(signatures(docs, size), "signatures")
-    sets = sigs.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"))
-    sets = save(sets, "sets")
-    own = sigs.select("doc_id", "h1", "h2", "keys").join(sets.withColumnRenamed("doc", "doc_id"), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"])
-    banded = own.select(F.col("doc_id").alias("doc"), F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = save(banded.join(shared, "key").select("key", "doc", "n"), "buckets")
-    # texts of members only, kept as a table: the verifications read no other
-    texts = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(buckets.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    drawn = save(sketches(texts, size), "sketches")
-
-    parts = F.ceil(F.col("n") / block)
-    part = F.pmod(F.xxhash64("doc"), parts)
-    several = F.when(F.pmod(F.xxhash64("doc", F.lit(5)), F.col("n")) < 64, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(part))
-    first = buckets.join(drawn, "doc").select("key", "doc", "sketch", F.explode(F.when(F.col("n") > block, several).otherwise(F.array(F.lit(0).cast("long")))).alias("part"))
-    tested = save(_pairs(first.withColumn("comp", F.lit(0).cast("long")), needed, 0), "pairs").select("a", "b")
-    links = save(verify(tested, texts, size, percent), "links")
-    comps, most = connected_components(links), 8
-    while True:
-        member = buckets.join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
-        mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        member = member.join(mixed, "key").join(drawn, "doc")
-        # of large buckets every two blocks meet; part = lower block * 2^24 + higher block
-        meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(j, part) * (1 << 24) + F.greatest(j, part))
-        dealt = member.select("key", "doc", "sketch", "comp", F.explode(F.when(F.col("n") > block, meets).otherwise(F.array(F.lit(0).cast("long")))).alias("part"))
-        pairs = save(_pairs(dealt, needed, most), "pairs")
-        whole = pairs.where("more").isEmpty()
-        new = save(pairs.join(tested, ["a", "b"], "left_anti").select("a", "b"), "new-pairs")
-        more = save(verify(new, texts, size, percent), "links")
-        if whole and more.isEmpty():
-            break
-        tested, most = tested.unionByName(new), most * 8 if most < 64 else ALL
+    sets = save(sigs.where("h1 is not null").groupBy("h1", "h2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least")), "sets")
+    own = sigs.select(F.col("rid").alias("node"), "n_shingles", "r1", "r2", "keys").join(sets.select("node"), "node", "left_semi")
+    banded = save(own.select("node", "n_shingles", F.explode("keys").alias("key")), "banded")
+    # of all keys with the same members (128 bits of them) the smallest stands for the others
+    members = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"m{k}") for k in (1, 2)]
+    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), *members).where("n > 1")
+    shared = shared.groupBy("n", "m1", "m2").agg(F.min("key").alias("key"), F.first("shingles").alias("shingles"))
+    parts = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("shingles") / (1000 * block)))
+    buckets = save(banded.select("node", "key").join(shared.select("key", "n", parts.alias("parts")), "key"), "buckets")
+    wanted = sigs.select(F.col("rid").alias("node"), "r1", "r2").join(buckets.select("node").distinct(), "node", "left_semi")
+    texts = docs.select(*row_key(), "text").join(wanted, ["r1", "r2"]).dropDuplicates(["node"])
+    drawn = save(with_sets(texts, size), "sketches")
+
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    several = F.when(F.pmod(F.xxhash64("node", F.lit(5)), F.col("n")) < 64, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(part))
+    first = buckets.select("key", "node", F.col("node").alias("comp"), F.lit(True).alias("home"), F.explode(several).alias("part"))
+    links = save(_links(first.join(drawn, "node"), needed, percent), "links")
+    comps = connected_components(links)
+    large = buckets.where("parts > 1").select("key", "node", "parts")
+    if not large.isEmpty():
+        more = save(_across_blocks(large, comps, drawn, block, needed, percent), "links")
         if not more.isEmpty():
-            comps = _merge(comps, more)
-    by_set = sets.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("h1", "h2", F.coalesce("component", "doc").alias("component_id"))
-    out = sigs.select("doc_id", "n_shingles", "h1", "h2").join(by_set, ["h1", "h2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+            comps = connected_components(links.unionByName(more))
+    placed = sets.join(comps, "node", "left").select("h1", "h2", "least", F.coalesce("component", "node").alias("component"))
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_set = placed.join(least, "component").select("h1", "h2", "component_id")
+    out = sigs.select("doc_id", "n_shingles", "r1", "r2", "h1", "h2").join(by_set, ["h1", "h2"], "left")
+    component = F.when(F.col("h1").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), component.isNull()).alias("kept"), "r1", "r2")

@@ -68,7 +68,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_url_filter, op4_line_dedup, op5_toxicity, op6_maxent_lm, op7_quality, op8_ann, op9_packing, op10_minhash)}
