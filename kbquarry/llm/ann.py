@@ -1,18 +1,21 @@
 """Approximate nearest neighbours by a hierarchical k-means tree.
 
-1. A tree is fitted on a bounded sample (``sample`` vectors, the only rows that reach the driver).  Its size doesn't grow
-   with the table, so it is small enough for every task.
+1. A tree of about ``leaves`` leaves is fitted on a bounded sample (``sample`` vectors, the only rows that reach the driver).
+   Its size doesn't grow with the table, so it is small enough for every task.
 2. Every vector of the table is put into the leaf that it reaches by best-first descent.
 3. A query walks the tree best bin first: a priority queue holds the open branches by their centre's nearness and gives
    the leaves in the order in which they are to be visited.
 4. How many leaves a query visits is calibrated: for a bounded set of queries the true neighbours are found by brute
-   force in blocks, and the visit list is widened until their recall reaches ``recall``.
-5. Queries meet the vectors of their leaves in tasks; leaves with many vectors are salted over several tasks, each with
-   the leaf's queries.  Every task gives its own best k, and a window picks the best of those.
+   force in blocks, and the visit list is widened until the recall of one half of them reaches ``recall``; the other half
+   measures it.
+5. Queries meet vectors in tiles: a region of the tree (a branch of its root) has its vectors dealt to parts of ``per_task``,
+   queries are dealt to chunks as large, and a query goes once to each part of a region in which it visits leaves.  A tile
+   compares leaf by leaf, gives every query's best k, and a window picks the best of those.
 
 Nearness is the cosine in double precision of the original components.  Defined cases: null, empty or zero vectors and
 such with null or non-finite components take no part (nor do vectors of another length than most); equal scores are
-ordered by the smaller id; repeated ids count as one row; an empty table gives an empty table.
+ordered by the smaller id; rows without an id take no part; repeated ids count as one row (the smallest vector); an empty
+table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,6 +78,18 @@ class Tree:
             todo += [(child, rows[own == j]) for j, child in enumerate(children) if (own == j).any()]
         return out
 
+    def regions(self) -> list[int]:
+        """The branch of the root that each leaf lies in."""
+        out = [0] * self.leaves
+        todo = [(child, i) for i, child in enumerate(self.nodes[self.root][1])] if self.root >= 0 else []
+        while todo:
+            node, region = todo.pop()
+            if node < 0:
+                out[-1 - node] = region
+            else:
+                todo += [(child, region) for child in self.nodes[node][1]]
+        return out
+
     def visit(self, q: np.ndarray, leaves: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
         """The first ``leaves`` leaves of best-bin-first traversal, and more until they hold ``least`` vectors."""
         queue, found, held = [(-2.0, self.root)], [], 0
@@ -110,17 +125,32 @@ def _best(ids: np.ndarray, x: np.ndarray, xn: np.ndarray, qid: int, q: np.ndarra
     rough = np.where(ids == qid, -np.inf, rough)
     top = k + 1
     cut = np.partition(rough, len(rough) - top)[len(rough) - top] if len(rough) > top else -np.inf
-    near = np.nonzero((rough >= cut - 1e-9) & (ids != qid))[0]
+    near = np.nonzero((rough >= cut - 1e-9) & (rough > -np.inf))[0]
     score = (x[near] * q).sum(axis=1) / (xn[near] * np.sqrt((q * q).sum()))
     order = np.lexsort((ids[near], -score))[:k]
     return [(qid, int(ids[near[i]]), float(score[i])) for i in order]
 
 
-def _block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
+def _block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, leaf: np.ndarray | None = None, visits: list | None = None) -> pd.DataFrame:
+    """The k best of the block for each query; with ``leaf`` and ``visits``, of the leaves that it visits."""
     xn = np.sqrt((x * x).sum(axis=1))
-    out = []
+    unit, out = x / xn[:, None], []
+    if leaf is not None:
+        order = np.argsort(leaf, kind="stable")
+        names, starts = np.unique(leaf[order], return_index=True)
+        columns = dict(zip(names.tolist(), np.split(order, starts[1:]), strict=True))
     for a in range(0, len(qids), 256):
-        rough = (q[a : a + 256] / np.linalg.norm(q[a : a + 256], axis=1, keepdims=True)) @ (x / xn[:, None]).T
+        asked = q[a : a + 256] / np.linalg.norm(q[a : a + 256], axis=1, keepdims=True)
+        if leaf is None:
+            rough = asked @ unit.T
+        else:
+            rough, going = np.full((len(asked), len(x)), -np.inf), {}
+            for j, own in enumerate(visits[a : a + 256]):
+                for name in own:
+                    going.setdefault(name, []).append(j)
+            for name, js in going.items():
+                if name in columns:
+                    rough[np.ix_(js, columns[name])] = asked[js] @ unit[columns[name]].T
         for j, row in enumerate(rough):
             out += _best(ids, x, xn, int(qids[a + j]), q[a + j], row, k)
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
@@ -142,16 +172,17 @@ def _brute(rows: DataFrame, qids: np.ndarray, q: np.ndarray, k: int) -> DataFram
     return _top(rows.mapInPandas(run, FOUND), k)
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = 0.97, sample: int = 20_000, branch: int = 8, leaf_size: int = 24, calibrate: int = 200, per_task: int = 20_000) -> tuple[DataFrame, dict]:
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = 0.94, sample: int = 20_000, branch: int = 8, leaves: int = 128, calibrate: int = 400, per_task: int = 20_000) -> tuple[DataFrame, dict]:
     """query_id, rank, vec_id, score of the k nearest found for each row of ``queries`` (vec_id of ``vectors``), and what
-    calibration found: leaves, visits, recall."""
+    calibration found: leaves, visits, recall (of the queries that it widened for), held_out (of the others)."""
     spark = vectors.sparkSession
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"), {"leaves": 0, "visits": 0, "recall": 1.0, "held_out": 1.0}
     rows = save(usable(vectors), "vectors")
     n = rows.count()
     if n < 2:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"), {"leaves": 0, "visits": 0, "recall": 1.0}
+        return none
     picked = rows.orderBy(F.xxhash64("vec_id")).limit(sample).toPandas() if n > sample else rows.toPandas()
-    tree = Tree(_unit(picked["embedding"].tolist()), branch, leaf_size)
+    tree = Tree(_unit(picked["embedding"].tolist()), branch, max(8, len(picked) // leaves))
     shared = spark.sparkContext.broadcast(tree)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,36 +193,50 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float
     placed = save(rows.mapInPandas(assign, "vec_id long, embedding array<double>, leaf long"), "leaves")
     sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # one row a leaf: bounded by the sample
 
-    # calibration: visits are widened until the recall of a bounded set of queries is reached
-    asked = rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
+    asked = save(rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi"), "queries")
     chosen = asked.orderBy(F.xxhash64("vec_id", F.lit(1))).limit(calibrate).toPandas()
     if not len(chosen):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"), {"leaves": tree.leaves, "visits": 0, "recall": 1.0}
+        return none
     q, qids = np.array(chosen["embedding"].tolist()), chosen["vec_id"].to_numpy()
     truth = _brute(rows, qids, q, k).join(placed.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").toPandas()
     order = {int(i): {leaf: at for at, leaf in enumerate(tree.visit(v / np.linalg.norm(v), tree.leaves))} for i, v in zip(qids, q, strict=True)}
-    needed = np.sort([order[a][b] + 1 for a, b in zip(truth["query_id"], truth["leaf"], strict=True)])
+    needed = np.array([order[a][b] + 1 for a, b in zip(truth["query_id"], truth["leaf"], strict=True)])
+    fitted = truth["query_id"].isin(qids[::2].tolist()).to_numpy()
     visits = 1
-    while visits < tree.leaves and (needed <= visits).mean() < recall:
-        visits = min(tree.leaves, visits + max(1, visits // 4))
-    report = {"leaves": tree.leaves, "visits": visits, "recall": float((needed <= visits).mean())}
+    while visits < tree.leaves and (needed[fitted] <= visits).mean() < recall:
+        visits = min(tree.leaves, visits + max(1, visits // 16))
+    found = lambda at: float((needed[at] <= visits).mean()) if at.any() else 1.0
+    report = {"leaves": tree.leaves, "visits": visits, "recall": found(fitted), "held_out": found(~fitted)}
+
+    region_of = tree.regions()
+    parts: dict[int, int] = {}
+    for leaf, c in sizes.items():
+        parts[region_of[leaf]] = parts.get(region_of[leaf], 0) + c
+    parts = {r: -(-c // per_task) for r, c in parts.items()}
+    chunks = -(-asked.count() // per_task)
+    region, part_of = (F.create_map(*[F.lit(int(v)) for pair in items for v in pair]) for items in (enumerate(region_of), parts.items()))
+    dealt = placed.withColumn("region", region[F.col("leaf")])
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("vec_id"), part_of[F.col("region")])).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            leaves = [[(leaf, part) for leaf in shared.value.visit(v, visits, sizes, k + 1) for part in range(-(-sizes.get(leaf, 0) // per_task))] for v in _unit(b["embedding"].tolist())] if len(b) else []
-            yield b.assign(at=[[{"leaf": x, "part": p} for x, p in own] for own in leaves])
-
-    visiting = asked.mapInPandas(walk, "vec_id long, embedding array<double>, at array<struct<leaf: long, part: long>>")
-    visiting = visiting.select("vec_id", "embedding", F.explode("at").alias("at")).select("vec_id", "embedding", "at.leaf", "at.part")
-    parts = F.create_map(*[F.lit(int(v)) for leaf, c in sizes.items() if c > per_task for v in (leaf, -(-c // per_task))]) if any(c > per_task for c in sizes.values()) else None
-    part = F.pmod(F.xxhash64("vec_id"), F.coalesce(parts[F.col("leaf")], F.lit(1)) if parts is not None else F.lit(1)).cast("long")
-    dealt = placed.withColumn("part", part)
+            out = []
+            for v in _unit(b["embedding"].tolist()) if len(b) else ():
+                own: dict[int, list[int]] = {}
+                for leaf in shared.value.visit(v, visits, sizes, k + 1):
+                    own.setdefault(region_of[leaf], []).append(leaf)
+                out.append([{"region": r, "part": p, "leaves": leaf} for r, leaf in own.items() for p in range(parts.get(r, 0))])
+            yield b.assign(at=out)
+
+    spread = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id")
+    visiting = spread.mapInPandas(walk, "vec_id long, embedding array<double>, at array<struct<region: int, part: long, leaves: array<int>>>")
+    visiting = visiting.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(chunks)).cast("int").alias("chunk"), F.inline("at"))
 
     def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return _block(left["vec_id"].to_numpy(), np.array(left["embedding"].tolist()), right["vec_id"].to_numpy(), np.array(right["embedding"].tolist()), k)
+        return _block(left["vec_id"].to_numpy(), np.array(left["embedding"].tolist()), right["vec_id"].to_numpy(), np.array(right["embedding"].tolist()), k, left["leaf"].to_numpy(), right["leaves"].tolist())
 
-    found = dealt.groupBy("leaf", "part").cogroup(visiting.groupBy("leaf", "part")).applyInPandas(meet, FOUND)
-    top = _top(found, k)
-    return top.select("query_id", "rank", "vec_id", "score"), report
+    keys = ("region", "part", "chunk")
+    met = dealt.groupBy(*keys).cogroup(visiting.groupBy(*keys)).applyInPandas(meet, FOUND)
+    return _top(met, k).select("query_id", "rank", "vec_id", "score"), report
