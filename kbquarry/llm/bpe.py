@@ -13,7 +13,7 @@ import base64
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Strings that a .json file gives ids of their own, wherever they stand in a text; a .tiktoken file has none."""
+    if not path.endswith(".json"):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", ())}
+
+
 def fold_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one word: merge the adjacent pair of lowest rank, leftmost first, until no pair has a rank."""
     if (whole := ranks.get(word)) is not None:
@@ -129,13 +137,22 @@ def merge_encoder(path: str, pattern: str) -> Encoder:
     return _LOADED[key]
 
 
-def library_encoder(path: str, pattern: str) -> Encoder:
-    """The same ids by a compiled library, for those who need ids only."""
+def library_encoder(path: str, pattern: str) -> Callable[[str | None], bytes]:
+    """The same ids by a compiled library, for those who need ids only; added tokens get their own."""
     if (key := ("library", path, pattern)) not in _LOADED:
         import tiktoken
 
         own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
-        _LOADED[key] = Encoder(pattern, lambda w: np.array(own.encode_ordinary(w), "<i4").tobytes(), by_chunk=True)
+        plain = Encoder(pattern, lambda w: np.array(own.encode_ordinary(w), "<i4").tobytes(), by_chunk=True)
+        added = {t: np.array([i], "<i4").tobytes() for t, i in added_tokens(path).items()}
+        parts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
+
+        def encode(text: str | None) -> bytes:
+            if parts and text and any(t in text for t in added):
+                return b"".join(added.get(p) or plain(p) for p in parts(text))
+            return plain(text)
+
+        _LOADED[key] = encode
     return _LOADED[key]
 
 

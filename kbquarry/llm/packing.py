@@ -5,10 +5,12 @@
    best-fit decreasing.  A dual feasible function maps lengths so that the mapped sum over the capacity can't exceed the
    number of bins of any packing; the largest such bound certifies a group's bin count.
 3. Groups above their bound give up their loosest bins; these pieces are dealt anew to fewer groups and packed again.
-   It stops when each group meets its bound, when a round saves nothing, or after ``rounds``.
+   It stops when each group meets its bound or when a round saves no bin.
+4. certify() gives the number of sequences of the whole packing and the bound of all its pieces, from a histogram.
 
-Defined cases: null or empty text -> the end id alone; ties go by (doc_id, piece); equal rows are packed as often as
-they occur; an empty table -> an empty table; further columns are ignored.
+Defined cases: null or empty text -> the end id alone; ties go by a piece's number in the stored table; equal rows are packed
+as often as they occur, rows without an id like all others; texts are taken whole, in slices; an empty table -> an empty
+table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from . import bpe
 from .common import save
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, gid long, bin long, offset long, bins long, bound long"
+PACKED = "pid long, length long, gid long, bin long, offset long, bins long, bound long"
 
 
 def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end_id: int = 0) -> DataFrame:
@@ -53,9 +55,12 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end_id
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The largest bound of two families of dual feasible functions: thresholds (lengths under t count nothing, those over
+    return bound_of(np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64), capacity)
+
+
+def bound_of(count: np.ndarray, capacity: int) -> int:
+    """From the number of pieces of each length: the largest bound of two families of dual feasible functions: thresholds (lengths under t count nothing, those over
     capacity - t a whole bin) and roundings to k-ths."""
-    count = np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64)
     size = np.arange(capacity + 1, dtype=np.int64)
     mass, number = np.cumsum(count * size), np.cumsum(count)
     t = np.arange(1, capacity // 2 + 1)
@@ -94,29 +99,32 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 def _pack_groups(pieces: DataFrame, groups: int, salt: int, capacity: int) -> DataFrame:
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", na_position="first", ignore_index=True)
+        pdf = pdf.sort_values("pid", ignore_index=True)
         lengths = pdf["length"].to_numpy(np.int64)
         pdf["bin"], pdf["offset"], bins = best_fit(lengths, capacity)
         return pdf.assign(gid=salt * (1 << 24) + key[0], bins=bins, bound=lower_bound(lengths, capacity))[[c.split()[0] for c in PACKED.split(", ")]]
 
-    gid = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(salt)), F.lit(groups))
-    return pieces.withColumn("gid", gid).groupBy("gid").applyInPandas(run, PACKED)
+    gid = F.pmod(F.xxhash64("pid", F.lit(salt)), F.lit(groups))
+    return pieces.select("pid", "length", gid.alias("gid")).groupBy("gid").applyInPandas(run, PACKED)
 
 
-def pack(pieces: DataFrame, capacity: int, per_group: int = 100_000, rounds: int = 3, release: int = 8) -> DataFrame:
-    """``pieces`` (a stored table) plus sequence_id and offset.  A group holds ``per_group`` pieces on average."""
-    full = pieces.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+def pack(pieces: DataFrame, capacity: int, per_group: int = 100_000, release: int = 8) -> DataFrame:
+    """``pieces`` (PIECES) plus sequence_id and offset.  A group holds ``per_group`` pieces on average."""
+    cols = [c.split()[0] for c in PIECES.split(", ")]
+    pieces = save(pieces.select(*cols).withColumn("pid", F.monotonically_increasing_id()), "pieces")
+    full = pieces.where(F.col("length") == capacity).select(*cols, (-1 - F.col("pid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < capacity)
     groups = max(1, -(-rest.count() // per_group))
-    packed, done = save(_pack_groups(rest, groups, 0, capacity), "packed"), []
-    for turn in range(1, rounds + 1):
-        state = packed.groupBy("gid").agg(F.first("bins").alias("b"), F.first("bound").alias("l")).agg(F.count("*"), F.count_if(F.col("b") > F.col("l"))).first()
-        if groups == 1 or not state[1]:
+    packed, done, turn = save(_pack_groups(rest, groups, 0, capacity), "packed"), [], 0
+    while True:
+        turn += 1
+        above = packed.where(F.col("bins") > F.col("bound"))
+        if groups == 1 or above.isEmpty():
             break
-        loose = packed.where(F.col("bins") > F.col("bound")).groupBy("gid", "bin").agg((F.lit(capacity) - F.sum("length")).alias("room"), F.first("bins").alias("bins"), F.first("bound").alias("bound"))
+        loose = above.groupBy("gid", "bin").agg((F.lit(capacity) - F.sum("length")).alias("room"), F.first("bins").alias("bins"), F.first("bound").alias("bound"))
         rank = F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("room"), "bin"))
         loose = loose.withColumn("r", rank).where(F.col("r") <= release * (F.col("bins") - F.col("bound"))).select("gid", "bin")
-        given = save(packed.join(loose, ["gid", "bin"], "left_semi").select(*[c.split()[0] for c in PIECES.split(", ")], "gid", "bin"), "given")
+        given = save(packed.join(loose, ["gid", "bin"], "left_semi").select("pid", "length", "gid", "bin"), "given")
         n, before = given.count(), given.select("gid", "bin").distinct().count()
         groups = max(1, -(-n // per_group))
         again = save(_pack_groups(given.drop("gid", "bin"), groups, turn, capacity), "repacked")
@@ -126,11 +134,17 @@ def pack(pieces: DataFrame, capacity: int, per_group: int = 100_000, rounds: int
         packed = again
     for part in done:
         packed = packed.unionByName(part)
-    cols = [c.split()[0] for c in PIECES.split(", ")]
-    own = packed.select(*cols, (F.col("gid") * F.lit(1 << 30) + F.col("bin")).alias("sequence_id"), "offset")
-    return own.unionByName(full)
+    placed = packed.select("pid", (F.col("gid") * F.lit(1 << 30) + F.col("bin")).alias("sequence_id"), "offset")
+    return pieces.join(placed, "pid").select(*cols, "sequence_id", "offset").unionByName(full)
+
+
+def certify(packed: DataFrame, capacity: int = 2048) -> tuple[int, int]:
+    """Sequences used, and a lower bound for any packing of the same pieces."""
+    lengths = packed.groupBy("length").count().toPandas()  # ``capacity`` rows at most
+    counts = np.bincount(lengths["length"].to_numpy(np.int64), lengths["count"].to_numpy(np.int64), capacity + 1).astype(np.int64)
+    return packed.select("sequence_id").distinct().count(), bound_of(counts, capacity)
 
 
 def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
-    return pack(save(token_pieces(docs, path, pattern, capacity), "pieces"), capacity)
+    return pack(token_pieces(docs, path, pattern, capacity), capacity)
