@@ -7,8 +7,8 @@ used are bounded parameters.  A match must begin a word (and end one, for whole
 phrase.  The weights of the matches, in total and by length, go through a logistic link fitted on the same rows.
 
 Defined cases: null and empty texts have no match and get the link's base score; texts are scanned whole; repeated rows
-get equal scores; with no labels, or none toxic, the lexicon is empty and every score is the base rate; further columns
-are ignored.
+get equal scores; rows without an id are scored like all others; labels of one id count once, with its smallest text; with no
+labels, or none toxic, the lexicon is empty and every score is the base rate; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,8 +22,12 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .bpe import slices
 
 #: Look-alikes and the letters they stand for.
 LOOKALIKES = {
@@ -115,7 +119,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 30_000, most_terms: int = 2_000, least_docs: int = 4, purity: float = 0.8) -> Lexicon:
     """``labels``: doc_id, toxic (0/1).  What reaches the driver: ``most_terms`` terms and two figures of ``most_rows`` rows."""
     chosen = F.broadcast(sample_labels(labels, most_rows))  # its size is bounded by most_rows
-    known = docs.select("doc_id", "text").join(chosen, "doc_id")
+    known = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # an id counts once
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -160,14 +164,18 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 30_000, most_term
 
 
 def score(docs: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
-    """The columns ``keep`` of ``docs``, score (0 to 1) and n_matches."""
+    """The columns ``keep`` of ``docs``, score (0 to 1) and n_matches, which replace columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by most_terms
+    kept = [f for f in docs.select(*keep).schema.fields if f.name not in ("score", "n_matches")]
+    names = [f.name for f in kept]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = shared.value.automaton()
-        for b in batches:
-            x = [shared.value.features(a, text) for text in b["text"]]
-            yield b[list(keep)].assign(score=[shared.value.score(v) for v in x], n_matches=np.array([v[2] for v in x], "int64"))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInPandas(run, schema + ", score double, n_matches long")
+        for whole in batches:
+            for b in slices(whole, "text"):
+                x = [shared.value.features(a, text) for text in b.column("text").to_pylist()]
+                found = [pa.array([shared.value.score(v) for v in x], pa.float64()), pa.array([v[2] for v in x], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *found], [*names, "score", "n_matches"])
+
+    schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("n_matches", T.LongType())])
+    return docs.select(*names, *([] if "text" in names else ["text"])).mapInArrow(run, schema)
