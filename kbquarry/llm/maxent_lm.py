@@ -1,18 +1,22 @@
 """Language-model scores by a hashed maximum-entropy model with class-factored softmax.
 
-Words fall into classes: frequent words by the domain (say language) in which they mostly occur and a frequency band,
-all others by their shape, the end of a text alone.  log P(word | before) = log P(class | before) + log P(word | class).
-The first factor is a softmax over hashed features of the words before: the last word, the last two, the one before the
-last (skip), and classes of the last four.  The second is the word's smoothed share of its class.
-
-Counts cover all training tokens and stay distributed.  The ``head`` most frequent words (a bounded list) are known to
-every task; the others of a text are joined with the counts.  Weights are trained by rounds: each task makes gradient
-steps over its share of the training texts from the same start, and the tasks' weights are averaged by feature, weighted
-by their tokens.  Every training text is used in one round.  Scoring takes batches of sparse feature rows in numpy.
+Words stand in nested classes of at most 16 members.  The root's members are the end of a text, the shapes of words outside
+the vocabulary, and the domains (say languages) in which the words of the vocabulary mostly occur; a domain's words, by
+frequency, are parted into 16 classes of equal mass, and each of these into 16 again (frequent words are alone by then).
+log P(word | before) is the sum over the classes on the word's path of log P(member | class, before): a softmax over the
+class's members with hashed features of the words before: the last word, the last two, the one before the last (skip) and
+classes of the last four at the root, fewer below it.  Words that share the innermost class have their share of it; a word
+outside the vocabulary has its smoothed share of its shape.
+
+Counts cover all training tokens and stay distributed.  The vocabulary is the ``head`` most frequent words (a bounded list,
+known to every task); other words of a text are joined with the counts.  The hashed table has a row for every 64 training
+tokens, between 2^12 and 2^``most_bits``.  Training goes by rounds: each task makes gradient steps over its share of the
+texts from the same start and gives what its steps changed, by row; changes are averaged by how often a task used the row.
+Every training text is used in one round; tasks take about ``per_task`` tokens, so that changes stay small beside the texts.  Scoring takes batches of sparse feature rows in numpy.
 
 Defined cases: null and empty texts are an end alone; without training texts all probabilities are those of the
-smoothing alone; a null domain is a domain; repeated rows get equal scores; texts are taken whole, in slices; an empty
-table gives an empty table; further columns are ignored.
+smoothing alone; a null domain is a domain; repeated rows get equal scores; null ids are scored like all others; texts are
+taken whole, in slices; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,13 +36,22 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import save
 
-BUCKETS, FEATURES, SHAPES, BANDS, DOMAINS = 1 << 13, 6, 6, 6, 6
-END = 0  # class of the end; shapes follow, then domain x band
-CLASSES = 1 + SHAPES + DOMAINS * BANDS
+FAN, SHAPES, DOMAINS = 16, 6, 6
+#: How many features a class has, by its depth: bias, last word, last two, skip, two pairs of classes.
+FEATURES = (6, 3, 2)
+END = 0  # member of the root; shapes follow, then domains
+STEP = 1 << 13
+_PRIME, _NODE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts, A-Z folded, one after another, and how many each text has.  Arrow's ASCII white space is the
+    six characters that part words here."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = lists.flatten()
+    doc = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
+    full = np.asarray(pc.binary_length(flat)) > 0
+    return flat.filter(pa.array(full)), np.bincount(doc[full], minlength=len(lists))
 
 
 def shape(word: bytes) -> int:
@@ -49,191 +63,275 @@ def shape(word: bytes) -> int:
     return 4 + zlib.crc32(bytes(sorted({b for b in word if b > 127}))) % 3
 
 
+def shapes_of(words: pa.Array) -> np.ndarray:
+    kinds = words.dictionary_encode()
+    each = np.array([shape(w.encode()) for w in kinds.dictionary.to_pylist()] or [0], np.int64)
+    return each[np.asarray(kinds.indices, dtype=np.int64)] if len(words) else np.zeros(0, np.int64)
+
+
 @dataclass
-class Model:
-    ids: dict[bytes, int]
-    word_class: np.ndarray  # of head words
-    base: np.ndarray  # log10 base probability of head words
-    inside: np.ndarray  # log10 of the share in the class
+class Vocabulary:
+    """Words and their paths: entry k of word i, for k in start[i] .. start[i + 1], is (node, member)."""
+
+    words: pa.Array
+    base: np.ndarray  # log10 base probability
+    start: np.ndarray
+    node: np.ndarray
+    member: np.ndarray
+    barred: np.ndarray  # of a node: 0 where it has a member, else very low
+    depth: np.ndarray  # of a node
+    share: np.ndarray  # log10 of a word's share of its innermost class
+    cls: np.ndarray  # the first two classes on a word's path, as a feature
     end_base: float
     unknown_end: bool
-    weights: np.ndarray  # BUCKETS x CLASSES
+    bits: int
+
+
+def paths(counts: np.ndarray, domain: np.ndarray) -> dict[str, np.ndarray]:
+    """start, node, member, barred, depth, share for words with these counts (falling) and domains (0 .. DOMAINS - 1)."""
+    own: list[list[tuple[int, int]]] = [[] for _ in counts]
+    share = np.zeros(len(counts))
+    kids, depth = [1 + SHAPES + DOMAINS], [0]
+    for d in range(DOMAINS):
+        at = np.nonzero(domain == d)[0]
+        for i in at.tolist():
+            own[i].append((0, 1 + SHAPES + d))
+        todo = [(at, 1)] if len(at) else []
+        while todo:
+            at, deep = todo.pop()
+            mass = np.cumsum(counts[at])
+            if deep == len(FEATURES):
+                share[at] = np.log10(counts[at] / mass[-1])
+                continue
+            cuts = np.unique([0, *np.searchsorted(mass, mass[-1] * np.arange(1, FAN) / FAN, "right"), len(at)]) if len(at) > FAN else np.arange(len(at) + 1)
+            for k, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)):
+                for i in at[a:b].tolist():
+                    own[i].append((len(kids), k))
+                if b - a > 1:
+                    todo.append((at[a:b], deep + 1))
+            kids.append(len(cuts) - 1), depth.append(deep)
+    start = np.concatenate([[0], np.cumsum([len(p) for p in own])]).astype(np.int64)
+    flat = np.array([x for p in own for x in p], np.int32).reshape(-1, 2)
+    return {"start": start, "node": flat[:, 0], "member": flat[:, 1], "barred": np.where(np.arange(FAN) < np.array(kids)[:, None], 0, -1e30).astype(np.float32), "depth": np.array(depth, np.int8), "share": share}
 
 
 class Batch:
-    """Tokens of some texts, one end after each, and their features."""
+    """Tokens of some texts, one end after each, hashes of their features, and the classes on their paths."""
 
-    def __init__(self, model: Model, texts: list[str | None]):
-        self.words = [tokens(t) for t in texts]
-        size = np.array([len(w) + 1 for w in self.words])
+    def __init__(self, v: Vocabulary, texts: pa.Array):
+        words, count = split_words(texts)
+        size = count + 1
         self.stop = np.cumsum(size)
         n = int(self.stop[-1]) if len(size) else 0
-        get, ids = model.ids.get, np.zeros(n, np.int64)
-        at = 0
-        for own in self.words:
-            ids[at : at + len(own)] = [i if (i := get(w)) is not None else -1 - shape(w) for w in own]
-            at += len(own) + 1
+        self.doc = np.repeat(np.arange(len(size)), size)
         ends = self.stop - 1
-        ids[ends] = -1
-        self.ids, self.doc = ids, np.repeat(np.arange(len(size)), size)
+        inner = np.ones(n, bool)
+        inner[ends] = False
+        found = np.asarray(pc.fill_null(pc.index_in(words, value_set=v.words), -1), dtype=np.int64)
+        unknown = found < 0
+        self.rare = words.filter(pa.array(unknown))  # outside the vocabulary, and their shapes
+        self.rare_shape = shapes_of(self.rare)
+        found[unknown] = -1 - self.rare_shape
+        ids = np.full(n, -1, np.int64)
+        ids[inner] = found
+        self.ids, self.rare_doc = ids, self.doc[inner][unknown]
         head = ids >= 0
-        self.cls = np.where(head, model.word_class[np.where(head, ids, 0)], -1 - ids) if len(model.word_class) else -1 - ids
+        cls = np.where(head, v.cls[np.where(head, ids, 0)] if len(v.cls) else 0, -ids)
         place = np.arange(n) - np.repeat(self.stop - size, size)
-        word, cls = (ids + 64).astype(np.uint64), self.cls + 1
 
         def back(values: np.ndarray, k: int) -> np.ndarray:
-            out = np.zeros_like(values)
-            out[k:] = values[:-k] if n > k else values[:0]
-            return np.where(place >= k, out, 0)
+            out = np.zeros(n, np.uint64)
+            out[k:] = values[: max(n - k, 0)]
+            out[place < k] = 0
+            return out
 
+        word, cls = (ids + 64).astype(np.uint64), (cls + 1).astype(np.uint64)
         w1, w2 = back(word, 1), back(word, 2)
-        c1, c2, c3, c4 = (back(cls, k).astype(np.uint64) for k in (1, 2, 3, 4))
         with np.errstate(over="ignore"):
-            rows = [w1 * np.uint64(8) + np.uint64(1), (w2 * np.uint64(1_000_003) + w1) * np.uint64(8) + np.uint64(2), w2 * np.uint64(8) + np.uint64(3), (c2 * np.uint64(CLASSES + 1) + c1) * np.uint64(8) + np.uint64(4), (c3 * np.uint64(CLASSES + 1) + c4) * np.uint64(8) + np.uint64(5)]
-            mixed = [(r * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(51) for r in rows]
-        self.rows = np.stack([np.zeros(n, np.int64), *[m.astype(np.int64) for m in mixed]], axis=1)
-
-    def log_classes(self, weights: np.ndarray, a: int, b: int) -> np.ndarray:
-        s = weights[self.rows[a:b, 0]]
-        for f in range(1, FEATURES):
-            s += weights[self.rows[a:b, f]]
-        s -= s.max(axis=1, keepdims=True)
-        s -= np.log(np.exp(s).sum(axis=1, keepdims=True))
+            c = [back(cls, k) for k in (1, 2, 3, 4)]
+            pairs = [np.zeros(n, np.uint64), w1, w2 * np.uint64(1_000_003) + w1, w2, c[1] * np.uint64(4099) + c[0], c[3] * np.uint64(4099) + c[2]]
+            self.features = [(f * np.uint64(8) + np.uint64(k)) * _PRIME for k, f in enumerate(pairs)]
+        # the path of each token: of words outside the vocabulary and of ends, the root alone
+        length = np.ones(n, np.int64)
+        at = ids[head]
+        length[head] = v.start[at + 1] - v.start[at]
+        self.first = np.concatenate([[0], np.cumsum(length)])
+        self.token = np.repeat(np.arange(n), length)
+        self.node, self.member = np.zeros(len(self.token), np.int64), np.zeros(len(self.token), np.int64)
+        known = np.repeat(head, length)
+        step = np.arange(len(self.token)) - np.repeat(self.first[:-1], length)
+        entry = (np.repeat(np.where(head, v.start[np.where(head, ids, 0)], 0), length) + step)[known]
+        self.node[known], self.member[known] = v.node[entry], v.member[entry]
+        self.member[self.first[:-1][~head]] = -1 - ids[~head]
+
+    def parts(self, v: Vocabulary, step: int = STEP) -> Iterator[tuple[np.ndarray, int]]:
+        """Places on paths, depth by depth and in parts, and how many features they have."""
+        depth = v.depth[self.node]
+        for d, many in enumerate(FEATURES):
+            where = np.nonzero(depth == d)[0]
+            for a in range(0, len(where), step):
+                yield where[a : a + step], many
+
+    def rows(self, where: np.ndarray, many: int, bits: int) -> list[np.ndarray]:
+        with np.errstate(over="ignore"):
+            node = self.node[where].astype(np.uint64) * _NODE
+            mixed = [(self.features[f][self.token[where]] ^ node) * _PRIME for f in range(many)]
+        return [(m >> np.uint64(64 - bits)).astype(np.int32) for m in mixed]
+
+    def log_members(self, weights: np.ndarray, v: Vocabulary, where: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        s = v.barred.take(self.node[where], axis=0)
+        for r in rows:
+            s += weights.take(r, axis=0)
+        s -= s.max(axis=1)[:, None]
+        s -= np.log(np.exp(s) @ np.ones(FAN, np.float32))[:, None]
         return s
 
-
-def _train(weights: np.ndarray, squares: np.ndarray, batch: Batch, rate: float, step: int = 8192) -> int:
-    for a in range(0, len(batch.cls), step):
-        b = min(a + step, len(batch.cls))
-        g = np.exp(batch.log_classes(weights, a, b))
-        g[np.arange(b - a), batch.cls[a:b]] -= 1
-        for f in range(FEATURES):
-            row = batch.rows[a:b, f]
-            order = np.argsort(row, kind="stable")
-            first = np.nonzero(np.diff(row[order], prepend=-1))[0]
-            total, at = np.add.reduceat(g[order], first, axis=0), row[order][first]
-            squares[at] += total * total
-            weights[at] -= rate * total / np.sqrt(squares[at] + 1e-6)
-    return len(batch.cls)
-
-
-def _rounds(train: DataFrame, model: Model, rounds: int, rate: float) -> None:
-    columns = [f"w{i}" for i in range(CLASSES)]
+    def log_words(self, weights: np.ndarray, v: Vocabulary) -> np.ndarray:
+        """Natural log of each token's probability, but for the share within a shape."""
+        each = np.zeros(len(self.token))
+        for where, many in self.parts(v):
+            s = self.log_members(weights, v, where, self.rows(where, many, v.bits))
+            each[where] = s[np.arange(len(where)), self.member[where]]
+        out = np.bincount(self.token, each, len(self.ids))
+        head = self.ids >= 0
+        out[head] += v.share[self.ids[head]] * np.log(10)
+        return out
+
+
+def train_batch(weights: np.ndarray, squares: np.ndarray, uses: np.ndarray, v: Vocabulary, batch: Batch, rate: float) -> None:
+    """Gradient steps (AdaGrad with a sum of squares a row), one for each part and feature."""
+    for where, many in batch.parts(v):
+        rows = batch.rows(where, many, v.bits)
+        g = np.exp(batch.log_members(weights, v, where, rows))
+        g[np.arange(len(where)), batch.member[where]] -= 1
+        for r in rows:
+            both = np.sort(r.astype(np.int64) * STEP + np.arange(len(r)))  # faster than an argsort
+            r, order = both // STEP, both % STEP
+            first = np.nonzero(np.diff(r, prepend=-1))[0]
+            total, at = np.add.reduceat(g.take(order, axis=0), first, axis=0), r[first]
+            uses[at] += np.diff(first, append=len(r))
+            so_far = squares[at] + np.einsum("ij,ij->i", total, total)
+            squares[at] = so_far
+            total *= (rate / np.sqrt(so_far))[:, None]
+            weights[at] = weights.take(at, axis=0) - total
+
+
+def train(rows: DataFrame, shared, weights: np.ndarray, rounds: int, rate: float, tasks: int) -> None:
+    """``shared``: a broadcast Vocabulary.  ``weights`` are changed in place."""
+    columns = [f"w{i}" for i in range(FAN)]
     schema = "bucket int, n long, " + ", ".join(f"{c} float" for c in columns)
     for turn in range(rounds):
-        shared = train.sparkSession.sparkContext.broadcast(model)
+        begin = rows.sparkSession.sparkContext.broadcast(weights)  # bounded by most_bits
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            own, n = shared.value.weights.copy(), 0
-            squares = np.full_like(own, 1.0 + 4.0 * turn)
+        def run(batches: Iterator[pa.RecordBatch], begin=begin, turn=turn) -> Iterator[pa.RecordBatch]:
+            v, own = shared.value, begin.value.copy()
+            squares, uses = np.full(len(own), 1.0 + 4.0 * turn, np.float32), np.zeros(len(own), np.int64)
             for whole in batches:
-                for batch in bpe.slices(whole, "text", 4 << 20):
-                    n += _train(own, squares, Batch(shared.value, batch.column("text").to_pylist()), rate)
-            used = np.nonzero((squares != 1.0 + 4.0 * turn).any(axis=1))[0]
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), n))] + [pa.array(own[used, i]) for i in range(CLASSES)], ["bucket", "n", *columns])
-
-        share = train.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn).select("text")
-        local = share.mapInArrow(run, schema)
+                for batch in bpe.slices(whole, "text", 1 << 20):
+                    train_batch(own, squares, uses, v, Batch(v, batch.column("text")), rate)
+            at = np.nonzero(uses)[0]
+            for a in range(0, len(at), 1 << 16):
+                k = at[a : a + (1 << 16)]
+                change = own[k] - begin.value[k]
+                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(uses[k]), *[pa.array(change[:, i]) for i in range(FAN)]], ["bucket", "n", *columns])
+
+        local = rows.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn).select("text").coalesce(tasks).mapInArrow(run, schema)
         mean = local.groupBy("bucket").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).cast("float").alias(c) for c in columns]).toArrow()
-        at = mean.column("bucket").to_numpy()  # BUCKETS rows at most
+        at = mean.column("bucket").to_numpy()  # 2^most_bits rows at most
         for i, c in enumerate(columns):
-            model.weights[at, i] = mean.column(c).to_numpy()
+            weights[at, i] += mean.column(c).to_numpy()
+        begin.destroy()
 
 
-def count_words(train: DataFrame) -> DataFrame:
+def count_words(rows: DataFrame) -> DataFrame:
     """word, c, domain (the commonest), a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for domain, c in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in c]), pa.array([domain] * len(c)), pa.array(list(c.values()), pa.int64())], ["word", "domain", "c"])
-
-        for batch in batches:
-            for text, domain in zip(batch.column("text").to_pylist(), batch.column("domain").to_pylist(), strict=True):
-                held.setdefault(domain, Counter()).update(tokens(text))
-            if sum(map(len, held.values())) > 400_000:
-                yield from out()
-                held = {}
-        yield from out()
+        held: list[pa.Table] = []
 
-    rows = train.select("text", "domain").mapInArrow(run, "word string, domain string, c long").groupBy("word", "domain").agg(F.sum("c").alias("c"))
-    return save(rows.groupBy("word").agg(F.sum("c").alias("c"), F.max(F.struct("c", "domain"))["domain"].alias("domain")), "counts")
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by(["word", "domain"]).aggregate([("c", "sum")]).rename_columns(["word", "domain", "c"]).combine_chunks()
 
-
-def score_texts(docs: DataFrame, domain: str | None = None, head: int = 300_000, rounds: int = 2, rate: float = 0.3) -> DataFrame:
+        for whole in batches:
+            for batch in bpe.slices(whole, "text"):
+                words, count = split_words(batch.column("text"))
+                domain = batch.column("domain").dictionary_encode()
+                doc = pa.array(np.repeat(np.arange(batch.num_rows), count))
+                t = pa.table({"word": words, "domain": domain.dictionary.take(domain.indices.take(doc)), "c": np.ones(len(words), np.int64)})
+                held.append(t.group_by(["word", "domain"]).aggregate([("c", "sum")]).rename_columns(["word", "domain", "c"]))
+                if sum(t.num_rows for t in held) > 600_000:
+                    held = [merged()]
+                    if held[0].num_rows > 400_000:
+                        yield from held[0].to_batches()
+                        held = []
+        if held:
+            yield from merged().to_batches()
+
+    counts = rows.select("text", "domain").mapInArrow(run, "word string, domain string, c long").groupBy("word", "domain").agg(F.sum("c").alias("c"))
+    return save(counts.groupBy("word").agg(F.sum("c").alias("c"), F.max(F.struct("c", "domain"))["domain"].alias("domain")), "counts")
+
+
+def vocabulary(counts: DataFrame, head: int, texts: int, tokens: int, kinds: int, most_bits: int) -> tuple[Vocabulary, np.ndarray]:
+    """The vocabulary and its words' counts."""
+    floor = tokens + 0.5 * (kinds + 1)
+    top = counts.orderBy(F.desc("c"), "word").limit(head).toArrow().combine_chunks()  # bounded by head
+    c = top.column("c").to_numpy().astype(float)
+    mass = top.group_by("domain").aggregate([("c", "sum")]).sort_by([("c_sum", "descending"), ("domain", "ascending")])
+    number = {d: i for i, d in enumerate(mass.column("domain").to_pylist()[: DOMAINS - 1])}
+    domain = np.array([number.get(d, DOMAINS - 1) for d in top.column("domain").to_pylist()], np.int64)
+    p = paths(c, domain)
+    cls = 16 + FAN * domain + p["member"][p["start"][:-1] + 1] if len(c) else np.zeros(0, np.int64)  # the second class on each path
+    bits = int(min(most_bits, max(12, np.ceil(np.log2(max(1, tokens / 64))))))
+    words = top.column("word").combine_chunks()
+    words = words.chunk(0) if isinstance(words, pa.ChunkedArray) and words.num_chunks else words
+    return Vocabulary(pa.array(words.to_pylist(), pa.string()), np.log10((c + 0.5) / floor), cls=cls, end_base=float(np.log10((texts + 0.5) / floor)), unknown_end=texts == 0, bits=bits, **p), c
+
+
+def score_texts(docs: DataFrame, domain: str | None = None, head: int = 200_000, rounds: int = 2, rate: float = 0.5, most_bits: int = 18, per_task: int = 4_000_000) -> DataFrame:
     """``docs``: doc_id, text, train (boolean) and maybe a domain column -> doc_id, train, n_tokens, n_known,
     train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.coalesce("train", F.lit(False)).alias("train"), (F.coalesce(F.col(domain), F.lit("")) if domain else F.lit("")).alias("domain"))
-    train = rows.where("train")
-    counts = count_words(train)
-    texts = train.count()
+    training = rows.where("train")
+    counts = count_words(training)
+    texts = training.count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n, v = sums[0] + texts, sums[1] + (texts > 0)
-    floor = n + 0.5 * (v + 1)
-    top = counts.orderBy(F.desc("c"), "word").limit(head).toArrow()
-    words, c = [w.encode() for w in top.column("word").to_pylist()], top.column("c").to_numpy().astype(float)
-    names = Counter()
-    for d, k in zip(top.column("domain").to_pylist(), c.tolist(), strict=True):
-        names[d] += k
-    number = {d: i for i, (d, _) in enumerate(sorted(names.most_common(DOMAINS - 1), key=lambda x: x[0]))}
-    own = np.array([number.get(d, DOMAINS - 1) for d in top.column("domain").to_pylist()], np.int64)
-    band = np.zeros(len(c), np.int64)
-    for d in range(DOMAINS):  # bands of equal mass in each domain
-        at = np.nonzero(own == d)[0]
-        band[at] = np.minimum(BANDS - 1, (np.cumsum(c[at]) - c[at]) * BANDS / max(1.0, c[at].sum()))
-    cls = 1 + SHAPES + own * BANDS + band
-    mass, kinds = np.bincount(cls, c, CLASSES), np.bincount(cls, minlength=CLASSES)
-    model = Model(
-        {w: i for i, w in enumerate(words)}, cls, np.log10((c + 0.5) / floor), np.log10((c + 0.5) / (mass[cls] + 0.5 * (kinds[cls] + 1))),
-        float(np.log10((texts + 0.5) / floor)), texts == 0, np.zeros((BUCKETS, CLASSES), np.float32),
-    )
+    n, kinds = sums[0] + texts, sums[1] + (texts > 0)
+    floor = n + 0.5 * (kinds + 1)
+    v, c = vocabulary(counts, head, texts, n, kinds, most_bits)
+    shared, weights = spark.sparkContext.broadcast(v), np.zeros((1 << v.bits, FAN), np.float32)
     if texts:
-        _rounds(train, model, rounds, rate)
-    shared = spark.sparkContext.broadcast(model)  # bounded by head and BUCKETS x CLASSES
+        train(training, shared, weights, rounds, rate, max(spark.sparkContext.defaultParallelism, n // rounds // per_task))
+    learnt = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, serial = shared.value, TaskContext.get().partitionId() << 36
         for whole in batches:
-            for part in bpe.slices(whole, "text", 4 << 20):
-                b = Batch(m, part.column("text").to_pylist())
-                k = part.num_rows
-                inside, base = np.zeros(len(b.ids)), np.zeros(len(b.ids))
+            for part in bpe.slices(whole, "text", 1 << 20):
+                b, k = Batch(m, part.column("text")), part.num_rows
+                score, base = b.log_words(learnt.value, m) / np.log(10), np.zeros(len(b.ids))
                 known = b.ids >= 0
                 if known.any():
-                    inside[known], base[known] = m.inside[b.ids[known]], m.base[b.ids[known]]
-                base[b.stop - 1] = m.end_base
-                for a in range(0, len(b.ids), 8192):
-                    e = min(a + 8192, len(b.ids))
-                    inside[a:e] += b.log_classes(m.weights, a, e)[np.arange(e - a), b.cls[a:e]] / np.log(10)
-                known[b.stop - 1] = not m.unknown_end
-                sums = [np.bincount(b.doc, x, k) for x in (known, base, inside)]
-                at, tails = 0, []
-                rare = b.ids < -1
-                for own in b.words:
-                    r = np.nonzero(rare[at : at + len(own)])[0].tolist()
-                    tails.append([{"word": own[i].decode(), "shape": int(-1 - b.ids[at + i])} for i in r])
-                    at += len(own) + 1
+                    base[known] = m.base[b.ids[known]]
+                base[b.stop - 1], known[b.stop - 1] = m.end_base, not m.unknown_end
+                sums = [np.bincount(b.doc, x, k) for x in (known, base, score)]
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(b.rare_doc, minlength=k))]).astype(np.int32)
+                tails = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([b.rare, pa.array(b.rare_shape.astype(np.int32))], ["word", "shape"]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("train"), pa.array(serial + np.arange(k)), pa.array(np.diff(b.stop, prepend=0)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.array(tails, pa.list_(pa.struct([("word", pa.string()), ("shape", pa.int32())])))],
+                    [part.column("doc_id"), part.column("train"), pa.array(serial + np.arange(k)), pa.array(np.diff(b.stop, prepend=0)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), tails],
                     ["doc_id", "train", "row", "n_tokens", "n_known", "base_score", "score", "tails"],
                 )
                 serial += k
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = save(rows.select("doc_id", "train", "text").mapInArrow(run, f"doc_id {kind}, train boolean, row long, n_tokens long, n_known long, base_score double, score double, tails array<struct<word: string, shape: int>>"), "scored")
-    # the words outside the head: shares of their shape class, from the exact counts
+    # words outside the vocabulary: shares of their shape, from the exact counts
     tail = scored.select("row", F.explode("tails").alias("t")).select("row", "t.word", "t.shape")
-    shape_of = {s: (0.0, 0) for s in range(1, SHAPES + 1)}
-    rest = counts if not len(c) else counts.where((F.col("c") < float(c[-1])) | ((F.col("c") == float(c[-1])) & (F.col("word") > words[-1].decode())))
-    shapes = rest.mapInArrow(_shape_sums, "shape int, c long, v long").groupBy("shape").agg(F.sum("c"), F.sum("v")).collect()
-    shape_of |= {r[0]: (float(r[1]), r[2]) for r in shapes}
-    bottom = F.lit(0.5)
-    for s, (mass_s, kinds_s) in shape_of.items():
-        bottom = F.when(F.col("shape") == s, mass_s + 0.5 * (kinds_s + 1)).otherwise(bottom)
+    rest = counts if not len(c) else counts.where((F.col("c") < float(c[-1])) | ((F.col("c") == float(c[-1])) & (F.col("word") > v.words[-1].as_py())))
+    found = rest.mapInArrow(_shape_sums, "shape int, c long, v long").groupBy("shape").agg(F.sum("c"), F.sum("v")).collect()  # SHAPES rows
+    bottom = F.lit(0.5 * 1)
+    for s, mass_s, kinds_s in found:
+        bottom = F.when(F.col("shape") == s, float(mass_s) + 0.5 * (kinds_s + 1)).otherwise(bottom)
     count = F.coalesce(F.col("c"), F.lit(0))
     per_row = tail.join(counts.select("word", "c"), "word", "left").groupBy("row").agg(
         F.sum(F.log10((count + 0.5) / floor)).alias("tail_base"), F.sum(F.log10((count + 0.5) / bottom)).alias("tail_score"), F.count_if(count > 0).alias("tail_known")
