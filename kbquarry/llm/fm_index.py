@@ -10,21 +10,31 @@ import numpy as np
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes by their first ``depth`` symbols at least (prefix doubling)."""
-    n, rank, length = len(text), text.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
+    """Order of the suffixes by their first ``depth`` symbols at least (prefix doubling), then by place.  A pair of ranks and
+    the place share one integer, so that plain sorting does."""
+    n = len(text)
+    width = max(1, n.bit_length(), int(text.max()).bit_length() + 1)
+    rank, length = text.astype(np.int64), 1
     while True:
-        sorted_ = rank[order]
-        fresh = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        if length >= depth or fresh[-1] == n - 1:
-            return order
         behind = np.zeros(n, np.int64)
         behind[: max(0, n - length)] = rank[length:] + 1
-        rank = rank * (n + 1) + behind
-        order = np.argsort(rank, kind="stable")
         length *= 2
+        if 3 * width <= 63:
+            both = np.sort((((rank << width) + behind) << width) + np.arange(n))
+            order, both = both & ((1 << width) - 1), both >> width
+        else:
+            both = (rank << width) + behind
+            order = np.argsort(both, kind="stable")
+            both = both[order]
+        fresh = np.concatenate([[0], np.cumsum(both[1:] != both[:-1])])
+        if length >= depth or fresh[-1] == n - 1:
+            return order
+        rank = np.empty(n, np.int64)
+        rank[order] = fresh
+
+
+#: The bits below each place of a word.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 class Bits:
@@ -38,8 +48,9 @@ class Bits:
 
     def ones(self, at: np.ndarray) -> np.ndarray:
         word = at >> 6
-        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & mask)
+        part = self.words.take(word)
+        part &= _BELOW.take(at & 63)
+        return self.before.take(word) + np.bitwise_count(part)
 
 
 class FMIndex:
@@ -62,49 +73,59 @@ class FMIndex:
     def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for b, bits, zeros in self.levels:
             ones = bits.ones(at)
-            at = np.where((symbol >> b) & 1, zeros + ones, at - ones)
+            at = np.where((symbol & (1 << b)).astype(bool), zeros + ones, at - ones)
         return at
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of symbol + string, from those of string."""
         both = self._down(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
-        base = self.start[symbol] - self.first[symbol]
+        base = self.start.take(symbol) - self.first.take(symbol)
         return base + both[: len(lo)], base + both[len(lo) :]
 
     def weight(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return self.mass[hi] - self.mass[lo]
+        return self.mass.take(hi) - self.mass.take(lo)
 
 
 def repeated_windows(index: FMIndex, text: np.ndarray, begin: np.ndarray, last: np.ndarray, window: int, least: int = 2) -> np.ndarray:
     """For each stream, a bit mask of the window starts s = 0 .. last whose string has a weight of ``least`` or more.
 
-    Matching statistics by backward search, all streams in step.  From an end e the search goes left while the weight
-    suffices.  If it stops at i, text[i..e] is rare: the starts after i have been reached, all later ends are settled for
-    starts up to i, and the search goes on from the last end that isn't.
+    Matching statistics by backward search, all streams in step.  ``open_`` is the last start not settled yet; from the end of
+    its window the search goes left while the weight suffices.  If it stops at i, the starts between have been reached, and
+    windows that hold all of text[i..end] are out.  What is rare there is mostly short: probes of 4, 8, 16 .. words from i on
+    look for a shorter rare string, which settles all starts whose windows hold it, before the search goes on from the next
+    open window.
     """
     mask = np.zeros(len(begin), np.int64)
     lane = np.nonzero(last >= 0)[0]
-    end = last[lane] + window - 1
-    at, fresh = end.copy(), np.ones(len(lane), bool)
+    open_ = last[lane].copy()
+    end = open_ + window - 1
+    at, fresh, probe = end.copy(), np.ones(len(lane), bool), np.zeros(len(lane), bool)
+    block, span = end.copy(), np.full(len(lane), 4)
     lo, hi = np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int64)
     while len(lane):
-        symbol = text[begin[lane] + at]
-        lo2, hi2 = index.start[symbol].copy(), index.start[symbol + 1].copy()
-        go = ~fresh
-        if go.any():
+        symbol = text.take(begin[lane] + at)
+        go = np.nonzero(~fresh)[0]
+        lo2, hi2 = index.start.take(symbol), index.start.take(symbol + 1)
+        if len(go):
             lo2[go], hi2[go] = index.extend(symbol[go], lo[go], hi[go])
         rare = index.weight(lo2, hi2) < least
-        reach = np.where(rare, at + 1, at)  # leftmost start reached
-        stop = rare | (at == 0)
-        if stop.any():
-            top = end[stop] - window + 1
-            count = np.maximum(0, top - reach[stop] + 1)
-            mask[lane[stop]] |= ((np.int64(1) << count) - 1) << np.where(count > 0, reach[stop], 0)
-        after = np.minimum(at, end - window)  # the last start still open after a stop
-        ends = stop & (~rare | (after < 0))
-        again = stop & ~ends
-        end = np.where(again, after + window - 1, end)
-        at, fresh = np.where(again, end, at - 1), again
-        on = ~ends
-        lane, end, at, fresh, lo, hi = lane[on], end[on], at[on], fresh[on], lo2[on], hi2[on]
+        stop = rare | (at == 0) | (probe & (at <= open_))
+        lo, hi, fresh = lo2, hi2, stop
+        k = np.nonzero(stop)[0]
+        if len(k):
+            here, plain, out = at[k], ~probe[k], rare[k]
+            reach = np.where(out, here + 1, here)  # leftmost start reached
+            count = np.where(plain, np.maximum(0, open_[k] - reach + 1), 0)
+            mask[lane[k]] |= ((np.int64(1) << count) - 1) << np.where(count > 0, reach, 0)
+            found = out & (plain | (here >= open_[k]))
+            block[k], span[k] = np.where(found, here, block[k]), np.where(found, 4, span[k] * 2)
+            open_[k] = np.where(found, np.minimum(np.where(plain, here, open_[k]), end[k] - window), open_[k])
+            open_[k[plain & ~out]] = -1  # reached the first word
+            after = open_[k] + window - 1
+            probe[k] = block[k] + span[k] - 1 < after
+            end[k] = np.where(probe[k], block[k] + span[k] - 1, after)
+        at = np.where(stop, end, at - 1)
+        on = open_ >= 0
+        if not on.all():
+            lane, open_, end, at, fresh, probe, block, span, lo, hi = (x[on] for x in (lane, open_, end, at, fresh, probe, block, span, lo, hi))
     return mask

@@ -13,7 +13,8 @@
 
 Defined cases: null texts and such without words keep nothing (n_words 0); texts shorter than a window lose nothing;
 repeated rows repeat each other, so that their windows go; texts are taken whole; an empty table gives an empty table;
-rows without an id take part like all others; further columns are kept only where keep names them.
+rows are known by id and text, so that rows without an id, or with another row's id, take part like all others; further
+columns are kept only where keep names them.
 """
 
 from __future__ import annotations
@@ -76,26 +77,27 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def anchors(docs: DataFrame, window: int) -> DataFrame:
-    """rid, at, anchor, passage of every anchor."""
+    """rid, rid2, at, anchor, passage of every anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
         for whole in batches:
             for batch in bpe.slices(whole, "text"):
                 parts = []
-                for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                rids = zip(batch.column("rid").to_pylist(), batch.column("rid2").to_pylist(), strict=True)
+                for (rid, rid2), text in zip(rids, batch.column("text").to_pylist(), strict=True):
                     words = _words(text)
                     if len(words) >= window:
                         p = Passages(words, cache, window)
-                        parts.append((np.full(len(p.at), rid, np.int64), p.at.astype(np.int32), p.anchor, p.passage))
+                        parts.append((np.full(len(p.at), rid, np.int64), np.full(len(p.at), rid2, np.int64), p.at.astype(np.int32), p.anchor, p.passage))
                 if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["rid", "at", "anchor", "passage"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["rid", "rid2", "at", "anchor", "passage"])
 
-    return docs.select("rid", "text").mapInArrow(run, "rid long, at int, anchor long, passage long")
+    return docs.select("rid", "rid2", "text").mapInArrow(run, "rid long, rid2 long, at int, anchor long, passage long")
 
 
 def _cut(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """anchor, passage, n, at (of the anchor in the passage), words: the wanted passages (rid, at, anchor, passage, n)."""
+    """anchor, passage, n, at (of the anchor in the passage), words: the wanted passages (rid, rid2, at, anchor, passage, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -111,8 +113,8 @@ def _cut(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "passage", "n", "at", "words"])
 
-    by_doc = wanted.groupBy("rid").agg(F.collect_list(F.struct("at", "anchor", "passage", "n")).alias("own"))
-    return keyed.join(by_doc, "rid", "left").select("doc_id", "text", "own").mapInArrow(run, "anchor long, passage long, n long, at int, words binary")
+    by_doc = wanted.groupBy("rid", "rid2").agg(F.collect_list(F.struct("at", "anchor", "passage", "n")).alias("own"))  # of one text
+    return keyed.join(by_doc, ["rid", "rid2"]).select("text", "own").mapInArrow(run, "anchor long, passage long, n long, at int, words binary")
 
 
 def search_shard(rows: list[dict[str, np.ndarray]], window: int, cache: HashCache) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +135,7 @@ def search_shard(rows: list[dict[str, np.ndarray]], window: int, cache: HashCach
     text[begin + at] = int(symbol.max()) + 2 + kind
     weights = np.repeat(n, size + 1) * inside
     last = np.minimum(at, size - window).astype(np.int64)
-    starts = repeated_windows(FMIndex(text, weights, 2 * window), text, begin, last, window)
+    starts = repeated_windows(FMIndex(text, weights, window + 1), text, begin, last, window)
     mask = np.zeros(len(passage), np.int64)
     for s in range(window - GRAM + 1):
         back = at - s
@@ -141,7 +143,7 @@ def search_shard(rows: list[dict[str, np.ndarray]], window: int, cache: HashCach
     return passage[mask != 0], mask[mask != 0]
 
 
-def _searched(passages: DataFrame, shards: int, window: int, per_index: int) -> DataFrame:
+def _searched(passages: DataFrame, window: int, per_index: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, held, count = HashCache(200_000), [], 0
         for g in groups(batches, "anchor"):
@@ -153,7 +155,7 @@ def _searched(passages: DataFrame, shards: int, window: int, per_index: int) ->
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in search_shard(held, window, cache)], ["passage", "mask"])
 
-    return passages.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "passage long, mask long")
+    return passages.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "passage long, mask long")
 
 
 def _counted(passages: DataFrame, window: int) -> DataFrame:
@@ -204,33 +206,31 @@ def _remove(keyed: DataFrame, masks: DataFrame, window: int, keep: list[str]) ->
                     removed.append(n - len(words))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string()), pa.array(words_, pa.int64()), pa.array(removed, pa.int64())], [*names, "kept_text", "n_words", "n_removed"])
 
-    by_doc = masks.groupBy("rid").agg(F.collect_list(F.struct("at", "mask")).alias("own"))
+    by_doc = masks.groupBy("rid", "rid2").agg(F.collect_set(F.struct("at", "mask")).alias("own"))  # of one text, however often it is repeated
     schema = T.StructType([*kept, T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return keyed.join(by_doc, "rid", "left").select(*dict.fromkeys([*names, "text"]), "own").mapInArrow(run, schema)
+    return keyed.join(by_doc, ["rid", "rid2"], "left").select(*dict.fromkeys([*names, "text"]), "own").mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, keep: tuple[str, ...] = (), hot: int = 20_000, per_index: int = 20_000) -> DataFrame:
     """doc_id, the columns ``keep``, kept_text, n_words, n_removed."""
-    rid = F.coalesce(F.col("doc_id").cast("long"), -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
-    keyed = docs.select(*dict.fromkeys(["doc_id", *keep, "text"]), rid.alias("rid"))
+    rid = [F.xxhash64("doc_id", "text").alias("rid"), F.xxhash64(F.lit(1), "doc_id", "text").alias("rid2")]  # never null
+    keyed = docs.select(*dict.fromkeys(["doc_id", *keep, "text"]), *rid)
     found = save(anchors(keyed, window), "anchors")
     twice = save(found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "twice")  # a table: the join's sides can then be split where skewed
-    found = save(found.join(twice, "anchor").select("rid", "at", "anchor", "passage"), "repeated-anchors")
-    passages = found.groupBy("passage").agg(F.min(F.struct("rid", "at", "anchor")).alias("one"), F.count("*").alias("n"))
-    passages = save(passages.select("passage", "one.rid", "one.at", "one.anchor", "n"), "passages")
+    found = save(found.join(twice, "anchor").select("rid", "rid2", "at", "anchor", "passage"), "repeated-anchors")
+    passages = found.groupBy("passage").agg(F.min(F.struct("rid", "rid2", "at", "anchor")).alias("one"), F.count("*").alias("n"))
+    passages = save(passages.select("passage", "one.*", "n"), "passages")
     kinds = save(passages.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor-kinds")
     passages = save(passages.join(kinds, "anchor"), "passages-by-kind")
     alone = passages.where("kinds = 1").select("passage", F.lit((1 << (window - GRAM + 1)) - 1).cast("long").alias("mask"))
     varied = passages.where("kinds > 1")
-    cut = _cut(keyed, varied.select("rid", "at", "anchor", "passage", "n"), window)
-    shards = max(1, -(-varied.count() // per_index))
+    cut = _cut(keyed, varied.select("rid", "rid2", "at", "anchor", "passage", "n"), window)
     crowded = kinds.where(F.col("kinds") > hot).select("anchor")
     if crowded.isEmpty():
-        masks = _searched(cut, shards, window, per_index)
+        masks = _searched(cut, window, per_index)
     else:
         cut = save(cut, "passage-words")
-        masks = _searched(cut.join(crowded, "anchor", "left_anti"), shards, window, per_index).unionByName(_counted(cut.join(crowded, "anchor", "left_semi"), window))
-    masks = masks.unionByName(alone)
-    masks = save(masks, "masks")
-    placed = found.select("rid", "at", "passage").join(masks, "passage").select("rid", "at", "mask")
+        masks = _searched(cut.join(crowded, "anchor", "left_anti"), window, per_index).unionByName(_counted(cut.join(crowded, "anchor", "left_semi"), window))
+    masks = save(masks.unionByName(alone), "masks")
+    placed = found.select("rid", "rid2", "at", "passage").join(masks, "passage").select("rid", "rid2", "at", "mask")
     return _remove(keyed, placed, window, ["doc_id", *keep])
