@@ -75,22 +75,8 @@ def merge_subqueries(scored: DataFrame) -> DataFrame:
     return share.groupBy("qid", "entity_id").agg(F.least(F.lit(1.0), F.avg("s") + 0.15 * (F.count("*") - 1)).alias("score"), F.count("*").alias("hits"))
 
 
-def hop_flag(confidence: Column, edges: Column) -> Column:
-    """G1"""
-    return F.when(confidence < 0.4, "low_confidence").when(edges == 0, "orphan_entity")
-
-
 def hop_gaps(hops: DataFrame) -> DataFrame:
     """(qid, entity_id, confidence, n_edges, hop)"""
     low = hops.where((F.col("confidence") < 0.4) & (F.col("hop") <= 1)).select("qid", "entity_id", F.lit("low_confidence_hub").alias("gap_type"), F.lit("high").alias("severity"))
     orphan = hops.where((F.col("confidence") >= 0.4) & (F.col("n_edges") == 0)).select("qid", "entity_id", F.lit("orphan_entity").alias("gap_type"), F.lit("low").alias("severity"))
     return low.unionByName(orphan)
-
-
-def ambiguous_gaps(hops: DataFrame) -> DataFrame:
-    """Two strong hops of a question with much the same name; at most fifteen hops a question"""
-    words = hops.where("score > 0.7").select("qid", "pos", "entity_id", F.array_distinct(F.split(F.lower("name"), r"\s+")).alias("ws"))
-    a, b = words.alias("a"), words.alias("b")
-    both = a.join(b, (F.col("a.qid") == F.col("b.qid")) & (F.col("a.pos") < F.col("b.pos")))
-    score = F.size(F.array_intersect("a.ws", "b.ws")) / F.size(F.array_union("a.ws", "b.ws"))
-    return both.where(score > 0.6).select("a.qid", F.col("a.entity_id").alias("a"), F.col("b.entity_id").alias("b"))

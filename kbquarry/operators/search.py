@@ -14,10 +14,15 @@ from ..scratch import save
 from .windows import top_k
 
 
-def index_words(entities: DataFrame, body_chars: int = 2000) -> DataFrame:
-    """Inverted index: w, entity_id, weight = 3 in the name, 2 in the description, 1 in the body"""
-    field = lambda c, weight: entities.select("entity_id", F.explode(X.word_set(c)).alias("w"), F.lit(weight).alias("v"))
-    rows = field(F.col("name"), 3).unionByName(field(F.col("description"), 2)).unionByName(field(F.substring("body", 1, body_chars), 1))
+def index_words(entities: DataFrame, body_chars: int = 2000, asked: DataFrame | None = None) -> DataFrame:
+    """Inverted index: w, entity_id, weight = 3 in the name, 2 in the description, 1 in the body, in one pass; with ``asked``
+    (w) of these words only, so that nothing else is shuffled."""
+    fields = [(F.col("name"), 3), (F.col("description"), 2), (F.substring("body", 1, body_chars), 1)]
+    weighted = lambda c, v: F.transform(X.word_set(c), lambda w: F.struct(w.alias("w"), F.lit(v).alias("v")))
+    entries = F.concat(*[weighted(c, v) for c, v in fields])
+    rows = entities.select("entity_id", F.explode(entries).alias("x")).select("entity_id", "x.w", "x.v")
+    if asked is not None:
+        rows = rows.join(asked.select("w").distinct(), "w", "left_semi")
     return rows.groupBy("entity_id", "w").agg(F.sum("v").alias("v"))
 
 
@@ -25,7 +30,7 @@ def keyword_scores(questions: DataFrame, entities: DataFrame, body_chars: int =
     """Qid, entity_id, score"""
     words = questions.select("qid", X.word_set(F.col("question")).alias("ws"))
     asked = words.select("qid", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    hits = asked.join(index_words(entities, body_chars), "w").groupBy("qid", "entity_id").agg(F.sum("v").alias("hits"), F.first("n").alias("n"))
+    hits = asked.join(index_words(entities, body_chars, asked), "w").groupBy("qid", "entity_id").agg(F.sum("v").alias("hits"), F.first("n").alias("n"))
     return hits.select("qid", "entity_id", (F.col("hits") / (F.col("n") if divide else F.lit(1.0))).alias("score"))
 
 
@@ -35,61 +40,84 @@ def keyword_search(questions: DataFrame, entities: DataFrame, k: int, **how) ->
 
 def bm25_search(questions: DataFrame, entities: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """R18"""
-    tokens = entities.select("entity_id", X.words(F.col("body")).alias("ws"))
+    tokens = save(entities.select("entity_id", X.words(F.col("body")).alias("ws")), "words")  # each text is split once
     length = tokens.select("entity_id", F.size("ws").alias("len"))
     n, mean = length.agg(F.count("*"), F.coalesce(F.avg("len"), F.lit(1.0))).first()
-    tf = tokens.select("entity_id", F.explode("ws").alias("w")).groupBy("entity_id", "w").agg(F.count("*").alias("tf"))
     asked = questions.select("qid", F.explode(X.word_set(F.col("question"))).alias("w"))
-    hits = save(tf.join(asked.select("w").distinct(), "w", "left_semi"), "postings")
+    found = tokens.select("entity_id", F.size("ws").alias("len"), F.explode("ws").alias("w")).join(asked.select("w").distinct(), "w", "left_semi")
+    hits = save(found.groupBy("entity_id", "w").agg(F.count("*").alias("tf"), F.first("len").alias("len")), "postings")
     df = hits.groupBy("w").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
-    scores = asked.join(hits, "w").join(df, "w").join(length, "entity_id").groupBy("qid", "entity_id").agg(F.sum(part).alias("score"))
+    scores = asked.join(hits, "w").join(df, "w").groupBy("qid", "entity_id").agg(F.sum(part).alias("score"))
     return top_k(scores.withColumn("score", F.round("score", 6)), ["qid"], [F.desc("score"), F.col("entity_id")], k)
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int, most_queries: int = 5_000) -> DataFrame:
-    """Cosine, each query against all rows, in blocks.  Blocks of at most ``most_queries`` queries go to the tasks; each
-    task gives its own best k of a batch, and a window the best of those."""
-    spark, todo, out = vectors.sparkSession, save(queries.select("qid", "embedding").withColumn("blk", F.floor((F.row_number().over(Window.orderBy("qid")) - 1) / most_queries)), "queries"), None
-    for (block,) in todo.select("blk").distinct().orderBy("blk").collect():
-        own = todo.where(F.col("blk") == block).toPandas()
-        q = np.array(own["embedding"].tolist(), np.float64)
-        norm = np.linalg.norm(q, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((own["qid"].to_numpy(), q / np.where(norm == 0, 1, norm), norm[:, 0] > 0))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            qid, q, live = shared.value
-            for b in batches:
-                if not len(b):
-                    continue
-                x, ids = np.array(b["embedding"].tolist(), np.float64), b["entity_id"].to_numpy()
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                s = np.round(q @ (x / np.where(n == 0, 1, n)).T, 9)
-                for i in np.nonzero(live)[0]:
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int, per_block: int = 5_000) -> DataFrame:
+    """Cosine, each query against all rows.  Queries and rows are dealt to blocks of about ``per_block`` by their ids;
+    every two blocks meet in a task, which gives its own best k, and a window the best of those.  A query of zeros finds
+    nothing."""
+    wanted = save(queries.select("qid", F.col("embedding").alias("q")), "queries")
+    rows = vectors.select("entity_id", "embedding")
+    nq, nv = (max(1, -(-df.count() // per_block)) for df in (wanted, rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("vb", F.pmod(F.xxhash64("entity_id"), F.lit(nv)).cast("int")).withColumn("qb", every(nq))
+    right = wanted.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int")).withColumn("vb", every(nv))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"qid": np.zeros(0, np.int64), "entity_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        if len(left) and len(right):
+            x, ids = np.array(left["embedding"].tolist(), np.float64), left["entity_id"].to_numpy()
+            x /= np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n)
+            for a in range(0, len(right), 256):
+                q = np.array(right["q"].iloc[a : a + 256].tolist(), np.float64)
+                norm = np.linalg.norm(q, axis=1, keepdims=True)
+                s = np.round((q / np.where(norm == 0, 1, norm)) @ x.T, 9)
+                for i in np.nonzero(norm[:, 0])[0]:
                     best = np.lexsort((ids, -s[i]))[:k]
-                    yield pd.DataFrame({"qid": qid[i], "entity_id": ids[best], "score": s[i][best]})
+                    out.append(pd.DataFrame({"qid": right["qid"].iloc[a + i], "entity_id": ids[best], "score": s[i][best]}))
+        return pd.concat(out)
 
-        part = vectors.select("entity_id", "embedding").mapInPandas(run, "qid long, entity_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vectors.select(F.lit(0).cast("long").alias("qid"), "entity_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    return top_k(out, ["qid"], [F.desc("score"), F.col("entity_id")], k)
+    found = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(meet, "qid long, entity_id long, score double")
+    return top_k(found, ["qid"], [F.desc("score"), F.col("entity_id")], k)
 
 
-def graph_search(seeds: DataFrame, edges: DataFrame, hops: int = 3, decay: tuple[float, ...] = (1.0, 0.85, 0.7, 0.55)) -> DataFrame:
-    """(qid, id, ord) -> qid, id, hop, score; outgoing edges, first visit wins, in first-in-first-out order"""
+def ann_search(queries: DataFrame, vectors: DataFrame, k: int, bucket: float = 0.5, tables: int = 12, seed: int = 3) -> DataFrame:
+    """The k nearest by cosine among the rows that share a bucket of a random projection with the query, re-ranked
+    exactly.  Buckets are keys of a join; more tables find more and cost more."""
+    unit = lambda c: F.transform(c, lambda v: v / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y.cast("double") * y)))
+    clean = lambda df, i: df.select(F.col(i).alias("i"), F.col("embedding").cast("array<double>").alias("e")).where(F.exists("e", lambda v: v != 0)).select("i", unit(F.col("e")).alias("e"))
+    x, q = clean(vectors, "entity_id"), clean(queries, "qid")
+    size = x.select(F.size("e").alias("n")).first()
+    planes = np.random.default_rng(seed).normal(size=(tables, size["n"] if size else 1)) / bucket
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        at = [F.floor(F.aggregate(F.zip_with("e", F.array(*[F.lit(float(v)) for v in p]), lambda a, b: a * b), F.lit(0.0), lambda a, y: a + y)) for p in planes]
+        return df.select(F.col("i").alias(name), F.col("e").alias("e_" + name), F.posexplode(F.array(*at)).alias("t", "h"))
+
+    met = keyed(q, "qid").join(keyed(x, "entity_id"), ["t", "h"]).dropDuplicates(["qid", "entity_id"])
+    score = F.round(F.aggregate(F.zip_with("e_qid", "e_entity_id", lambda a, b: a * b), F.lit(0.0), lambda a, y: a + y), 9)
+    return top_k(met.select("qid", "entity_id", score.alias("score")), ["qid"], [F.desc("score"), F.col("entity_id")], k)
+
+
+def graph_search(seeds: DataFrame, edges: DataFrame, hops: int = 3, decay: tuple[float, ...] = (1.0, 0.85, 0.7, 0.55), types: DataFrame | None = None) -> DataFrame:
+    """(qid, id, ord) -> qid, id, hop, score, ord (order of visit); outgoing edges, of the question's edge types where
+    ``types`` (qid, rel_type) names some, first visit wins, in first-in-first-out order"""
+    edges = save(edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("to"), "rel_type"), "edges")  # read at every hop
     seen = save(seeds.select("qid", "id", F.col("ord").cast("long").alias("ord"), F.lit(0).alias("hop")), "seen")
     front = seen
     for hop in range(1, hops + 1):
-        reached = front.join(edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("to"), "rel_type"), "id")
+        reached = front.join(edges, "id")
+        if types is not None:
+            limited = types.select("qid").distinct().withColumn("limited", F.lit(True))
+            reached = reached.join(limited, "qid", "left").join(types.withColumn("named", F.lit(True)), ["qid", "rel_type"], "left").where("limited is null or named")
         reached = reached.select("qid", F.col("to").alias("id"), "ord", "rel_type").join(seen.select("qid", "id"), ["qid", "id"], "left_anti")
         first = reached.groupBy("qid", "id").agg(F.min(F.struct("ord", "rel_type", "id")).alias("o"))
         place = F.row_number().over(Window.partitionBy("qid").orderBy("o"))
         front = save(first.select("qid", "id", (place + hop * (1 << 32)).alias("ord"), F.lit(hop).alias("hop")), "front")
         seen = save(seen.unionByName(front), "seen")
     score = F.get(F.array(*map(F.lit, decay)), F.col("hop"))
-    return seen.select("qid", "id", "hop", score.alias("score"))
+    return seen.select("qid", "id", "hop", score.alias("score"), "ord")
 
 
 def relevant_entities(documents: DataFrame, entities: DataFrame, k: int = 10) -> DataFrame:

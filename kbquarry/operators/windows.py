@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import save
+
 
 def top_k(df: DataFrame, part: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """Rank from 0; the order must end in a tie-breaker"""
@@ -64,3 +66,21 @@ def layered_budget(df: DataFrame, layers: list[str], order: list[Column], size:
 def most_common(df: DataFrame, column: str, k: int) -> DataFrame:
     """Ties by key"""
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(k)
+
+
+def pages(rows: DataFrame, group: str, key: str, size: int = 1000) -> DataFrame:
+    """Group, page, keys: each group's keys in order, in lists of ``size``: no list grows with the table"""
+    placed = global_order(rows.select(group, key), [group, key])
+    least = placed.groupBy(group).agg(F.min("pos").alias("_least"))
+    paged = placed.join(least, group).withColumn("page", F.floor((F.col("pos") - F.col("_least")) / size))
+    return paged.groupBy(group, "page").agg(F.array_sort(F.collect_list(key)).alias("keys"))
+
+
+def global_order(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` plus pos, their place (from 1) in the order of the columns ``by``: a range-partitioned table is sorted part by
+    part, and each part adds the number of rows before it."""
+    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
+    dealt = save(dealt.withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ordered")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a part
+    before = dealt.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    return dealt.join(before, "_part").withColumn("pos", F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")

@@ -104,9 +104,7 @@ def j9(s, d):
 @query("j10_reading_order", "SELECT doc_id, row_number() OVER (ORDER BY coalesce(quality, 999), doc_id)::INT AS pos FROM documents LEFT JOIN labels USING (doc_id)")
 def j10(s, d):
     rows = t(s, d, "documents").select("doc_id").join(t(s, d, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(999)).alias("p"))
-    # numbers in a global order: by priority first, so that no task holds more than one priority's rows
-    counts = rows.groupBy("p").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.join(F.broadcast(counts.select("p", "before")), "p").select("doc_id", (F.row_number().over(Window.partitionBy("p").orderBy("doc_id")) + F.col("before")).cast("int").alias("pos"))
+    return windows.global_order(rows, ["p", "doc_id"]).select("doc_id", F.col("pos").cast("int").alias("pos"))
 
 
 @query("j11_missing_expected", f"WITH {G}, {N}, x(entity_type, rel, target_type) AS (VALUES {', '.join(str(r) for r in ontology.EXPECTED)}) SELECT nod.entity_id, rel, target_type FROM nod JOIN x USING (entity_type) WHERE NOT EXISTS (SELECT 1 FROM edg WHERE source_id = nod.entity_id AND rel_type = rel AND split_part(target_id, ':', 1) = target_type)")
@@ -150,7 +148,11 @@ def m2(s, d):
 
 
 
-@query("m3_dedup_classes")
+@query("m3_dedup_classes", f"""WITH RECURSIVE e AS (SELECT p_partkey AS id, p_type AS kind, lower(p_name || ' ' || p_brand) AS name FROM part),
+ w AS (SELECT id, kind, unnest(list_filter(list_distinct({_W('name')}), lambda x: x NOT IN ({", ".join(repr(x) for x in ontology.NAME_STOPS)}))) AS w FROM e), n AS (SELECT id, count(*) AS n FROM w GROUP BY id),
+ p AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM w x JOIN w y ON x.w = y.w AND x.kind = y.kind AND x.id <> y.id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 2 * c >= x.n + y.n - c UNION SELECT x.id, y.id FROM e x JOIN e y ON x.id <> y.id AND trim(regexp_replace(x.name, '\\s+(deployment|v\\d+|process|processing|monitoring|migration)$', '')) = trim(regexp_replace(y.name, '\\s+(deployment|v\\d+|process|processing|monitoring|migration)$', ''))),
+ r AS (SELECT id, id AS r FROM e UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.r) SELECT id AS entity_id, min(r) AS class_id FROM r GROUP BY id""")
 def m3(s, d):
     return resolve.dedup_classes(t(s, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_type").alias("entity_type"), F.concat_ws(" ", "p_name", "p_brand").alias("name")))
 
@@ -181,8 +183,8 @@ def m8(s, d):
 
 @query("m9_dedup_questions")
 def m9(s, d):
-    rows = t(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), X.content_words(F.col("text"), ontology.QUESTION_STOPS).alias("words"))
-    return resolve.greedy_keep_first(rows, resolve.similar_sets(rows, 0.55, [], strict=True))
+    rows = t(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("question"))
+    return resolve.dedup_questions(rows, ontology.QUESTION_STOPS)
 
 
 _KEYS = f"""aq AS (SELECT qid, len(ws) AS n, unnest(ws) AS w FROM (SELECT qid, list_distinct({_W('question')}) AS ws FROM qst)),
@@ -224,7 +226,7 @@ def seeds(s, d):
 
 @query("r4_graph_search", f"WITH {G}, {N}, s0 AS (SELECT name::BIGINT AS qid, entity_id AS id FROM nod WHERE entity_type = 'order' AND entity_id LIKE '%00'), s1 AS (SELECT DISTINCT qid, target_id AS id FROM s0 JOIN edg ON source_id = id EXCEPT SELECT * FROM s0), s2 AS (SELECT DISTINCT qid, target_id AS id FROM s1 JOIN edg ON source_id = id EXCEPT SELECT * FROM s1 EXCEPT SELECT * FROM s0), s3 AS (SELECT DISTINCT qid, target_id AS id FROM s2 JOIN edg ON source_id = id EXCEPT SELECT * FROM s2 EXCEPT SELECT * FROM s1 EXCEPT SELECT * FROM s0) SELECT qid, id, 0 AS hop, 1.0::DOUBLE AS score FROM s0 UNION ALL SELECT qid, id, 1, 0.85 FROM s1 UNION ALL SELECT qid, id, 2, 0.7 FROM s2 UNION ALL SELECT qid, id, 3, 0.55 FROM s3")
 def r4(s, d):
-    return search.graph_search(seeds(s, d), A.edges(s, d))
+    return search.graph_search(seeds(s, d), A.edges(s, d)).drop("ord")
 
 
 _KV = f"{E}, {Q}, {_KEYS}, {_VEC}, un AS (SELECT qid, entity_id, rank, score, 'keyword' AS method, 2 AS o FROM kw UNION ALL SELECT qid // 100, entity_id, rank, score, 'vector', 1 FROM vc)"
@@ -419,9 +421,9 @@ def a19(s, d):
     return A.eval_results(s, d).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("a20_id_tree", f"WITH {E} SELECT entity_type, md5(string_agg(entity_id::VARCHAR, ',' ORDER BY entity_id)) AS h FROM ent GROUP BY 1")
+@query("a20_id_tree", f"WITH {E} SELECT entity_type, page, md5(string_agg(entity_id::VARCHAR, ',' ORDER BY entity_id)) AS h FROM (SELECT entity_type, entity_id, (row_number() OVER (PARTITION BY entity_type ORDER BY entity_id) - 1) // 1000 AS page FROM ent) GROUP BY 1, 2")
 def a20(s, d):
-    return A.entities(s, d).groupBy("entity_type").agg(F.md5(F.array_join(F.array_sort(F.collect_list("entity_id")), ",")).alias("h"))
+    return windows.pages(A.entities(s, d), "entity_type", "entity_id").select("entity_type", "page", F.md5(F.array_join("keys", ",")).alias("h"))
 
 
 @query("a21_effort_rollup", f"WITH {CL} SELECT effort_id, count(*) AS call_count, count(*) FILTER (is_gap) AS gap_count FROM cal GROUP BY 1")

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names.  Only where that is unset (tests) a local folder is made."""
+    """A new path in the folder that spark.checkpoint.dir names.  Only where that is unset and Spark runs in one process (tests)
+    a local folder is made; on a cluster executors wouldn't share it."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="kbquarry-")
         spark.conf.set("spark.checkpoint.dir", base)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vectorized import html_to_text
 
+#: White space of all kinds, for btrim(), which else takes blanks only.
+SPACES = " \t\n\x0b\x0c\r"
 RESULT = (
     "question string, source string, source_file string, layer_hint string, topic string, persona string, score string, ddc_class string, answer string, citations array<string>, "
     "entities_retrieved int, total_ms long, trace_summary string, hops array<struct<entity_id: string, entity_name: string, hop_number: int, fused_score: double>>, gaps array<struct<gap_type: string, entity_id: string, description: string>>"
@@ -19,17 +21,20 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     text = F.coalesce(F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")), F.decode("content", "ISO-8859-1"))
     name = F.element_at(F.split("path", "/"), -1)
     rows = raw.select(name.alias("filename"), F.col("path").alias("filepath"), text.alias("raw"), F.regexp_extract(name, r"\.(\w+)$", 1).alias("file_type"), F.col("length").alias("size_bytes"))
-    content = F.trim(F.when(F.col("file_type").isin("html", "htm"), html_to_text("raw")).otherwise(F.col("raw")))
+    content = F.btrim(F.when(F.col("file_type").isin("html", "htm"), html_to_text("raw")).otherwise(F.col("raw")), F.lit(SPACES))
     return rows.where(~F.col("filename").startswith(".")).withColumn("content", content).where("content <> ''").drop("raw")
 
 
 def read_entity_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """S3: front matter of plain ``key: value`` lines and lists, and the body; files without it are dropped"""
+    """S3: front matter of plain ``key: value`` lines (of a repeated key the last), which must begin the file, and the body;
+    block lists (``- item`` lines below a key) come as ``[a, b]``; files without front matter are dropped"""
     raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    parts = F.split(F.col("value"), "(?m)^---\\s*$", 3)
-    rows = raw.where(F.size(parts) == 3).select("path", parts[1].alias("front"), F.trim(parts[2]).alias("body"))
+    parts = F.split(F.col("value"), "(?m)^---[ \\t]*$", 3)
+    front = F.regexp_replace(F.regexp_replace(parts[1], r"(?m)\n[ \t]*-[ \t]+(.*)$", ", $1"), r"(?m)^(\w+):[ \t]*, (.*)$", "$1: [$2]")
+    rows = raw.where((F.size(parts) == 3) & (F.btrim(parts[0], F.lit(SPACES)) == "")).select("path", front.alias("front"), F.btrim(parts[2], F.lit(SPACES)).alias("body"))
     pairs = F.transform(F.regexp_extract_all("front", F.lit(r"(?m)^(\w+):[ \t]*(.*)$"), 0), lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(1)).alias("k"), F.trim(F.regexp_replace(x, r"^\w+:", "")).alias("v")))
-    return rows.withColumn("fields", F.map_from_entries(pairs)).where(F.size("fields") > 0)
+    last = F.filter("pairs", lambda p, i: ~F.exists(F.slice(F.col("pairs"), i + 2, F.size("pairs")), lambda q: q["k"] == p["k"]))
+    return rows.withColumn("pairs", pairs).withColumn("fields", F.map_from_entries(last)).where(F.size("fields") > 0).drop("pairs")
 
 
 def read_extractions(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -49,7 +54,7 @@ def render_markdown() -> Column:
 
 def read_work_items(spark: SparkSession, path: str, most: int = 2000) -> DataFrame:
     """S9"""
-    raw = spark.read.option("pathGlobFilter", "*.{md,txt}").text(path, wholetext=True).select(F.trim("value").alias("t"), F.col("_metadata.file_name").alias("f")).where("t <> ''")
+    raw = spark.read.option("pathGlobFilter", "*.{md,txt}").option("recursiveFileLookup", True).text(path, wholetext=True).select(F.btrim("value", F.lit(SPACES)).alias("t"), F.col("_metadata.file_name").alias("f")).where("t <> ''")
     topic = F.substring(F.trim(F.regexp_replace(F.split("t", "\n")[0], "#", "")), 1, 50)
     text = F.when(F.length("t") > most, F.concat(F.substring("t", 1, most), F.lit("\n[truncated]"))).otherwise(F.col("t"))
     return raw.select(text.alias("question"), F.lit("work-item").alias("source"), F.regexp_replace("f", r"\.\w+$", "").alias("source_file"), topic.alias("topic"))
@@ -57,7 +62,7 @@ def read_work_items(spark: SparkSession, path: str, most: int = 2000) -> DataFra
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """S10"""
-    rows = spark.read.schema("question string, source string, source_file string, layer_hint string, topic string, persona string").option("multiLine", True).json(path)
+    rows = spark.read.schema("question string, source string, source_file string, layer_hint string, topic string, persona string").option("multiLine", True).option("recursiveFileLookup", True).json(path)
     return rows.where("question is not null").withColumn("source", F.coalesce("source", F.lit("curated")))
 
 
