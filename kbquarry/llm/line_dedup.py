@@ -2,15 +2,16 @@
 
 Each line hash gets a HyperLogLog sketch of its sites; sketches merge by aggregation, map side first.  Estimates far
 from the threshold decide; lines near it get exact distinct counts.  Lines on ``min_sites`` sites or more are
-candidates.  They are counted again with copies of one document as one site (the smallest of those with the line): exact
-copies by the hash of the text; and among the documents of which candidates are over ``max_share`` of the characters, copies by
-their shingles, as near-duplicate removal counts them.  Lines that still have ``min_sites`` sites are boilerplate and go
-from every document that keeps a line of its own; a document of nothing but boilerplate is left whole.
+candidates.  They are counted again with copies of one document as one site (the smallest of those with the line), since a
+copied document's lines are no boilerplate: exact copies by the hash of the text; near copies, sought among the texts at least
+half of whose characters lie in candidates, by bottom-k sketches of word shingles (two texts are copies if both hold five eighths of the ``SKETCH`` smallest hashes of either; a text is compared with
+the first text of each bucket that it falls into, so the work is linear).  Lines that still have ``min_sites`` sites are
+boilerplate and go from every document that keeps a line of its own; a document of nothing but boilerplate is left whole.
 
 Defined cases: a null text stays null; lines without a word are kept and never counted; a null site is a site of its own;
 repeated rows and repeated lines count once per site; an empty table gives an empty table; lines of any length are
 hashed whole (128 bits); rows are known by a hash of id and text, so that null ids are cleaned too; ties can't occur.
-Further columns are kept.
+Further columns are kept, but for n_lines and n_removed, which the results replace.
 """
 
 from __future__ import annotations
@@ -19,17 +20,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..components import connected_components
-from . import minhash
-from .common import ascii_lower, save
+from .common import ascii_lower, save, text_words
 
 #: log2 of a sketch's registers, and the band around the threshold in which exact counts decide: six deviations.
 LG_K, BAND = 10, 0.2
+#: Shingle hashes that a text is known by, how many of them are bucket keys, words of a shingle.
+SKETCH, KEYS, SHINGLE = 64, 3, 5
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def line_keys(text: Column) -> Column:
     """128 bits of each line without outer white space, A-Z folded; null for lines without a word.  Every line is trimmed and
     folded once: two steps, since a lambda evaluates what it names as often as it names it."""
-    bare = F.transform(F.split(text, "\n", -1), lambda x: ascii_lower(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))))
+    bare = F.transform(F.split(text, "\n", -1), lambda x: ascii_lower(F.btrim(x, F.lit(SPACES))))
     return F.transform(bare, lambda x: F.when(F.length(x) > 0, F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))))
 
 
@@ -43,54 +46,55 @@ def boilerplate(rows: DataFrame, min_sites: int) -> DataFrame:
     return save(far.select("a", "b").unionByName(exact.where(F.col("sites") >= min_sites).select("a", "b")), "boilerplate")
 
 
-def copies(texts: DataFrame, size: int = 5, percent: int = 75, miss: float = 2e-5, block: int = 4096) -> DataFrame:
-    """(node, component) of the texts (doc_id, text) that have a near duplicate: each member of a MinHash bucket is compared
-    with the stars of its bucket, at most one pair a member, and pairs are verified on full sets."""
-    sigs = save(minhash.signatures(texts, size), "copy-signatures").where("h1 is not null")
-    banded = sigs.select(F.col("doc_id").alias("doc"), F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = save(banded.join(shared, "key").select("key", "doc", "n"), "copy-buckets")
-    members = save(texts.join(buckets.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "copy-texts")
-    parts = F.ceil(F.col("n") / block)
-    several = F.when(F.pmod(F.xxhash64("doc", F.lit(5)), F.col("n")) < 64, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), parts)))
-    part = F.explode(F.when(F.col("n") > block, several).otherwise(F.array(F.lit(0).cast("long")))).alias("part")
-    dealt = buckets.join(minhash.sketches(members, size), "doc").select("key", "doc", "sketch", part, F.lit(0).cast("long").alias("comp"))
-    pairs = save(minhash._pairs(dealt, minhash.needed_matches(percent / 100, miss), 0).select("a", "b"), "copy-pairs")
-    return connected_components(save(minhash.verify(pairs, members, size, percent), "copy-links"))
-
-
-def independent(docs: DataFrame, shared: DataFrame, min_sites: int, max_share: float) -> DataFrame:
-    """(a, b) of the candidate lines ``shared`` (r1, r2, t, total, size, site, a, b) on ``min_sites`` sites or more, copies as one."""
-    share = shared.groupBy("r1", "r2", "t", "total").agg(F.sum(F.col("size") + 1).alias("size"))
-    suspects = save(share.where(F.col("size") > max_share * F.col("total")).select("t").distinct(), "suspects")
-    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text").join(suspects.withColumnRenamed("t", "doc_id"), "doc_id", "left_semi")
-    found = copies(save(texts.groupBy("doc_id").agg(F.first("text").alias("text")), "suspect-texts"))
+def text_sketches(texts: DataFrame) -> DataFrame:
+    """t, m (the text's MD5), sketch (the smallest distinct shingle hashes, rising) of ``texts`` (t, text), once for each t.
+    Hashes are eight hexadecimal digits of MD5, which other engines know too."""
+    words = texts.select("t", F.md5("text").alias("m"), text_words(ascii_lower(F.col("text"))).alias("w"))
+    at = F.sequence(F.lit(1), F.greatest(F.size("w") - SHINGLE + 1, F.lit(1)))
+    shingles = F.transform(at, lambda i: F.substring(F.md5(F.array_join(F.slice("w", i, SHINGLE), " ")), 1, 8))
+    return words.where(F.size("w") > 0).select("t", "m", F.slice(F.sort_array(F.array_distinct(shingles)), 1, SKETCH).alias("sketch")).dropDuplicates(["t"])
+
+
+def copies(texts: DataFrame) -> DataFrame:
+    """(node, component) of the texts (t, text) that have a near copy among them."""
+    keyed = save(text_sketches(texts).select("t", "m", "sketch", F.explode(F.slice("sketch", 1, KEYS)).alias("key")), "copy-keys")
+    first = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("m", "t", "sketch")).alias("one")).where("n > 1")
+    pairs = keyed.join(first.select("key", F.col("one.t").alias("a"), F.col("one.sketch").alias("other")), "key").where("t <> a")
+    pairs = pairs.select("a", "t", F.array_intersect("sketch", "other").alias("both"), F.slice(F.sort_array(F.array_union("sketch", "other")), 1, SKETCH).alias("least"))
+    return connected_components(pairs.where(8 * F.size(F.array_intersect("least", "both")) >= 5 * F.size("least")).select("a", F.col("t").alias("b")))
+
+
+def independent(docs: DataFrame, shared: DataFrame, min_sites: int) -> DataFrame:
+    """(a, b) of the candidate lines ``shared`` (r1, r2, t, total, size, site, a, b) on ``min_sites`` sites or more, copies as
+    one."""
+    share = shared.groupBy("r1", "r2", "i", "t", "total").agg(F.first("size").alias("size"))  # a repeated row counts once
+    share = share.groupBy("r1", "r2", "t", "total").agg(F.sum(F.col("size") + 1).alias("size"))
+    wanted = save(share.where(2 * F.col("size") >= F.col("total")).select("t").distinct(), "mostly-shared")
+    found = copies(docs.select(F.xxhash64("text").alias("t"), "text").join(wanted, "t", "left_semi"))
     homes = shared.groupBy("a", "b", "t").agg(F.min("site").alias("site"))
     homes = homes.join(found.withColumnRenamed("node", "t"), "t", "left").groupBy("a", "b", F.coalesce("component", "t").alias("copy")).agg(F.min("site").alias("site"))
     counts = homes.select("a", "b", "site").distinct().groupBy("a", "b").agg(F.count("*").alias("sites"))
     return save(counts.where(F.col("sites") >= min_sites).select("a", "b"), "independent")
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = 10, max_share: float = 0.5, site: str = "source") -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = 10, site: str = "source") -> DataFrame:
     """``docs`` with its text cleaned, plus n_lines and n_removed (long; null text: 0)."""
-    where = F.coalesce(F.xxhash64(F.col(site)), F.lit(0)).alias("site")
+    where = F.coalesce(F.col(site).cast("string"), F.lit("\x01")).alias("site")
     row = [F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("r2")]  # never null
     sized = F.arrays_zip(line_keys(F.col("text")).alias("k"), F.transform(F.split("text", "\n", -1), lambda x: F.length(x)).alias("n"))
-    rows = docs.select(*row, F.xxhash64("text").alias("t"), F.length("text").alias("total"), where, F.explode(sized).alias("x")).where(F.col("x.k").isNotNull())
-    rows = save(rows.select("r1", "r2", "t", "total", "site", "x.k.a", "x.k.b", F.col("x.n").alias("size")), "line-keys")  # texts are split and hashed once for all that follows
+    rows = docs.select(*row, F.xxhash64("text").alias("t"), F.length("text").alias("total"), where, F.posexplode(sized).alias("i", "x")).where(F.col("x.k").isNotNull())
+    rows = save(rows.select("r1", "r2", "t", "total", "site", "x.k.a", "x.k.b", "i", F.col("x.n").alias("size")), "line-keys")  # texts are split and hashed once for all that follows
     shared = save(rows.join(boilerplate(rows, min_sites), ["a", "b"], "left_semi"), "shared-lines")
-    found = independent(docs, shared, min_sites, max_share)
-    own = shared.join(found, ["a", "b"], "left_semi").groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "b")).alias("_bad"))
-    keyed = docs.select(*docs.columns, *row)
-    joined = keyed.join(own, ["r1", "r2"], "left").select(*docs.columns, "_bad", F.split("text", "\n", -1).alias("_lines"))
-    pairs = F.arrays_zip(F.col("_lines").alias("x"), line_keys(F.col("text")).alias("k"))
-    stay = F.filter(pairs, lambda p: ~F.coalesce(F.array_contains(F.col("_bad"), p["k"]), F.lit(False)))
-    step = joined.withColumn("_stay", F.when(F.col("_bad").isNotNull(), stay))
-    takes = F.coalesce((F.size("_stay") < F.size("_lines")) & F.exists("_stay", lambda p: p["k"].isNotNull()), F.lit(False)) & F.col("_bad").isNotNull()
-    clean = F.array_join(F.transform("_stay", lambda p: p["x"]), "\n")
-    text = F.when(takes, clean).otherwise(F.col("text")).alias("text")
+    found = independent(docs, shared, min_sites)
+    own = shared.join(found, ["a", "b"], "left_semi").groupBy("r1", "r2").agg(F.collect_set("i").alias("bad"))  # places in one text
+    # the input's columns travel in a struct, where their names can't clash with those used here
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), *row)
+    step = keyed.join(own, ["r1", "r2"], "left").withColumn("lines", F.split("doc.text", "\n", -1)).withColumn("left", F.when(F.col("bad").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "bad")))
+    step = step.withColumn("stay", F.transform("left", lambda i: F.get("lines", i)))
+    takes = F.coalesce(F.exists("stay", lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0), F.lit(False))
+    text = F.when(takes, F.array_join("stay", "\n")).otherwise(F.col("doc.text")).alias("text")
     return step.select(
-        *[text if c == "text" else F.col(c) for c in docs.columns],
-        F.when(F.col("text").isNotNull(), F.size("_lines")).otherwise(0).cast("long").alias("n_lines"),
-        F.when(takes, F.size("_lines") - F.size("_stay")).otherwise(0).cast("long").alias("n_removed"),
+        *[text if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
+        F.when(F.col("doc.text").isNotNull(), F.size("lines")).otherwise(0).cast("long").alias("n_lines"),
+        F.when(takes, F.size("bad")).otherwise(0).cast("long").alias("n_removed"),
     )

@@ -10,7 +10,7 @@ from . import ann, bpe, line_dedup, maxent_lm, minhash, packing, quality_rules,
 from .common import table
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-MIN_SITES, MAX_SHARE = 10, 0.5
+MIN_SITES = 10
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    found = line_dedup.remove_boilerplate(docs, MIN_SITES, MAX_SHARE)
+    found = line_dedup.remove_boilerplate(docs, MIN_SITES)
     return found.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 

@@ -27,15 +27,24 @@ low AS (SELECT host, a / (a + b) - 1.645 * sqrt(a / (a + b) * (b / (a + b)) / (a
 SELECT page_id, v.host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN coalesce(lower, 0) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
 FROM v LEFT JOIN low ON v.host = low.host"""
 
-#: d: rid, text, kept text, lines before and after
-_LINES = f"""d AS (SELECT row_number() OVER () AS rid, * FROM {{source}}),
-l AS (SELECT rid, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+OP4 = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, text, coalesce(source, chr(1)) AS site FROM documents),
+l AS (SELECT rid, text, site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
 k AS (SELECT *, {_LOW.format("regexp_replace(line, '^[ \\t-\\r]+|[ \\t-\\r]+$', '', 'g')")} AS key FROM l),
-bp AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT coalesce(source, chr(1))) >= 10),
-f AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (bp.key IS NULL) AS n_kept, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (bp.key IS NULL), '') AS clean FROM k LEFT JOIN bp USING (key) GROUP BY rid),
-r AS (SELECT d.*, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept < n_lines AND length(text) - length(clean) <= 0.5 * length(text), false) AS takes, n_lines - n_kept AS gone, clean FROM d LEFT JOIN f USING (rid))"""
-OP4 = f"""WITH {_LINES.format(source="documents")}
-SELECT doc_id, n_lines::BIGINT AS n_lines, CASE WHEN takes THEN gone ELSE 0 END::BIGINT AS n_removed, md5(coalesce(CASE WHEN takes THEN clean ELSE text END, '')) AS kept_md5 FROM r"""
+cand AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT site) >= 10),
+sh AS (SELECT DISTINCT text, site, key FROM k SEMI JOIN cand USING (key)),
+tx AS (SELECT row_number() OVER () AS t, text, regexp_extract_all({_LOW.format("text")}, '[^ \\t-\\r]+') AS w FROM (SELECT DISTINCT text FROM (SELECT rid, text, sum(length(line) + 1) AS size FROM k SEMI JOIN cand USING (key) GROUP BY rid, text) WHERE 2 * size >= length(text))),
+s AS (SELECT t, md5(text) AS m, list_sort(list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: md5(array_to_string(w[i:i + 4], ' '))[1:8])))[1:64] AS s FROM tx WHERE len(w) > 0),
+b AS (SELECT t, m, s, unnest(s[1:3]) AS key FROM s),
+f1 AS (SELECT key, min({{'m': m, 't': t, 's': s}}) AS one FROM b GROUP BY key HAVING count(*) > 1),
+p AS (SELECT DISTINCT one.t AS a, t AS b, one.s AS o, s FROM b JOIN f1 USING (key) WHERE t <> one.t),
+e0 AS (SELECT a, b, list_sort(list_distinct(o || s))[1:64] AS least, list_intersect(o, s) AS common FROM p),
+e AS (SELECT a, b FROM e0 WHERE 8 * len(list_intersect(least, common)) >= 5 * len(least) UNION SELECT b, a FROM e0 WHERE 8 * len(list_intersect(least, common)) >= 5 * len(least)),
+r AS (SELECT t, t AS r FROM tx UNION SELECT r.t, e.b FROM r JOIN e ON r.r = e.a),
+c AS (SELECT text, coalesce(min(r), 1000000000 + row_number() OVER ()) AS copy FROM (SELECT DISTINCT text FROM sh) LEFT JOIN tx USING (text) LEFT JOIN r USING (t) GROUP BY text),
+bp AS (SELECT key FROM (SELECT key, copy, min(site) AS site FROM sh JOIN c USING (text) GROUP BY key, copy) GROUP BY key HAVING count(DISTINCT site) >= 10),
+f AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (bp.key IS NULL) AS n_kept, count(*) FILTER (bp.key IS NULL AND k.key <> '') AS n_own, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (bp.key IS NULL), '') AS clean FROM k LEFT JOIN bp USING (key) GROUP BY rid),
+o AS (SELECT doc_id, text, coalesce(n_lines, 0) AS n_lines, coalesce(n_own > 0 AND n_kept < n_lines, false) AS takes, n_lines - n_kept AS gone, clean FROM d LEFT JOIN f USING (rid))
+SELECT doc_id, n_lines::BIGINT AS n_lines, CASE WHEN takes THEN gone ELSE 0 END::BIGINT AS n_removed, md5(coalesce(CASE WHEN takes THEN clean ELSE text END, '')) AS kept_md5 FROM o"""
 
 OP7 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, source, text, regexp_extract_all(text, '[^ \\t-\\r]+') AS ws FROM d),
