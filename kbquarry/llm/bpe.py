@@ -13,13 +13,14 @@ import base64
 import heapq
 import json
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,6 +94,42 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
+def rank_map(path: str, buckets: int = 4096) -> Column:
+    """The ranks as a literal: an array of maps from pieces (in hexadecimal digits) to ranks, by a hash of the piece, since
+    Spark looks keys of a map up one after another."""
+    parts: list[list[str]] = [[] for _ in range(buckets)]
+    for piece, rank in load_ranks(path).items():
+        parts[zlib.crc32(piece.hex().encode()) % buckets].append(f"{piece.hex()}:{rank}")
+    return F.array(*[F.str_to_map(F.lit(",".join(p)), F.lit(","), F.lit(":")) for p in parts])
+
+
+def fold_table(words: DataFrame, path: str) -> DataFrame:
+    """word, ids of a table of distinct ``words`` (word), by DataFrame functions alone: aggregate() over a word's byte array
+    merges the adjacent pair of lowest rank, leftmost first, as often as the word has bytes.  Each merge looks all pairs up
+    again, so this is for words of some tens of bytes."""
+    ranks, none = rank_map(path), 1 << 30
+
+    def rank(piece: Column) -> Column:
+        place = F.pmod(F.crc32(piece), F.lit(4096)).cast("int")
+        return F.coalesce(F.try_element_at(F.get(ranks, place), piece).cast("int"), F.lit(none))
+
+    def merge(parts: Column, _: Column) -> Column:
+        pairs = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda a, i: rank(F.concat(a, F.get(parts, i + 1))))
+        # an array of one binds its element, so that the pairs are looked up once
+        return F.get(F.transform(F.array(pairs), lambda r: F.when(F.coalesce(F.array_min(r), F.lit(none)) == none, parts).otherwise(_joined(parts, F.array_position(r, F.array_min(r)).cast("int")))), 0)
+
+    digits = F.lower(F.hex(F.encode("word", "UTF-8")))
+    parts = F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.substring(digits, i, F.lit(2)))
+    folded = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), parts, merge)
+    return words.where("word <> ''").select("word", F.transform(folded, rank).alias("ids"))
+
+
+def _joined(parts: Column, at: Column) -> Column:
+    """``parts`` with the elements at and at + 1 (from 1) as one"""
+    both = F.concat(F.get(parts, at - 1), F.get(parts, at))
+    return F.concat(F.slice(parts, F.lit(1), at - 1), F.array(both), F.slice(parts, at + 2, F.size(parts)))
+
+
 class _Bounded(dict):
     def __init__(self, make, limit: int):
         super().__init__()

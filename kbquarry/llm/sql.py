@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .url_filter import TWO_LABEL_SUFFIXES
+
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -18,13 +20,16 @@ v AS (SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net
   WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM h),
 o AS (SELECT doc_id AS page_id, max((quality = 0)::INT) AS bad FROM labels GROUP BY 1),
-g AS (SELECT host, count(*) AS n, sum(bad) AS k, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM h JOIN o USING (page_id) WHERE bad IS NOT NULL GROUP BY host),
+hh AS (SELECT host, CASE WHEN d2 IN {TWO_LABEL_SUFFIXES} THEN d3 ELSE d2 END AS domain, CASE WHEN d2 IN {TWO_LABEL_SUFFIXES} THEN d2 ELSE string_split(host, '.')[-1] END AS suffix
+ FROM (SELECT DISTINCT host, array_to_string(string_split(host, '.')[-2:], '.') AS d2, array_to_string(string_split(host, '.')[-3:], '.') AS d3 FROM h)),
+g AS (SELECT host, n, k, domain, suffix FROM (SELECT host, count(*) AS n, sum(bad) AS k FROM h JOIN o USING (page_id) WHERE bad IS NOT NULL GROUP BY host) JOIN hh USING (host)),
 gd AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM g GROUP BY ALL), gs AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM g GROUP BY ALL),
 {_prior("s", "gs")}, {_prior("d", "gd")}, {_prior("h", "g")},
 ms AS (SELECT suffix, (k + s * p) / (n + s) AS m FROM gs, b_s), md AS (SELECT domain, (gd.k + b_d.s * ms.m) / (gd.n + b_d.s) AS m FROM gd JOIN ms USING (suffix), b_d),
-ab AS (SELECT host, k + s * m AS a, n - k + s * (1 - m) AS b FROM g JOIN md USING (domain), b_h),
-low AS (SELECT host, a / (a + b) - 1.645 * sqrt(a / (a + b) * (b / (a + b)) / (a + b + 1)) AS lower FROM ab)
-SELECT page_id, v.host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN coalesce(lower, 0) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+ab AS (SELECT hh.host, coalesce(g.n, 0) AS n, coalesce(g.k, 0) AS k, coalesce(md.m, ms.m, (t.k + 1) / (t.n + 2)) AS m, CASE WHEN coalesce(md.m, ms.m) IS NULL THEN least(b_h.s, t.n + 2) ELSE b_h.s END AS s
+ FROM hh LEFT JOIN g ON g.host = hh.host LEFT JOIN md ON md.domain = hh.domain LEFT JOIN ms ON ms.suffix = hh.suffix CROSS JOIN b_h CROSS JOIN (SELECT coalesce(n, 0) AS n, coalesce(k, 0) AS k FROM t_h) t),
+low AS (SELECT host, a / (a + b) - 1.645 * sqrt(a / (a + b) * (b / (a + b)) / (a + b + 1)) AS lower FROM (SELECT host, k + s * m AS a, n - k + s * (1 - m) AS b FROM ab))
+SELECT page_id, v.host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN lower > 0.5 THEN 'block' ELSE 'allow' END AS verdict
 FROM v LEFT JOIN low ON v.host = low.host"""
 
 OP4 = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, text, coalesce(source, chr(1)) AS site FROM documents),

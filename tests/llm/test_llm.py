@@ -62,6 +62,32 @@ def test_bpe_round_trip_and_library(spark):
         assert r["ids"] == own.encode_ordinary(text) and bytes(r["decoded"]) == text.encode()
 
 
+def test_fold_table_equals_the_library(spark):
+    path, rng = P.path("byte_bpe_50k.tiktoken"), random.Random(5)
+    ranks = bpe.load_ranks(path)
+    texts = sorted({"".join(rng.choice(["th", "e", "é", "日", "1", ".", " ", "ing", "q", "zx"]) for _ in range(rng.randrange(1, 9))) for _ in range(60)} | {"a", "hello", "aaaaaaaaaaaa"})
+    got = bpe.fold_table(spark.createDataFrame([(t,) for t in [*texts, ""]], "word string"), path).collect()
+    assert {r["word"]: r["ids"] for r in got} == {t: bpe.fold_merges(t.encode(), ranks) for t in texts}
+
+
+def test_bpe_odd_rows(spark):
+    rows = [*ODD, ((1 << 53) + 1, "wide id"), ((1 << 53) + 1, "wide id"), (None, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], DOC + ", n_tokens string")
+    got = bpe.digests(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(i for i, _ in rows)
+    assert bpe.digests(docs.limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+def test_quality_and_urls_odd_rows(spark):
+    docs = spark.createDataFrame([(*r, None, "x") for r in ODD], DOC + ", source string, n_words string")
+    assert [r["kept"] for r in quality_rules.quality(docs).collect()].count(False) == len(ODD)
+    assert quality_rules.quality(docs.limit(0)).count() == 0
+    pages = spark.createDataFrame([(1, None, "h"), (None, "http://a.b/" + "x" * 100_000, "h"), (1, None, "h")], "page_id long, url string, host string")
+    none = spark.createDataFrame([], "page_id long, bad boolean")
+    assert [r["verdict"] for r in url_filter.filter_urls(pages, none, []).collect()] == ["allow"] * 3
+    assert url_filter.filter_urls(pages.limit(0), none, []).count() == 0
+
+
 def test_url_rules_and_shrinkage(spark):
     pages = spark.createDataFrame([(1, "http://A.Example.net/en/x?q"), (2, "http://example.net"), (3, None), (4, "no scheme"), (5, "https://m.spam.org/a"), (6, "https://x.example.com/de/1#t")], "page_id long, url string")
     bad = spark.createDataFrame([(5, True)], "page_id long, bad boolean")
