@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from .. import ontology
 
-WORDS = r"([\p{L}\p{N}_]+)"
+#: What parts words.  One split beats an extraction of each word.
+BETWEEN = r"[^\p{L}\p{N}_]+"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORDS), 1)
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), lambda w: w != "")
 
 
 def word_set(text: Column) -> Column:

@@ -26,7 +26,7 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 300).alias("question"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -98,4 +98,4 @@ SQL_CALLS = f"""cal AS (SELECT conv_id AS effort_id, turn AS seq, role AS tool,
 SQL_EVENTS = """evt AS (SELECT event_id AS id, ts AS "at", user_id AS entity_id, event_type AS action, 'actor' || (user_id % 7) AS actor, props AS args FROM events)"""
 SQL_EVAL = f"""{SQL_ENTITIES}, evl AS (SELECT entity_id AS qid, name AS question, source, lang AS layer_hint, ['architect', 'developer', 'new-joiner', ''][1 + entity_id % 4] AS persona,
  CASE WHEN quality = 1 AND toxic = 0 THEN 'CLEAN' WHEN quality = 1 AND toxic = 1 THEN 'INCOMPLETE' ELSE 'MISSING' END AS ddc_class, length(body) AS total_ms, 'run' || (entity_id % 3) AS run_id FROM ent)"""
-SQL_QUESTIONS = "qst AS (SELECT item_id AS qid, substr(text, 1, 300) AS question FROM benchmark)"
+SQL_QUESTIONS = "qst AS (SELECT item_id AS qid, text AS question FROM benchmark)"

@@ -207,9 +207,9 @@ def w9(s, d):
     return t(s, d, "lineitem").groupBy("l_orderkey").agg(F.min(at)["l_returnflag"].alias("first_flag"), F.max(at)["l_returnflag"].alias("last_flag"))
 
 
-@query("t1_open_questions", f"WITH {E} SELECT entity_id, name, confidence FROM ent WHERE name IS NOT NULL ORDER BY confidence, entity_id LIMIT 20")
+@query("t1_open_questions", f"WITH {E} SELECT entity_id, name, confidence FROM ent ORDER BY confidence, entity_id LIMIT 20")
 def t1(s, d):
-    return A.entities(s, d).where("name is not null").orderBy("confidence", "entity_id").limit(20).select("entity_id", "name", "confidence")
+    return A.entities(s, d).orderBy("confidence", "entity_id").limit(20).select("entity_id", "name", "confidence")
 
 
 @query("t5_sample_docs", "SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR || ':7'), doc_id LIMIT 25")
@@ -228,9 +228,9 @@ def u3(s, d):
     return t(s, d, "lineitem").groupBy("l_partkey").agg(F.array_join(F.sort_array(F.collect_set("l_suppkey")).cast("array<string>"), ",").alias("sources"))
 
 
-@query("u4_all_questions", f"WITH {Q} SELECT question, 'curated' AS source, NULL AS topic FROM qst UNION ALL SELECT substr(text, 1, 300), 'conversation', role FROM conversations WHERE turn = 0")
+@query("u4_all_questions", f"WITH {Q} SELECT question, 'curated' AS source, NULL AS topic FROM qst UNION ALL SELECT text, 'conversation', role FROM conversations WHERE turn = 0")
 def u4(s, d):
-    asked = t(s, d, "conversations").where("turn = 0").select(F.substring("text", 1, 300).alias("question"), F.lit("conversation").alias("source"), F.col("role").alias("topic"))
+    asked = t(s, d, "conversations").where("turn = 0").select(F.col("text").alias("question"), F.lit("conversation").alias("source"), F.col("role").alias("topic"))
     return A.questions(s, d).select("question", F.lit("curated").alias("source")).unionByName(asked, allowMissingColumns=True)
 
 

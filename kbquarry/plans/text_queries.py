@@ -25,8 +25,7 @@ def docs(s, d):
 
 @query("x1_word_set", f"SELECT doc_id, len(list_distinct(w))::INT AS n, md5(array_to_string(list_sort(list_distinct(w)), ' ')) AS h FROM (SELECT doc_id, {_W('text')} AS w FROM documents)")
 def x1(s, d):
-    w = X.word_set(T())
-    return docs(s, d).select("doc_id", F.size(w).alias("n"), _sorted(w).alias("h"))
+    return docs(s, d).select("doc_id", X.word_set(T()).alias("w")).select("doc_id", F.size("w").alias("n"), _sorted(F.col("w")).alias("h"))
 
 
 @query("x2_content_words", f"""SELECT doc_id, md5(array_to_string(list_sort(list_filter(list_distinct(w), lambda x: NOT list_contains({_list(ontology.QUESTION_STOPS)}, x))), ' ')) AS h,
@@ -73,17 +72,16 @@ def x8(s, d):
     return docs(s, d).select("doc_id", F.md5("text").alias("h"))
 
 
-@query("x9_doc_preview", "SELECT doc_id, substr(trim(list_filter(string_split('# Doc ' || doc_id || chr(10) || text, chr(10)), lambda x: NOT starts_with(x, '#') AND NOT starts_with(x, '---') AND length(trim(x)) > 20)[1]), 1, 500) AS body, 'Doc ' || doc_id AS heads FROM documents WHERE NOT regexp_matches(text, '(^|\\n)#')")
+@query("x9_doc_preview", r"WITH l AS (SELECT doc_id, string_split('# Doc ' || doc_id || chr(10) || text, chr(10)) AS ls FROM documents) SELECT doc_id, substr(trim(list_filter(ls, lambda x: NOT starts_with(x, '#') AND NOT starts_with(x, '---') AND length(trim(x)) > 20)[1]), 1, 500) AS body, array_to_string(list_transform(list_filter(ls, lambda x: regexp_matches(x, '^#{1,3}\s+\S')), lambda x: regexp_replace(x, '^#{1,3}\s+', ''))[1:10], ' | ') AS heads FROM l")
 def x9(s, d):
     heads, body = X.preview(F.concat(F.lit("# Doc "), F.col("doc_id"), F.lit("\n"), T()))
-    return docs(s, d).where(~T().rlike("(^|\n)#")).select("doc_id", body.alias("body"), heads.alias("heads"))
+    return docs(s, d).select("doc_id", body.alias("body"), heads.alias("heads"))
 
 
-@query("x10_open_questions", "SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 5))::INT AS n FROM documents WHERE lang = 'en' AND NOT contains(text, '## ')")
+@query("x10_open_questions", "SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 5))::INT AS n FROM documents")
 def x10(s, d):
     body = F.concat(F.lit("# A\n## Open Questions\n- "), F.regexp_replace(T(), "\n", "\n- "), F.lit("\n## End\n- none of these"))
-    rows = docs(s, d).where((F.col("lang") == "en") & ~T().contains("## "))
-    return rows.select("doc_id", F.size(X.open_questions(body)).alias("n"))
+    return docs(s, d).select("doc_id", F.size(X.open_questions(body)).alias("n"))
 
 
 @query("x11_overview")
@@ -138,26 +136,28 @@ def x14(s, d):
     return rows.select("item_id", *[F.round(c, 6).cast("double").alias(f"w_{i}") for i, c in named.items()], *[F.round(c, 6).cast("double").alias(f"l_{k}") for k, c in X.layer_priorities(named).items()])
 
 
-@query("x15_citations", "SELECT doc_id, 'doc ' || doc_id || '|' || lang AS c FROM documents WHERE lang IS NOT NULL AND NOT regexp_matches(text, '[\\[\\]]')")
+@query("x15_citations", r"SELECT doc_id, array_to_string(regexp_extract_all('see [doc ' || doc_id || '] and [' || lang || '] ' || text, '\[([^\]]+)\]', 1), '|') AS c FROM documents")
 def x15(s, d):
     answer = F.concat(F.lit("see [doc "), F.col("doc_id"), F.lit("] and ["), F.col("lang"), F.lit("] "), T())
-    return docs(s, d).where(F.col("lang").isNotNull() & ~T().rlike(r"[\[\]]")).select("doc_id", F.array_join(X.citations(answer), "|").alias("c"))
+    return docs(s, d).select("doc_id", F.array_join(X.citations(answer), "|").alias("c"))
 
 
-@query("x16_link_mentions", rf"""SELECT doc_id, md5(CASE WHEN contains(text, 'that') THEN regexp_replace(text, '\bthat\b', '[[that]]') ELSE text END) AS h FROM documents WHERE NOT regexp_matches(text, '(^|\n)#|\[\[')""")
+@query("x16_link_mentions", r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), p AS (SELECT doc_id, ls, list_position(list_transform(ls, lambda x: NOT starts_with(x, '#') AND NOT contains(x, '[[') AND regexp_matches(x, '\bthat\b')), true) AS k FROM l)
+SELECT doc_id, md5(array_to_string(list_transform(ls, lambda x, i: CASE WHEN i = k THEN regexp_replace(x, '\bthat\b', '[[that]]') ELSE x END), chr(10))) AS h FROM p""")
 def x16(s, d):
     """One name here; link_mentions() takes any list."""
     from ..functions.vectorized import link_mentions
 
-    rows = docs(s, d).where(~T().rlike(r"(^|\n)#|\[\["))
-    return rows.select("doc_id", F.md5(link_mentions(["that"])(T())).alias("h"))
+    return docs(s, d).select("doc_id", F.md5(link_mentions(["that"])(T())).alias("h"))
 
 
-@query("x17_answer_score", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'answerable' WHEN 1 THEN 'partial' ELSE 'not_answerable' END AS score, CASE doc_id % 4 WHEN 0 THEN 'CLEAN' WHEN 1 THEN 'INCOMPLETE' ELSE 'MISSING' END AS cls FROM documents WHERE NOT regexp_matches(upper(text), 'ANSWERABLE|PARTIAL')")
+@query("x17_answer_score", r"""WITH a AS (SELECT doc_id, upper(text || CASE doc_id % 4 WHEN 0 THEN chr(10) || 'Score: ANSWERABLE' WHEN 1 THEN chr(10) || 'PARTIAL' || chr(10) || '.' WHEN 2 THEN chr(10) || 'Partial' || chr(10) || 'NOT_ANSWERABLE' ELSE '' END) AS a FROM documents),
+v AS (SELECT doc_id, coalesce(list_filter(list_transform(list_reverse(string_split(a, chr(10)))[1:5], lambda x: CASE WHEN contains(x, 'NOT_ANSWERABLE') THEN 'not_answerable' WHEN contains(x, 'PARTIAL') THEN 'partial' WHEN contains(x, 'ANSWERABLE') THEN 'answerable' END), lambda x: x IS NOT NULL)[1], 'not_answerable') AS score FROM a)
+SELECT doc_id, score, CASE score WHEN 'answerable' THEN 'CLEAN' WHEN 'partial' THEN 'INCOMPLETE' ELSE 'MISSING' END AS cls FROM v""")
 def x17(s, d):
     tail = F.get(F.array(*map(F.lit, ("\nScore: ANSWERABLE", "\nPARTIAL\n.", "\nPartial\nNOT_ANSWERABLE", ""))), F.pmod("doc_id", F.lit(4)).cast("int"))
     score = X.answer_score(F.concat(T(), tail))
-    return docs(s, d).where(~F.upper(T()).rlike("ANSWERABLE|PARTIAL")).select("doc_id", score.alias("score"), X.ddc_class(score).alias("cls"))
+    return docs(s, d).select("doc_id", score.alias("score"), X.ddc_class(score).alias("cls"))
 
 
 @query("x18_extract_json", "SELECT event_id, props AS j FROM events")
@@ -166,10 +166,10 @@ def x18(s, d):
     return A.table(s, d, "events").select("event_id", X.extract_json(wrapped).alias("j"))
 
 
-@query("x20_salvage", f"WITH {E} SELECT entity_id, least(1.0, greatest(0.0, coalesce(confidence * 2 - 0.7, 0.5))) AS confidence, CASE WHEN confidence * 2 - 0.7 BETWEEN 0 AND 1 THEN '' ELSE 'needs-review' END AS tags FROM ent WHERE name <> ''")
+@query("x20_salvage", f"WITH {E} SELECT entity_id, least(1.0, greatest(0.0, coalesce(confidence * 2 - 0.7, 0.5))) AS confidence, CASE WHEN confidence * 2 - 0.7 BETWEEN 0 AND 1 THEN '' ELSE 'needs-review' END AS tags FROM ent")
 def x20(s, d):
     raw = F.col("confidence") * 2 - 0.7
-    return A.entities(s, d).where("name <> ''").select("entity_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(raw, F.lit(0.5)))).alias("confidence"), F.when((raw >= 0) & (raw <= 1), "").otherwise("needs-review").alias("tags"))
+    return A.entities(s, d).select("entity_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(raw, F.lit(0.5)))).alias("confidence"), F.when((raw >= 0) & (raw <= 1), "").otherwise("needs-review").alias("tags"))
 
 
 @query("x21_layer_icon", f"WITH {E} SELECT entity_id, layer, upper(CASE WHEN len(string_split(entity_type, '-')) = 1 THEN substr(entity_type, 1, 2) ELSE substr(array_to_string(list_transform(string_split(entity_type, '-'), lambda p: substr(p, 1, 1)), ''), 1, 3) END) AS icon FROM ent")
@@ -208,10 +208,10 @@ def x27(s, d):
     return docs(s, d).select("doc_id", F.size(X.hedged(F.concat(T(), F.lit(" likely so.")))).alias("n"))
 
 
-@query("x29_clean_body", "SELECT doc_id, md5(trim(text)) AS h FROM documents WHERE NOT contains(text, '## ')")
+@query("x29_clean_body", "SELECT doc_id, md5(trim(string_split(text || chr(10) || '## Open Questions', chr(10) || '## Open Questions')[1])) AS h FROM documents")
 def x29(s, d):
     body = F.concat(F.lit("# N"), F.col("doc_id"), F.lit("\n"), T(), F.lit("\n## Open Questions\n- why"))
-    return docs(s, d).where(~T().contains("## ")).select("doc_id", F.md5(X.clean_body(body, F.concat(F.lit("N"), F.col("doc_id")))).alias("h"))
+    return docs(s, d).select("doc_id", F.md5(X.clean_body(body, F.concat(F.lit("N"), F.col("doc_id")))).alias("h"))
 
 
 @query("f1_validate", f"WITH {E} SELECT entity_id, (name = '')::INT + (confidence < 0.4)::INT + (NOT regexp_matches(entity_type, '^[a-z0-9]+(-[a-z0-9]+)*$'))::INT AS n_errors FROM ent")
@@ -261,6 +261,6 @@ def f9(s, d):
     return A.calls(s, d).where("tool = 'user'").orderBy(F.desc("effort_id"), F.desc("seq")).limit(50).select("effort_id", "seq")
 
 
-@query("f10_events", f"WITH {A.SQL_EVENTS} SELECT id, action FROM evt WHERE entity_id % 10 = 3 ORDER BY id DESC LIMIT 100")
+@query("f10_events", f"WITH {A.SQL_EVENTS} SELECT id, action FROM evt ORDER BY id DESC LIMIT 100")
 def f10(s, d):
-    return A.events(s, d).where("entity_id % 10 = 3").orderBy(F.desc("id")).limit(100).select("id", "action")
+    return A.events(s, d).orderBy(F.desc("id")).limit(100).select("id", "action")
