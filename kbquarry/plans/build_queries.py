@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import ontology
 from ..functions import text as X
-from ..operators import backend, context, extraction, resolve, search
+from ..operators import backend, context, evaluate, extraction, resolve, search
 from ..scratch import scratch_path
 from ..sources import files
 from ..streaming import ingest
@@ -106,21 +106,39 @@ def r10(s, d):
     return resolve.dedup_text(rows).select("qid", "entity_id")
 
 
-@query("r14_context_text", f"""WITH {_RRF}, i AS (SELECT qid, entity_id, layer, round(score, 9) AS sc, row_number() OVER (PARTITION BY qid, layer ORDER BY round(score, 9) DESC, entity_id) AS turn FROM ad), p AS (SELECT i.*, row_number() OVER (PARTITION BY qid ORDER BY turn, layer <> 'structural', layer) AS pos, greatest(250, least(2500, floor(24000 * sc / sum(sc) OVER (PARTITION BY qid)))) AS share FROM i),
+def _blocks(source):
+    """CTEs down to c: qid, entity_id, pos, block, running (tokens), from ``source`` (qid, entity_id, layer, sc)"""
+    return f"""i AS (SELECT qid, entity_id, layer, sc, row_number() OVER (PARTITION BY qid, layer ORDER BY sc DESC, entity_id) AS turn FROM {source}), p AS (SELECT i.*, row_number() OVER (PARTITION BY qid ORDER BY turn, layer <> 'structural', layer) AS pos, greatest(250, least(2500, floor(24000 * sc / sum(sc) OVER (PARTITION BY qid)))) AS share FROM i),
  b AS (SELECT p.qid, p.entity_id, pos, 4 * share AS room, e.*, {_TRIM.format("regexp_replace(coalesce(body, ''), '\\n##[ \\t-\\r]*Open Questions(.|\\n)*$', '')")} AS bare FROM p JOIN ent e USING (entity_id)),
  k AS (SELECT qid, entity_id, pos, 'Entity: ' || name || ' (' || entity_type || ', confidence: ' || round(100 * confidence)::INT || '%)' || chr(10) || 'Description: ' || coalesce(description, '') || chr(10) || coalesce('Relationships:' || chr(10) || '  part_of → ' || source || chr(10), '') || coalesce('Source: ' || source || chr(10), '') ||
  CASE WHEN bare = '' THEN '' WHEN length(bare) > room THEN chr(10) || regexp_replace(substr(bare, 1, room::BIGINT), '\\n[^\\n]*$', '') || chr(10) || '[...]' || chr(10) ELSE chr(10) || bare || chr(10) END AS block FROM b),
- c AS (SELECT *, sum(length(block) // 4) OVER (PARTITION BY qid ORDER BY pos) AS running FROM k)
-SELECT qid, count(*) AS blocks, md5(string_agg(block, chr(10) || '---' || chr(10) ORDER BY pos)) AS h FROM c WHERE running <= 24000 GROUP BY qid""")
-def r14_text(s, d):
+ c AS (SELECT *, sum(length(block) // 4) OVER (PARTITION BY qid ORDER BY pos) AS running FROM k)"""
+
+
+def hops_and_relations(s, d):
     e = A.entities(s, d)
-    hops = adjusted(s, d).select("qid", "entity_id", F.round("score", 9).alias("score"), "layer", F.when(F.col("layer") == "structural", 1.5).otherwise(1.0).alias("priority"))
+    hops = adjusted(s, d).select("qid", "entity_id", F.round("score", 9).alias("score"), "layer", "entity_type", F.when(F.col("layer") == "structural", 1.5).otherwise(1.0).alias("priority"))
     edges = e.where("source is not null").select(F.col("entity_id").alias("source_id"), F.lit("part_of").alias("rel_type"), F.col("source").alias("target_id"))
     names = e.select(F.col("source").alias("entity_id"), F.col("source").alias("name")).distinct()
-    blocks = context.context_blocks(hops, e, context.first_relations(edges, names))
+    return e, hops, context.first_relations(edges, names)
+
+
+@query("r14_context_text", f"WITH {_RRF}, x AS (SELECT qid, entity_id, layer, round(score, 9) AS sc FROM ad), {_blocks('x')} SELECT qid, count(*) AS blocks, md5(string_agg(block, chr(10) || '---' || chr(10) ORDER BY pos)) AS h FROM c WHERE running <= 24000 GROUP BY qid")
+def r14_text(s, d):
+    e, hops, relations = hops_and_relations(s, d)
+    blocks = context.context_blocks(hops, e, relations)
     return context.context_text(blocks).join(blocks.groupBy("qid").agg(F.count("*").alias("blocks")), "qid").select("qid", "blocks", F.md5("context").alias("h"))
 
 
+@query("r21_run_eval", f"""WITH {_RRF}, x AS (SELECT *, round(score, 9) AS sc FROM ad), c1 AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid, entity_type ORDER BY sc DESC, entity_id) AS r FROM x), c2 AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n2, row_number() OVER (PARTITION BY qid, layer ORDER BY sc DESC, entity_id) AS r2 FROM c1 WHERE r <= greatest(1, floor(n * 0.5))),
+ f AS (SELECT qid, entity_id, layer, sc FROM c2 WHERE r2 <= greatest(1, floor(n2 * 0.6)) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sc DESC, entity_id) <= 15), {_blocks('f')}, z AS (SELECT qid, count(*) AS n, string_agg(block, chr(10) || '---' || chr(10) ORDER BY pos) AS t FROM c WHERE running <= 24000 GROUP BY qid)
+SELECT qid, coalesce(n, 0) AS entities_retrieved, md5(coalesce(substr(t, 1, 500), '')) AS answer, CASE WHEN n IS NULL THEN 'not_answerable' ELSE 'partial' END AS score, CASE WHEN n IS NULL THEN 'MISSING' ELSE 'INCOMPLETE' END AS ddc_class FROM qst LEFT JOIN z USING (qid)""")
+def r21(s, d):
+    e, hops, relations = hops_and_relations(s, d)
+    found = evaluate.run_eval(A.questions(s, d), hops, e, relations)
+    return found.select("qid", "entities_retrieved", F.md5("answer").alias("answer"), "score", "ddc_class")
+
+
 @query("r19_ann_search")
 def r19(s, d):
     v = t(s, d, "embeddings").select(F.col("vec_id").alias("entity_id"), "embedding")

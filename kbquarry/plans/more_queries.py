@@ -112,16 +112,6 @@ def r15(s, d):
     return vectors(s, d, 15).select("qid", "entity_id", F.col("rank").cast("int").alias("rank"))
 
 
-_RUN = "CASE WHEN n IS NULL THEN 'MISSING' WHEN n >= 20 THEN 'CLEAN' ELSE 'INCOMPLETE' END"
-
-
-@query("r21_run_eval", f"WITH {_RRF}, h AS (SELECT qid, count(*) AS n FROM fu GROUP BY 1) SELECT qid, coalesce(n, 0) AS entities_retrieved, {_RUN} AS ddc_class FROM qst LEFT JOIN h USING (qid)")
-def r21(s, d):
-    hits = fused(s, d).groupBy("qid").agg(F.count("*").alias("n"))
-    cls = F.when(F.col("n").isNull(), "MISSING").when(F.col("n") >= 20, "CLEAN").otherwise("INCOMPLETE")
-    return A.questions(s, d).join(hits, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("entities_retrieved"), cls.alias("ddc_class"))
-
-
 def hops(s, d):
     """The fused hops with their flag; names of a length divisible by three stand for entities without relationships."""
     rows = fused(s, d).join(A.entities(s, d).select("entity_id", (F.length("name") % 3).alias("n_edges")), "entity_id")
