@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..functions.vectorized import html_to_text
 from ..operators import coverage as C
 from ..operators import fuse, resolve, search, windows
+from ..operators.backend import RetrievalConfig
 from . import adapters as A
 from .registry import query
 
@@ -194,11 +195,12 @@ def m9(s, d):
 _KEYS = f"""aq AS (SELECT qid, len(ws) AS n, unnest(ws) AS w FROM (SELECT qid, list_distinct({_W('question')}) AS ws FROM qst)),
  iw AS (SELECT entity_id, unnest(list_distinct({_W('name')})) AS w, 3 AS v FROM ent UNION ALL SELECT entity_id, unnest(list_distinct({_W('description')})), 2 FROM ent UNION ALL SELECT entity_id, unnest(list_distinct({_W('substr(body, 1, 2000)')})), 1 FROM ent),
  ks AS (SELECT qid, entity_id, sum(v) * 1.0 / any_value(n) AS score FROM aq JOIN iw USING (w) GROUP BY 1, 2),
- kw AS (SELECT qid, entity_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, entity_id) - 1 AS rank FROM ks QUALIFY rank < 20)"""
+ kw AS (SELECT qid, entity_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, entity_id) - 1 AS rank FROM ks QUALIFY rank < (SELECT greatest(20, least(200, count(*) // 5)) FROM ent))"""
 
 
-def keyword(s, d, k=20):
-    return search.keyword_search(A.questions(s, d), A.entities(s, d), k)
+def keyword(s, d):
+    e = A.entities(s, d)
+    return search.keyword_search(A.questions(s, d), e, RetrievalConfig.candidates(t(s, d, "documents").count()))
 
 
 @query("r2_keyword_search", f"WITH {E}, {Q}, {_KEYS} SELECT qid, entity_id, round(score, 6)::DOUBLE AS score, rank::INT AS rank FROM kw")
@@ -211,11 +213,12 @@ def r3(s, d):
     return search.keyword_search(A.questions(s, d), A.entities(s, d).where("layer = 'structural'"), 10, body_chars=500, divide=False).select("qid", "entity_id", F.col("score").cast("double").alias("score"))
 
 
-_VEC = "vs AS (SELECT q.vec_id AS qid, e.vec_id AS entity_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0), vc AS (SELECT qid, entity_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, entity_id) - 1 AS rank FROM vs QUALIFY rank < 20)"
+_VEC = "vs AS (SELECT q.vec_id AS qid, e.vec_id AS entity_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0), vc AS (SELECT qid, entity_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, entity_id) - 1 AS rank FROM vs QUALIFY rank < (SELECT greatest(20, least(200, count(*) // 5)) FROM embeddings))"
 
 
-def vectors(s, d, k=20):
+def vectors(s, d):
     e = t(s, d, "embeddings").select(F.col("vec_id").alias("entity_id"), "embedding")
+    k = RetrievalConfig.candidates(e.count())
     return search.vector_search(e.where("entity_id % 100 = 0").select(F.col("entity_id").alias("qid"), "embedding"), e, k)
 
 
@@ -234,7 +237,7 @@ def r4(s, d):
 
 
 _KV = f"{E}, {Q}, {_KEYS}, {_VEC}, un AS (SELECT qid, entity_id, rank, score, 'keyword' AS method, 2 AS o FROM kw UNION ALL SELECT qid // 100, entity_id, rank, score, 'vector', 1 FROM vc)"
-_RRF = f"{_KV}, rr AS (SELECT qid, entity_id, sum(1.0 / (60 + rank)) AS raw, string_agg(method, ',' ORDER BY o) AS found_by, max(score) FILTER (method = 'vector') AS cosine FROM un GROUP BY 1, 2), ff AS (SELECT *, raw / max(raw) OVER (PARTITION BY qid) AS fused FROM rr), fu AS (SELECT ff.*, layer, entity_type, confidence, name, CASE WHEN cosine IS NULL THEN fused * CASE layer WHEN 'structural' THEN 1.5 ELSE 1 END ELSE 0.7 * fused * CASE layer WHEN 'structural' THEN 1.5 ELSE 1 END + 0.3 * cosine END AS score FROM ff JOIN ent USING (entity_id)), co AS (SELECT *, min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi FROM fu), ad AS (SELECT * EXCLUDE (score), score AS before, CASE WHEN score >= lo + 0.15 * CASE WHEN hi > lo THEN hi - lo ELSE 1 END THEN score * pow(0.5 + 0.5 * confidence, 0.3) * (1 + 0.02 * ln(2)) ELSE score END AS score FROM co)"
+_RRF = f"{_KV}, rr AS (SELECT qid, entity_id, sum(1.0 / (60 + rank)) AS raw, string_agg(method, ',' ORDER BY o) AS found_by, max(score) FILTER (method = 'vector') AS cosine FROM un GROUP BY 1, 2), ff AS (SELECT *, raw / max(raw) OVER (PARTITION BY qid) AS fused FROM rr), fu AS (SELECT ff.*, layer, entity_type, confidence, name, (lang IS NOT NULL)::INT + (source IS NOT NULL)::INT AS n_edges, CASE WHEN cosine IS NULL THEN fused * CASE layer WHEN 'structural' THEN 1.5 ELSE 1 END ELSE 0.7 * fused * CASE layer WHEN 'structural' THEN 1.5 ELSE 1 END + 0.3 * cosine END AS score FROM ff JOIN ent USING (entity_id)), co AS (SELECT *, min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi FROM fu), ad AS (SELECT * EXCLUDE (score), score AS before, CASE WHEN score >= lo + 0.15 * CASE WHEN hi > lo THEN hi - lo ELSE 1 END THEN score * pow(0.5 + 0.5 * confidence, 0.3) * CASE WHEN n_edges > 0 THEN 1 + 0.03 * ln(1 + n_edges) ELSE 1 END * (1 + 0.02 * ln(2)) ELSE score END AS score FROM co)"
 
 
 def candidates(s, d):
@@ -243,12 +246,12 @@ def candidates(s, d):
 
 
 def fused(s, d):
-    rows = fuse.rrf(candidates(s, d)).join(A.entities(s, d).select("entity_id", "layer", "entity_type", "confidence", "name"), "entity_id")
+    rows = fuse.rrf(candidates(s, d)).join(A.entities(s, d).select("entity_id", "layer", "entity_type", "confidence", "name", (F.col("lang").isNotNull().cast("int") + F.col("source").isNotNull().cast("int")).alias("n_edges")), "entity_id")
     return fuse.fuse(rows, F.when(F.col("layer") == "structural", 1.5).otherwise(1.0))
 
 
 def adjusted(s, d):
-    return fuse.adjust_scores(fused(s, d).withColumns({"n_edges": F.lit(0), "n_docs": F.lit(1)}))
+    return fuse.adjust_scores(fused(s, d).withColumn("n_docs", F.lit(1)))
 
 
 @query("r5_rrf", f"WITH {_RRF} SELECT qid, entity_id, round(fused, 6) AS fused, found_by FROM ff")
@@ -293,9 +296,9 @@ def r16(s, d):
     return fuse.vanilla_merge(v, keyword(s, d)).select("qid", "entity_id", "score")
 
 
-@query("r17_merge_subqueries", f"WITH {_KV}, h AS (SELECT qid, method, entity_id, score / max(score) OVER (PARTITION BY qid, method) AS s FROM un) SELECT qid, entity_id, round(least(1.0, avg(s) + 0.15 * (count(*) - 1)), 6)::DOUBLE AS score, count(*) AS hits FROM h GROUP BY 1, 2")
+@query("r17_merge_subqueries", f"WITH {_KV}, h AS (SELECT qid, method, entity_id, score / max(score) OVER (PARTITION BY qid, method) AS s FROM un) SELECT qid, entity_id, round(least(1.0, avg(s) + 0.15 * (count(*) - 1)), 5)::DOUBLE AS score, count(*) AS hits FROM h GROUP BY 1, 2")
 def r17(s, d):
-    return fuse.merge_subqueries(candidates(s, d).withColumnRenamed("method", "sub")).select("qid", "entity_id", F.round("score", 6).alias("score"), "hits")
+    return fuse.merge_subqueries(candidates(s, d).withColumnRenamed("method", "sub")).select("qid", "entity_id", F.round("score", 5).alias("score"), "hits")
 
 
 @query("r18_bm25", f"""WITH {E}, {Q}, tk AS (SELECT entity_id, {_W('body')} AS ws FROM ent), ln_ AS (SELECT entity_id, len(ws) AS len FROM tk), st AS (SELECT count(*) AS n, avg(len) AS mean FROM ln_), tf AS (SELECT entity_id, w, count(*) AS tf FROM (SELECT entity_id, unnest(ws) AS w FROM tk) GROUP BY 1, 2), df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1),
@@ -309,9 +312,9 @@ def r20(s, d):
     return candidates(s, d).groupBy("qid").agg(F.count_if(F.col("method") == "vector").alias("n_vector"), F.count_if(F.col("method") == "keyword").alias("n_keyword"), F.count_distinct("entity_id").alias("n_fused"))
 
 
-@query("g2_hop_gaps", f"WITH {_RRF} SELECT qid, entity_id, CASE WHEN confidence < 0.4 THEN 'low_confidence_hub' ELSE 'orphan_entity' END AS gap_type, CASE WHEN confidence < 0.4 THEN 'high' ELSE 'low' END AS severity FROM fu")
+@query("g2_hop_gaps", f"WITH {_RRF} SELECT qid, entity_id, CASE WHEN confidence < 0.4 THEN 'low_confidence_hub' ELSE 'orphan_entity' END AS gap_type, CASE WHEN confidence < 0.4 THEN 'high' ELSE 'low' END AS severity FROM fu WHERE confidence < 0.4 OR n_edges = 0")
 def g2(s, d):
-    return fuse.hop_gaps(fused(s, d).withColumns({"n_edges": F.lit(0), "hop": F.lit(0)}))
+    return fuse.hop_gaps(fused(s, d).withColumn("hop", F.lit(0)))
 
 
 @query("g5_unanswered_gaps", f"WITH {V} SELECT qid, CASE WHEN total_ms > 1000 THEN 'thin_coverage' ELSE 'missing_entity' END AS gap_type FROM evl WHERE ddc_class = 'MISSING'")

@@ -109,12 +109,12 @@ def r14(s, d):
 
 @query("r15_vector_only", f"WITH {_VEC} SELECT qid, entity_id, rank::INT AS rank FROM vc WHERE rank < 15")
 def r15(s, d):
-    return vectors(s, d, 15).select("qid", "entity_id", F.col("rank").cast("int").alias("rank"))
+    return vectors(s, d).where("rank < 15").select("qid", "entity_id", F.col("rank").cast("int").alias("rank"))
 
 
 def hops(s, d):
     """The fused hops with their flag; names of a length divisible by three stand for entities without relationships."""
-    rows = fused(s, d).join(A.entities(s, d).select("entity_id", (F.length("name") % 3).alias("n_edges")), "entity_id")
+    rows = fused(s, d).drop("n_edges").join(A.entities(s, d).select("entity_id", (F.length("name") % 3).alias("n_edges")), "entity_id")
     return rows.withColumn("flag", gaps.hop_flag(F.col("confidence"), F.col("n_edges")))
 
 
