@@ -180,17 +180,18 @@ def library_encoder(path: str, pattern: str) -> Callable[[str | None], bytes]:
         import tiktoken
 
         own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
-        plain = Encoder(pattern, lambda w: np.array(own.encode_ordinary(w), "<i4").tobytes(), by_chunk=True)
         added = {t: np.array([i], "<i4").tobytes() for t, i in added_tokens(path).items()}
         parts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
+        _LOADED[key] = own, added, parts
+    own, added, parts = _LOADED[key]
+    plain = Encoder(pattern, lambda w: np.array(own.encode_ordinary(w), "<i4").tobytes(), 150_000, by_chunk=True)  # its caches go with the task
 
-        def encode(text: str | None) -> bytes:
-            if parts and text and any(t in text for t in added):
-                return b"".join(added.get(p) or plain(p) for p in parts(text))
-            return plain(text)
+    def encode(text: str | None) -> bytes:
+        if parts and text and any(t in text for t in added):
+            return b"".join(added.get(p) or plain(p) for p in parts(text))
+        return plain(text)
 
-        _LOADED[key] = encode
-    return _LOADED[key]
+    return encode
 
 
 def _pieces(path: str) -> pa.Array:

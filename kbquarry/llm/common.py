@@ -42,7 +42,7 @@ def plain_columns(df: DataFrame, *names: str) -> DataFrame:
 class HashCache(dict):
     """word (bytes) -> 64-bit hash, forgotten as a whole when it holds ``limit`` words: memory stays bounded."""
 
-    def __init__(self, limit: int = 600_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 

@@ -126,6 +126,7 @@ def search_shard(rows: list[dict[str, np.ndarray]], window: int, cache: HashCach
     size = np.array([len(w) for w in split])
     begin = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
     hashes = np.fromiter(map(cache.__getitem__, chain.from_iterable(split)), np.uint64, int(size.sum()))
+    del split, words  # a shard's words as objects are its largest part
     _, symbol = np.unique(hashes, return_inverse=True)
     text = np.zeros(int((size + 1).sum()), np.int64)
     inside = np.ones(len(text), bool)
@@ -211,7 +212,7 @@ def _remove(keyed: DataFrame, masks: DataFrame, window: int, keep: list[str]) ->
     return keyed.join(by_doc, ["rid", "rid2"], "left").select(*dict.fromkeys([*names, "text"]), "own").mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, keep: tuple[str, ...] = (), hot: int = 20_000, per_index: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, keep: tuple[str, ...] = (), hot: int = 20_000, per_index: int = 12_000) -> DataFrame:
     """doc_id, the columns ``keep``, kept_text, n_words, n_removed."""
     rid = [F.xxhash64("doc_id", "text").alias("rid"), F.xxhash64(F.lit(1), "doc_id", "text").alias("rid2")]  # never null
     keyed = docs.select(*dict.fromkeys(["doc_id", *keep, "text"]), *rid)
