@@ -23,19 +23,23 @@ REJECT_AT = 0.3
 
 
 def _boxed(docs: DataFrame) -> DataFrame:
-    """All columns in a struct beside those that operators read: names of other columns can't clash with theirs."""
-    return docs.select(F.struct(*docs.columns).alias("doc"), *[c for c in ("doc_id", "text", "source") if c in docs.columns])
+    """The columns that operators read, and all others under names of their own, which can't clash with operators' names."""
+    return docs.select("doc_id", "text", *(["source"] if "source" in docs.columns else []), *[F.col(c).alias(f"own_{i}") for i, c in enumerate(docs.columns) if c != "text"])
+
+
+def _own(docs: DataFrame) -> list[str]:
+    return [f"own_{i}" for i, c in enumerate(docs.columns) if c != "text"]
 
 
 def _unboxed(df: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
     new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return df.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
+    return df.select(*[new.get(c, F.col(f"own_{i}") if c != "text" else text).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
-    scored = toxicity.score(_boxed(docs), toxicity.learn(docs, labels), "doc")
-    return scored.where(F.col("score") < REJECT_AT).select("doc.*")
+    scored = toxicity.score(_boxed(docs), toxicity.learn(docs, labels), "text", *_own(docs)).where(F.col("score") < REJECT_AT)
+    return scored.select(*[F.col("text") if c == "text" else F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +54,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = substring_dedup.remove_repeats(_boxed(docs), keep=("doc",))
-    return _unboxed(kept, docs, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("doc.text")))
+    kept = substring_dedup.remove_repeats(_boxed(docs), keep=("text", *_own(docs)))
+    return _unboxed(kept, docs, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
