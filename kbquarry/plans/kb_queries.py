@@ -296,9 +296,9 @@ def r16(s, d):
     return fuse.vanilla_merge(v, keyword(s, d)).select("qid", "entity_id", "score")
 
 
-@query("r17_merge_subqueries", f"WITH {_KV}, h AS (SELECT qid, method, entity_id, score / max(score) OVER (PARTITION BY qid, method) AS s FROM un) SELECT qid, entity_id, round(least(1.0, avg(s) + 0.15 * (count(*) - 1)), 5)::DOUBLE AS score, count(*) AS hits FROM h GROUP BY 1, 2")
+@query("r17_merge_subqueries", f"WITH {_KV}, h AS (SELECT qid, method, entity_id, score / max(score) OVER (PARTITION BY qid, method) AS s FROM un) SELECT qid, entity_id, round(least(1.0, avg(s) + 0.15 * (count(*) - 1)), 9)::DOUBLE AS score, count(*) AS hits FROM h GROUP BY 1, 2")
 def r17(s, d):
-    return fuse.merge_subqueries(candidates(s, d).withColumnRenamed("method", "sub")).select("qid", "entity_id", F.round("score", 5).alias("score"), "hits")
+    return fuse.merge_subqueries(candidates(s, d).withColumnRenamed("method", "sub")).select("qid", "entity_id", F.round("score", 9).alias("score"), "hits")
 
 
 @query("r18_bm25", f"""WITH {E}, {Q}, tk AS (SELECT entity_id, {_W('body')} AS ws FROM ent), ln_ AS (SELECT entity_id, len(ws) AS len FROM tk), st AS (SELECT count(*) AS n, avg(len) AS mean FROM ln_), tf AS (SELECT entity_id, w, count(*) AS tf FROM (SELECT entity_id, unnest(ws) AS w FROM tk) GROUP BY 1, 2), df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1),
