@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, line_dedup, maxent_lm, minhash, packing, quality_rules, sql, substring_dedup, toxicity, url_filter
+from . import ann, bpe, burst_trie, line_dedup, maxent_lm, minhash, packing, periodic_runs, projection_dedup, quality_rules, sql, substring_dedup, toxicity, url_filter
 from .common import table
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -73,5 +73,23 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_url_filter, op4_line_dedup, op5_toxicity, op6_maxent_lm, op7_quality, op8_ann, op9_packing, op10_minhash)}
+def op11_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    nodes, members = burst_trie.prefix_trie(*burst_trie.rebuilt(turns))
+    found = nodes.join(burst_trie.ends_digests(members), "ends", "left")
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(burst_trie.EMPTY)).alias("ends_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), rewrite=True)
+    exponent = F.floor(F.lit(1000) * F.col("length") / F.col("period")).cast("long")
+    digests = [F.sha2(F.col("runs_text"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256")]
+    return found.select("doc_id", "n_runs", "start", "length", "period", exponent.alias("exponent_milli"), *digests)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_url_filter, op4_line_dedup, op5_toxicity, op6_maxent_lm, op7_quality, op8_ann, op9_packing, op10_minhash, op11_projection_dedup, op12_burst_trie, op13_periodic_runs)}
 SQL: dict[str, str] = {"op3_url_filter": sql.OP3, "op4_line_dedup": sql.OP4, "op7_quality": sql.OP7}
