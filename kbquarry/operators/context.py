@@ -20,7 +20,7 @@ def first_relations(edges: DataFrame, names: DataFrame, most: int = 5) -> DataFr
     return named.groupBy(F.col("source_id").alias("entity_id")).agg(F.array_join(lines, "\n").alias("relations"))
 
 
-def context_blocks(hops: DataFrame, entities: DataFrame, relations: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+def pack_blocks(hops: DataFrame, entities: DataFrame, relations: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """R14 by block: ``hops`` (qid, entity_id, score, layer, priority) -> qid, entity_id, pos, block.  Layers take turns, by
     priority; a body gets a share of the budget by score and is cut at its last line end; blocks follow until the first
     that overflows.  ``entities``: entity_id, name, entity_type, confidence, description, source, body; ``relations``:

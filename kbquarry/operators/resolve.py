@@ -109,8 +109,9 @@ def dedup_classes(entities: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def dedup_questions(questions: DataFrame, stops: list[str], jaccard: float = 0.55, overlap: float = 0.7) -> DataFrame:
     """M9: ids of ``questions`` (id, question) that stay when a question goes if a kept earlier one has a content-word Jaccard
-    over ``jaccard``, or shares over ``overlap`` of the smaller set of words of five letters or more."""
-    rows = save(questions.select("id", X.content_words(F.col("question"), stops).alias("words"), F.filter(X.word_set(F.col("question")), lambda w: F.length(w) >= 5).alias("long")), "questions")
+    over ``jaccard``, or shares over ``overlap`` of the smaller set of content words of five letters or more."""
+    rows = questions.select("id", X.content_words(F.col("question"), stops).alias("words"))
+    rows = save(rows.withColumn("long", F.filter("words", lambda w: F.length(w) >= 5)), "questions")
     # equal texts of both kinds of sets first: all but the earliest go, with or after it
     both = rows.select("id", F.array_union("words", F.transform("long", lambda w: F.concat(w, F.lit("+")))).alias("words"))
     firsts = set_members(both, []).where("id = rep").select("id").unionByName(both.where(F.size("words") == 0).select("id"))

@@ -82,24 +82,6 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int, per_block: int
     return top_k(found, ["qid"], [F.desc("score"), F.col("entity_id")], k)
 
 
-def ann_search(queries: DataFrame, vectors: DataFrame, k: int, bucket: float = 0.5, tables: int = 12, seed: int = 3) -> DataFrame:
-    """The k nearest by cosine among the rows that share a bucket of a random projection with the query, re-ranked
-    exactly.  Buckets are keys of a join; more tables find more and cost more."""
-    unit = lambda c: F.transform(c, lambda v: v / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y.cast("double") * y)))
-    clean = lambda df, i: df.select(F.col(i).alias("i"), F.col("embedding").cast("array<double>").alias("e")).where(F.exists("e", lambda v: v != 0)).select("i", unit(F.col("e")).alias("e"))
-    x, q = clean(vectors, "entity_id"), clean(queries, "qid")
-    size = x.select(F.size("e").alias("n")).first()
-    planes = np.random.default_rng(seed).normal(size=(tables, size["n"] if size else 1)) / bucket
-
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        at = [F.floor(F.aggregate(F.zip_with("e", F.array(*[F.lit(float(v)) for v in p]), lambda a, b: a * b), F.lit(0.0), lambda a, y: a + y)) for p in planes]
-        return df.select(F.col("i").alias(name), F.col("e").alias("e_" + name), F.posexplode(F.array(*at)).alias("t", "h"))
-
-    met = keyed(q, "qid").join(keyed(x, "entity_id"), ["t", "h"]).dropDuplicates(["qid", "entity_id"])
-    score = F.round(F.aggregate(F.zip_with("e_qid", "e_entity_id", lambda a, b: a * b), F.lit(0.0), lambda a, y: a + y), 9)
-    return top_k(met.select("qid", "entity_id", score.alias("score")), ["qid"], [F.desc("score"), F.col("entity_id")], k)
-
-
 def graph_search(seeds: DataFrame, edges: DataFrame, hops: int = 3, decay: tuple[float, ...] = (1.0, 0.85, 0.7, 0.55), types: DataFrame | None = None) -> DataFrame:
     """(qid, id, ord) -> qid, id, hop, score, ord (order of visit); outgoing edges, of the question's edge types where
     ``types`` (qid, rel_type) names some, first visit wins, in first-in-first-out order"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import save
+from .scan import numbered
 
 
 def top_k(df: DataFrame, part: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -49,20 +49,6 @@ def budget_share(df: DataFrame, part: str, score: str, budget: int, lo: int, hi:
     return df.withColumn("share", F.greatest(F.lit(lo), F.least(F.lit(hi), share)).cast("long"))
 
 
-def layered_budget(df: DataFrame, layers: list[str], order: list[Column], size: str, budget: int) -> DataFrame:
-    """Layers in a fixed order share one budget; a layer stops at its first overflow and the next still try.  One
-    small sum per layer reaches the driver, as what is left for the next."""
-    left, parts = budget, []
-    for layer in layers:
-        own = take_until_budget(df.where(F.col("layer") == layer), ["layer"], order, size, left)
-        parts.append(own)
-        left -= int(own.agg(F.coalesce(F.max("running"), F.lit(0))).first()[0])
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def most_common(df: DataFrame, column: str, k: int) -> DataFrame:
     """Ties by key"""
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(k)
@@ -77,10 +63,5 @@ def pages(rows: DataFrame, group: str, key: str, size: int = 1000) -> DataFrame:
 
 
 def global_order(rows: DataFrame, by: list[str]) -> DataFrame:
-    """``rows`` plus pos, their place (from 1) in the order of the columns ``by``: a range-partitioned table is sorted part by
-    part, and each part adds the number of rows before it."""
-    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
-    dealt = save(dealt.withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ordered")
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a part
-    before = dealt.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
-    return dealt.join(before, "_part").withColumn("pos", F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+    """``rows`` plus pos, their place (from 1) in the order of the columns ``by``"""
+    return numbered(rows, *by, name="pos").withColumn("pos", F.col("pos") + 1)

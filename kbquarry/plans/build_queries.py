@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import ontology
 from ..functions import text as X
-from ..operators import backend, context, evaluate, extraction, resolve, search
+from ..operators import ann_index, backend, context, evaluate, extraction, resolve, search
 from ..scratch import scratch_path
 from ..sources import files
 from ..streaming import ingest
@@ -126,7 +126,7 @@ def hops_and_relations(s, d):
 @query("r14_context_text", f"WITH {_RRF}, x AS (SELECT qid, entity_id, layer, round(score, 9) AS sc FROM ad), {_blocks('x')} SELECT qid, count(*) AS blocks, md5(string_agg(block, chr(10) || '---' || chr(10) ORDER BY pos)) AS h FROM c WHERE running <= 24000 GROUP BY qid")
 def r14_text(s, d):
     e, hops, relations = hops_and_relations(s, d)
-    blocks = context.context_blocks(hops, e, relations)
+    blocks = context.pack_blocks(hops, e, relations)
     return context.context_text(blocks).join(blocks.groupBy("qid").agg(F.count("*").alias("blocks")), "qid").select("qid", "blocks", F.md5("context").alias("h"))
 
 
@@ -142,7 +142,7 @@ def r21(s, d):
 @query("r19_ann_search")
 def r19(s, d):
     v = t(s, d, "embeddings").select(F.col("vec_id").alias("entity_id"), "embedding")
-    return search.ann_search(v.where("entity_id % 100 = 0").select(F.col("entity_id").alias("qid"), "embedding"), v, 10)
+    return ann_index.ann_search(v.where("entity_id % 100 = 0").select(F.col("entity_id").alias("qid"), "embedding"), v, 10)
 
 
 @query("p1_embed")

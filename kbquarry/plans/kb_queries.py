@@ -39,12 +39,6 @@ def s7(s, d):
     return A.entities(s, d).select("entity_id", F.md5(render_markdown()).alias("h"))
 
 
-@query("s14_export_pack", f"WITH {E}, z AS (SELECT layer, entity_id, length(description) AS n, sum(length(description)) OVER (PARTITION BY layer ORDER BY confidence DESC, name, entity_id) AS run FROM ent WHERE layer = 'decision') SELECT entity_id, run::BIGINT AS running FROM z WHERE run <= 4000")
-def s14(s, d):
-    rows = A.entities(s, d).where("layer = 'decision'").withColumn("n", F.length("description").cast("long"))
-    return windows.take_until_budget(rows, ["layer"], [F.desc("confidence"), F.col("name"), F.col("entity_id")], "n", 4000).select("entity_id", "running")
-
-
 @query("s16_extraction_report", f"WITH {E} SELECT source, count(*) AS n, count(DISTINCT entity_type) AS kinds FROM ent GROUP BY 1")
 def s16(s, d):
     return A.entities(s, d).groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("entity_type").alias("kinds"))
@@ -186,12 +180,6 @@ def m8(s, d):
     return resolve.dedup_documents(t(s, d, "documents").select(F.col("doc_id").alias("path"), "text", F.col("n_chars").alias("size")))
 
 
-@query("m9_dedup_questions")
-def m9(s, d):
-    rows = t(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("question"))
-    return resolve.dedup_questions(rows, ontology.QUESTION_STOPS)
-
-
 _KEYS = f"""aq AS (SELECT qid, len(ws) AS n, unnest(ws) AS w FROM (SELECT qid, list_distinct({_W('question')}) AS ws FROM qst)),
  iw AS (SELECT entity_id, unnest(list_distinct({_W('name')})) AS w, 3 AS v FROM ent UNION ALL SELECT entity_id, unnest(list_distinct({_W('description')})), 2 FROM ent UNION ALL SELECT entity_id, unnest(list_distinct({_W('substr(body, 1, 2000)')})), 1 FROM ent),
  ks AS (SELECT qid, entity_id, sum(v) * 1.0 / any_value(n) AS score FROM aq JOIN iw USING (w) GROUP BY 1, 2),
@@ -479,12 +467,6 @@ def w10(s, d):
     return windows.keep_one(t(s, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey")
 
 
-@query("w11_layered_budget")
-def w11(s, d):
-    rows = A.entities(s, d).withColumn("n", F.length("description").cast("long"))
-    return windows.layered_budget(rows, ontology.LAYERS, [F.desc("confidence"), F.col("name"), F.col("entity_id")], "n", 20_000).select("entity_id", "layer", "running")
-
-
 @query("t2_glossary", f"WITH {E} SELECT entity_id, name FROM ent WHERE entity_type IN ('jargon-business', 'jargon-tech')")
 def t2(s, d):
     return A.entities(s, d).where(F.col("entity_type").isin("jargon-business", "jargon-tech")).orderBy(F.lower("name"), "entity_id").select("entity_id", "name")

@@ -165,13 +165,6 @@ def a11(s, d):
     return A.entities(s, d).agg(*[F.count_if(c).alias(k) for k, c in bad.items()], F.count_if(bad["unnamed"] | bad["unsure"] | bad["unsourced"]).alias("any_issue"))
 
 
-@query("a12_pack_stats", f"WITH {E} SELECT layer, count(*) AS entities, count(DISTINCT entity_type) AS types, coalesce(sum(length(description)), 0)::BIGINT AS chars, coalesce(sum(length(description)), 0)::BIGINT // 4 AS tokens, coalesce(sum(length(description)), 0) > 4000 AS truncated FROM ent GROUP BY 1")
-def a12(s, d):
-    chars = F.coalesce(F.sum(F.length("description")), F.lit(0))
-    rows = A.entities(s, d).groupBy("layer").agg(F.count("*").alias("entities"), F.count_distinct("entity_type").alias("types"), chars.alias("chars"))
-    return rows.withColumns({"tokens": F.floor(F.col("chars") / 4), "truncated": F.col("chars") > 4000})
-
-
 @query("a18_block_graph", f"WITH {G}, {N}, dg AS (SELECT id, count(*) AS n FROM (SELECT source_id AS id FROM edg UNION ALL SELECT target_id FROM edg) GROUP BY 1) SELECT entity_type, count(*) AS nodes, coalesce(sum(n), 0)::BIGINT AS degree, max(coalesce(n, 0)) AS most FROM nod LEFT JOIN dg ON id = entity_id GROUP BY 1")
 def a18(s, d):
     e = A.edges(s, d)

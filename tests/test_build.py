@@ -32,10 +32,10 @@ def test_context_text(spark):
     e = spark.createDataFrame([(1, "A", "api", 0.9, "d", "s.md", "line one\nline two\n## Open Questions\n- no"), (2, "B", "team", 0.3, None, None, None)], "entity_id long, name string, entity_type string, confidence double, description string, source string, body string")
     hops = spark.createDataFrame([(7, 2, 0.5, "organizational", 1.0), (7, 1, 0.4, "structural", 1.5)], "qid long, entity_id long, score double, layer string, priority double")
     edges = spark.createDataFrame([("1", "uses", "9")], "source_id string, rel_type string, target_id string").select(F.col("source_id").cast("long").alias("source_id"), "rel_type", F.col("target_id").cast("long").alias("target_id"))
-    blocks = context.context_blocks(hops, e, context.first_relations(edges, e.select("entity_id", "name")))
+    blocks = context.pack_blocks(hops, e, context.first_relations(edges, e.select("entity_id", "name")))
     text = context.context_text(blocks).first()["context"]
     assert text == "Entity: A (api, confidence: 90%)\nDescription: d\nRelationships:\n  uses → 9\nSource: s.md\n\nline one\nline two\n\n---\nEntity: B (team, confidence: 30%)\nDescription: \n"
-    small = context.context_blocks(hops, e, context.first_relations(edges, e.select("entity_id", "name")), backend.RetrievalConfig(token_budget=20))
+    small = context.pack_blocks(hops, e, context.first_relations(edges, e.select("entity_id", "name")), backend.RetrievalConfig(token_budget=20))
     assert [r["entity_id"] for r in small.collect()] == []
 
 

@@ -56,10 +56,10 @@ def test_greedy_keep_first_equals_the_sequential_one(spark):
 
 def test_question_dedup_equals_the_sequential_one(spark):
     rng = random.Random(6)
-    pool = ["claims", "gateway", "owner", "team", "about", "what", "is", "the", "flow", "process", "routing", "api"]
+    pool = ["could", "which", "claims", "gateway", "owner", "team", "about", "what", "is", "the", "flow", "process", "routing", "api"]
     questions = [(i, " ".join(rng.sample(pool, rng.randrange(0, 7)))) for i in range(150)] + [(500, None), (501, "the what is"), (502, "is the what")]
     words = {i: set((q or "").split()) for i, q in questions}
-    content, long = {i: w - set(QUESTION_STOPS) for i, w in words.items()}, {i: {x for x in w if len(x) >= 5} for i, w in words.items()}
+    content, long = {i: w - set(QUESTION_STOPS) for i, w in words.items()}, {i: {x for x in w - set(QUESTION_STOPS) if len(x) >= 5} for i, w in words.items()}
     near = lambda a, b: bool(content[a] and content[b] and len(content[a] & content[b]) / len(content[a] | content[b]) > 0.55) or bool(long[a] and long[b] and len(long[a] & long[b]) / min(len(long[a]), len(long[b])) > 0.7)
     kept = []
     for i, _ in questions:
@@ -94,8 +94,6 @@ def test_vector_blocks_and_buckets(spark):
     asked = df.where("entity_id % 20 = 0").selectExpr("entity_id as qid", "embedding")
     one, many = (rows(search.vector_search(asked, df, 5, per_block=n).select("qid", "entity_id", F.round("score", 6))) for n in (5000, 30))
     assert one == many and len(one) == 50 and {q for q, _, _ in one} == set(range(0, 200, 20))
-    near = rows(search.ann_search(asked, df, 5, bucket=2.0).select("qid", "entity_id"))
-    assert len(set(near) & {(q, e) for q, e, _ in one}) >= 0.9 * 50
 
 
 def test_graph_search_follows_edge_types(spark):
@@ -120,8 +118,6 @@ def test_budget_and_caps(spark):
     df = spark.createDataFrame([("x", i, 40, "t" if i < 4 else "u") for i in range(6)], "p string, i int, size int, g string")
     assert windows.take_until_budget(df, ["p"], [F.col("i")], "size", 120).count() == 3
     assert windows.cap_share(df, "p", "g", 0.5, [F.col("i")]).count() == 5
-    pack = spark.createDataFrame([("a", 1, 50), ("a", 2, 60), ("b", 3, 40)], "layer string, i int, size int")
-    assert [r[1] for r in rows(windows.layered_budget(pack, ["a", "b"], [F.col("i")], "size", 100))] == [1, 3]
 
 
 def test_text_functions(spark):
