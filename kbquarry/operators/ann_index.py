@@ -140,7 +140,8 @@ def scan(index: Index, queries: DataFrame, lists: int, short: int, per_chunk: in
     asked = wanted.join(F.broadcast(parts), "list").join(F.broadcast(hot), "first").join(queries, "qid")
     asked = asked.withColumn("chunk", F.lit(0).cast("long") if few else F.col("first") * F.lit(1 << 32) + F.pmod(F.xxhash64("qid"), F.col("cuts")))
     asked = save(asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))), "asked")
-    held = index.codes.join(asked.select("list", "part", "chunk").distinct(), ["list", "part"])
+    pairs = save(asked.select("list", "part", "chunk").distinct(), "tiles")
+    held = index.codes.join(pairs, ["list", "part"]).select("list", "part", "chunk", "entity_id", "code")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"qid": np.zeros(0, np.int64), "entity_id": np.zeros(0, np.int64), "rough": np.zeros(0)})]

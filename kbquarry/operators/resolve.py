@@ -9,6 +9,7 @@ from ..components import connected_components
 from ..functions import text as X
 from ..ontology import NAME_STOPS
 from ..scratch import save
+from .mention_state import entities_of, fold_facts, mention_facts
 
 # Fixed value: what a variant of a name ends in.
 SUFFIX = r"\s+(deployment|v\d+|process|processing|monitoring|migration)$"
@@ -19,33 +20,15 @@ def merge_mentions(mentions: DataFrame) -> DataFrame:
     map<string, array<string>>, body, details) -> one row an entity.  The last name, status and tags, the first non-empty
     description, the greatest confidence, sources and targets of each relationship in first-seen order, the first body with
     the details of each later mention below it."""
-    key = ["entity_type", "entity_id"]
-    text = F.when(F.coalesce("description", F.lit("")) != "", F.struct("pos", "description"))
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("p", c))), lambda x: x[c])
-    firsts = mentions.where("source is not null").groupBy(*key, "source").agg(F.min("pos").alias("p"))
-    sources = firsts.groupBy(*key).agg(F.array_join(in_order("source"), ",").alias("sources"))
-    targets = mentions.select(*key, "pos", F.explode("relationships").alias("rel", "targets")).select(*key, "pos", "rel", F.posexplode("targets").alias("i", "target"))
-    seen = targets.groupBy(*key, "rel", "target").agg(F.min(F.struct("pos", "i")).alias("p")).groupBy(*key, "rel").agg(in_order("target").alias("targets"))
-    edges = seen.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rel", "targets")))).alias("relationships"))
-    first = mentions.groupBy(*key).agg(F.min("pos").alias("first"))
-    added = mentions.join(first, key).where("pos > first and details <> ''")
-    section = F.concat(F.lit("\n\n## Additional Details\n[from "), F.coalesce("source", F.lit("")), F.lit("]\n\n"), "details")
-    added = added.select(*key, F.col("pos").alias("p"), section.alias("section")).groupBy(*key).agg(F.array_join(in_order("section"), "").alias("more"))
-    one = mentions.groupBy(*key).agg(
-        F.max_by("name", "pos").alias("name"), F.max_by("status", "pos").alias("status"), F.min(text)["description"].alias("description"), F.max("confidence").alias("confidence"),
-        F.max_by("tags", "pos").alias("tags"), F.min_by("body", "pos").alias("body"), F.count("*").alias("n_mentions"),
-    )
-    for more in (sources, edges, added):
-        one = one.join(more, key, "left")
-    return one.withColumn("body", F.concat(F.rtrim(F.coalesce("body", F.lit(""))), F.coalesce("more", F.lit("")))).drop("more")
+    return entities_of(fold_facts(mention_facts(mentions)))
 
 
 def conflicts(mentions: DataFrame) -> DataFrame:
     """M2: later descriptions that share fewer than three words with the kept one"""
-    w = Window.partitionBy("entity_type", "entity_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    kept = F.first(F.when(F.col("description") != "", F.col("description")), ignorenulls=True).over(w)
+    told = mentions.where("description <> ''")
+    kept = told.groupBy("entity_type", "entity_id").agg(F.min(F.struct("pos", "description"))["description"].alias("kept"))
     split = lambda c: F.array_distinct(F.split(F.lower(c), r"\s+"))
-    rows = mentions.withColumn("kept", kept).where((F.col("description") != "") & (F.col("description") != F.col("kept")))
+    rows = told.join(kept, ["entity_type", "entity_id"]).where(F.col("description") != F.col("kept"))
     return rows.where(F.size(F.array_intersect(split(F.col("description")), split(F.col("kept")))) < 3)
 
 

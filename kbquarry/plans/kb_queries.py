@@ -124,12 +124,15 @@ def j13(s, d):
     return a.join(b, "entity_id", "full").select("entity_id", F.when(F.col("ka").isNull(), "added").when(F.col("kb").isNull(), "lost").when(F.col("ka") != F.col("kb"), "retyped").otherwise("same").alias("what"))
 
 
-_MENT = "men AS (SELECT l_partkey % 100 AS entity_id, l_returnflag AS entity_type, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS pos, l_linestatus || ' ' || l_suppkey AS name, CASE WHEN l_linenumber = 1 THEN '' ELSE 'part of order ' || l_orderkey END AS description, l_discount AS confidence, 'o' || (l_orderkey % 5) AS source, 't' || l_linenumber AS tags, 's' || l_linenumber AS status, 'p' || (l_suppkey % 7) AS used, 'b' || l_orderkey AS body, CASE WHEN l_linenumber = 2 THEN 'd' || l_orderkey ELSE '' END AS details FROM lineitem)"
+_MENT = "men AS (SELECT l_partkey AS entity_id, l_returnflag AS entity_type, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS pos, l_linestatus || ' ' || l_suppkey AS name, CASE WHEN l_linenumber = 1 THEN '' ELSE 'part of order ' || l_orderkey END AS description, l_discount AS confidence, 'o' || (l_orderkey % 5) AS source, 't' || l_linenumber AS tags, 's' || l_linenumber AS status, 'p' || (l_suppkey % 7) AS used, 'b' || l_orderkey AS body, CASE WHEN l_linenumber = 2 THEN 'd' || l_orderkey ELSE '' END AS details FROM lineitem)"
 
 
 def mentions(s, d):
-    li = t(s, d, "lineitem")
-    return li.select((F.col("l_partkey") % 100).alias("entity_id"), F.col("l_returnflag").alias("entity_type"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("pos"), F.concat_ws(" ", "l_linestatus", "l_suppkey").alias("name"), F.when(F.col("l_linenumber") == 1, "").otherwise(F.concat(F.lit("part of order "), "l_orderkey")).alias("description"), F.col("l_discount").alias("confidence"), F.concat(F.lit("o"), F.col("l_orderkey") % 5).alias("source"), F.concat(F.lit("t"), "l_linenumber").alias("tags"), F.concat(F.lit("s"), "l_linenumber").alias("status"), F.create_map(F.lit("uses"), F.array(F.concat(F.lit("p"), F.col("l_suppkey") % 7))).alias("relationships"), F.concat(F.lit("b"), "l_orderkey").alias("body"), F.when(F.col("l_linenumber") == 2, F.concat(F.lit("d"), "l_orderkey")).otherwise("").alias("details"))
+    return mention_rows(t(s, d, "lineitem"))
+
+
+def mention_rows(li):
+    return li.select(F.col("l_partkey").alias("entity_id"), F.col("l_returnflag").alias("entity_type"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("pos"), F.concat_ws(" ", "l_linestatus", "l_suppkey").alias("name"), F.when(F.col("l_linenumber") == 1, "").otherwise(F.concat(F.lit("part of order "), "l_orderkey")).alias("description"), F.col("l_discount").alias("confidence"), F.concat(F.lit("o"), F.col("l_orderkey") % 5).alias("source"), F.concat(F.lit("t"), "l_linenumber").alias("tags"), F.concat(F.lit("s"), "l_linenumber").alias("status"), F.create_map(F.lit("uses"), F.array(F.concat(F.lit("p"), F.col("l_suppkey") % 7))).alias("relationships"), F.concat(F.lit("b"), "l_orderkey").alias("body"), F.when(F.col("l_linenumber") == 2, F.concat(F.lit("d"), "l_orderkey")).otherwise("").alias("details"))
 
 
 @query("m1_merge_mentions", f"""WITH {_MENT}, f AS (SELECT entity_type, entity_id, source, min(pos) AS p FROM men GROUP BY ALL), g AS (SELECT entity_type, entity_id, string_agg(source, ',' ORDER BY p) AS sources FROM f GROUP BY ALL),
@@ -137,8 +140,12 @@ def mentions(s, d):
  SELECT entity_type, entity_id, max_by(name, pos) AS name, max_by(status, pos) AS status, arg_min(description, pos) FILTER (description <> '') AS description, max(confidence) AS confidence, max_by(tags, pos) AS tags, count(*) AS n_mentions, any_value(sources) AS sources, any_value(uses) AS uses,
  md5(min_by(body, pos) || coalesce(string_agg(chr(10) || chr(10) || '## Additional Details' || chr(10) || '[from ' || source || ']' || chr(10) || chr(10) || details, '' ORDER BY pos) FILTER (pos > first AND details <> ''), '')) AS body FROM m JOIN g USING (entity_type, entity_id) JOIN v USING (entity_type, entity_id) GROUP BY 1, 2""")
 def m1(s, d):
+    return merged_columns(resolve.merge_mentions(mentions(s, d)))
+
+
+def merged_columns(merged):
     uses = F.array_join(F.col("relationships")["uses"], ",").alias("uses")
-    return resolve.merge_mentions(mentions(s, d)).select("entity_type", "entity_id", "name", "status", "description", "confidence", "tags", "n_mentions", "sources", uses, F.md5("body").alias("body"))
+    return merged.select("entity_type", "entity_id", "name", "status", "description", "confidence", "tags", "n_mentions", "sources", uses, F.md5("body").alias("body"))
 
 
 @query("m2_conflicts", f"WITH {_MENT}, k AS (SELECT *, first_value(description) OVER (PARTITION BY entity_type, entity_id ORDER BY description = '', pos) AS kept FROM men), c AS (SELECT pos FROM k WHERE description <> '' AND description <> kept AND len(list_intersect(list_distinct(regexp_split_to_array(lower(description), '\\s+')), list_distinct(regexp_split_to_array(lower(kept), '\\s+')))) < 3) SELECT count(*) AS n FROM c")

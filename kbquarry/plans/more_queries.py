@@ -9,10 +9,8 @@ from ..functions import text as X
 from ..operators import gaps, windows
 from ..scratch import scratch_path
 from ..sources import files
-from ..streaming import jobs
 from . import adapters as A
 from .kb_queries import _KV, _MENT, _RRF, _VEC, _W, EV, E, G, N, Q, V, adjusted, candidates, fused, mentions, query, seeds, t, vectors
-from .stream_queries import stream
 
 
 @query("s5_read_extractions", "SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents WHERE text IS NOT NULL GROUP BY 1")
@@ -223,7 +221,3 @@ def u6(s, d):
     return t(s, d, "events").select("event_id", F.array_join(F.sort_array(keys), ",").alias("unknown"))
 
 
-@query("n6_merge_stream", f"WITH {EV} SELECT entity_id, count(*) AS n, max(id) AS last_id FROM evt GROUP BY 1")
-def n6(s, d):
-    """Counts and latest id of each entity, folded batch by batch"""
-    return jobs.fold_batches(stream(s, d).select("entity_id", F.lit(1).cast("long").alias("n"), F.col("id").alias("last_id")), "entity_id", n=F.sum, last_id=F.max)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..streaming import jobs
 from . import adapters as A
-from .registry import query
+from .kb_queries import mention_rows, merged_columns
+from .registry import SQL, query
 
 
 def stream(s, d):
@@ -27,11 +28,38 @@ def n5(s, d):
     return jobs.run_available(jobs.gap_alerts(stream(s, d), names), "alerts").select("id", "name")
 
 
-@query("n2_event_counts_stream")
+def table_stream(s, d, name):
+    schema = A.table(s, d, name).schema
+    return s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/[{name[0]}]{name[1:]}.parquet")
+
+
+_SLIDES = "unnest([time_bucket(INTERVAL '30 minutes', \"at\"), time_bucket(INTERVAL '30 minutes', \"at\") - INTERVAL '30 minutes'])"
+
+
+@query("n2_event_counts_stream", f"WITH {A.SQL_EVENTS}, w AS (SELECT {_SLIDES} AS start, action, actor FROM evt) SELECT start, action, actor, count(*) AS n FROM w GROUP BY ALL")
 def n2(s, d):
-    return jobs.run_available(jobs.event_counts(stream(s, d)), "counts")
+    rows = stream(s, d).withColumn("actor", F.concat(F.lit("actor"), F.pmod("entity_id", F.lit(7))))
+    return jobs.event_count_table(rows)
 
 
-@query("n3_effort_stream")
+@query(
+    "n3_effort_stream",
+    f"""WITH {A.SQL_EVENTS}, l AS (SELECT entity_id || '/' || strftime("at", '%Y-%m-%d') AS effort_id, "at", action FROM evt),
+g AS (SELECT effort_id, coalesce(min("at") FILTER (action = 'signup'), min("at")) AS started_at, max("at") FILTER (action = 'purchase') AS ended, max("at") AS last_at,
+ count(*) FILTER (action NOT IN ('signup', 'purchase')) AS call_count, count(*) FILTER (action = 'error') AS gap_count FROM l GROUP BY 1),
+m AS (SELECT max("at") - INTERVAL '1 hour' AS mark FROM l)
+SELECT effort_id, started_at, CASE WHEN ended IS NOT NULL THEN ended WHEN last_at + INTERVAL '2 hours' <= mark THEN last_at END AS ended_at, call_count, gap_count,
+ CASE WHEN ended IS NOT NULL THEN 'resolved' WHEN last_at + INTERVAL '2 hours' <= mark THEN 'timeout' END AS outcome FROM g, m""",
+)
 def n3(s, d):
-    return jobs.run_available(jobs.effort_sessions(stream(s, d)), "sessions")
+    kind = F.when(F.col("action") == "signup", "open").when(F.col("action") == "purchase", "end").otherwise("call")
+    effort = F.concat("entity_id", F.lit("/"), F.date_format("at", "yyyy-MM-dd"))
+    log = stream(s, d).select(effort.alias("effort_id"), kind.alias("kind"), "at", (F.col("action") == "error").alias("is_gap"), F.lit("resolved").alias("outcome"))
+    return jobs.effort_table(log).drop("last_at", "n_updates")
+
+
+@query("n6_merge_stream", SQL["m1_merge_mentions"])
+def n6(s, d):
+    """The batch merge's columns and SQL, from a stream of mentions"""
+    merged = jobs.merge_stream(mention_rows(table_stream(s, d, "lineitem")))
+    return merged_columns(merged)

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.mention_state import FACT, SCHEMA, entities_of, fold_facts, mention_facts
 from ..scratch import scratch_path
+from .efforts import ROLLUP, effort_rollup
+from .tables import KeyedTable, latest
 
 
-def event_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Tumbling counts by action"""
-    return events.withWatermark("at", late).groupBy(F.window("at", width).alias("w"), "action").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "action", "n")
-
-
-def effort_sessions(calls: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Calls and gaps of each session of an entity"""
-    return calls.withWatermark("at", late).groupBy(F.session_window("at", gap).alias("w"), "entity_id").agg(F.count("*").alias("calls"), F.count_if(F.col("action") == "error").alias("gaps")).select(F.col("w.start").alias("start"), "entity_id", "calls", "gaps")
+def event_counts(events: DataFrame, width: str = "1 hour", slide: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Counts by sliding window, action and actor, in update mode: a window's last row counts"""
+    rows = events.withWatermark("at", late).groupBy(F.window("at", width, slide).alias("w"), "action", "actor").agg(F.count("*").alias("n"))
+    return rows.select(F.col("w.start").alias("start"), "action", "actor", "n")
 
 
 def dedup_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -35,14 +36,30 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
-def fold_batches(stream: DataFrame, key: str, **folds) -> DataFrame:
-    """Every batch is folded by itself and written under its number, so that a batch that runs again replaces its own
-    part; the folded parts give the table."""
-    spark, path = stream.sparkSession, scratch_path(stream.sparkSession, "folded")
-    fold = lambda df: df.groupBy(key).agg(*[f(c).alias(c) for c, f in folds.items()])
+def keyed_available(stream: DataFrame, table: KeyedTable, shape: Callable[[DataFrame], DataFrame] = lambda df: df, mode: str = "update") -> KeyedTable:
+    """Everything that is there now, batch by batch into ``table``, whose checkpoint lies beside it: a run that is repeated goes
+    on where the last one ended, and a batch that is repeated changes nothing."""
+    sink = lambda batch, number: table.upsert(shape(batch), number)
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{table.path}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return table
+
+
+def event_count_table(events: DataFrame, path: str | None = None, **how) -> DataFrame:
+    """N2 with early results: every window that has come so far, closed or not, with its latest count"""
+    keys = ["start", "action", "actor"]
+    table = KeyedTable(events.sparkSession, keys, "start timestamp, action string, actor string, n long", latest(keys, "n"), path)
+    return keyed_available(event_counts(events, **how), table).read()
+
+
+def effort_table(log: DataFrame, path: str | None = None, **how) -> DataFrame:
+    """N3 as a table: the latest roll-up of every effort"""
+    table = KeyedTable(log.sparkSession, ["effort_id"], ROLLUP, latest(["effort_id"], "n_updates"), path)
+    return keyed_available(effort_rollup(log, **how), table).read()
 
-    def merge(batch: DataFrame, number: int) -> None:
-        fold(batch).write.mode("overwrite").parquet(f"{path}/data/batch={number}")
 
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return fold(spark.read.schema(stream.schema).parquet(f"{path}/data"))
+def merge_stream(mentions: DataFrame, path: str | None = None) -> DataFrame:
+    """Each batch of mentions folded into the entities' facts, of which only touched buckets are read and written; the
+    entities are those that merge_mentions() makes of all mentions.  Facts of one entity lie in several buckets."""
+    schema = SCHEMA.format(id=mentions.schema["entity_id"].dataType.simpleString())
+    table = KeyedTable(mentions.sparkSession, FACT, schema, fold_facts, path)
+    return entities_of(keyed_available(mentions, table, mention_facts, "append").read())
