@@ -131,23 +131,6 @@ def keep_first(rows: DataFrame, members: DataFrame, links: DataFrame) -> DataFra
     return rows.select("id").limit(0) if kept is None else kept
 
 
-def bulk_import(items: DataFrame, existing: DataFrame, on_conflict: str = "skip") -> DataFrame:
-    """M4: (pos, entity_type, entity_id, valid) -> +outcome"""
-    known = existing.select("entity_type", "entity_id", F.lit(True).alias("known")).distinct()
-    rows = items.join(known, ["entity_type", "entity_id"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    counts = F.col("valid") & (~F.col("known") | F.lit(on_conflict != "error"))
-    before = F.count_if(counts).over(Window.partitionBy("entity_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    clash = {"skip": "skipped", "error": "failed", "overwrite": "updated"}[on_conflict]
-    return rows.withColumn("outcome", F.when(~F.col("valid") | (before > 0), "failed").when(F.col("known"), clash).otherwise("created"))
-
-
-def apply_merges(entities: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """M5, M6: ``verdicts`` (a, b, action) -> entity_id of the survivor, members, confidence, sources (sorted union)"""
-    comps = connected_components(verdicts.where("action = 'merge'").select("a", "b"))
-    rows = entities.join(comps.withColumnRenamed("node", "entity_id"), "entity_id", "left").withColumn("keep", F.coalesce("component", "entity_id"))
-    return rows.groupBy("keep").agg(F.count("*").alias("members"), F.max("confidence").alias("confidence"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"))
-
-
 def rewrite_edges(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """M7: ``mapping`` (old, new)"""
     out = edges

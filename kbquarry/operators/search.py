@@ -11,46 +11,37 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..scratch import save
+from .impact_index import ImpactIndex, weighted_words
 from .windows import top_k
 
 
-def index_words(entities: DataFrame, body_chars: int = 2000, asked: DataFrame | None = None) -> DataFrame:
-    """Inverted index: w, entity_id, weight = 3 in the name, 2 in the description, 1 in the body, in one pass; with ``asked``
-    (w) of these words only, so that nothing else is shuffled."""
-    fields = [(F.col("name"), 3), (F.col("description"), 2), (F.substring("body", 1, body_chars), 1)]
-    weighted = lambda c, v: F.transform(X.word_set(c), lambda w: F.struct(w.alias("w"), F.lit(v).alias("v")))
-    entries = F.concat(*[weighted(c, v) for c, v in fields])
-    rows = entities.select("entity_id", F.explode(entries).alias("x")).select("entity_id", "x.w", "x.v")
-    if asked is not None:
-        rows = rows.join(asked.select("w").distinct(), "w", "left_semi")
-    return rows.groupBy("entity_id", "w").agg(F.sum("v").alias("v"))
+def word_fields(body_chars: int = 2000) -> list[tuple]:
+    """A word counts 3 in the name, 2 in the description, 1 in the body's start."""
+    return [(X.word_set(F.col("name")), 3), (X.word_set(F.col("description")), 2), (X.word_set(F.substring("body", 1, body_chars)), 1)]
 
 
-def keyword_scores(questions: DataFrame, entities: DataFrame, body_chars: int = 2000, divide: bool = True) -> DataFrame:
-    """Qid, entity_id, score"""
-    words = questions.select("qid", X.word_set(F.col("question")).alias("ws"))
-    asked = words.select("qid", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    hits = asked.join(index_words(entities, body_chars, asked), "w").groupBy("qid", "entity_id").agg(F.sum("v").alias("hits"), F.first("n").alias("n"))
-    return hits.select("qid", "entity_id", (F.col("hits") / (F.col("n") if divide else F.lit(1.0))).alias("score"))
-
-
-def keyword_search(questions: DataFrame, entities: DataFrame, k: int, **how) -> DataFrame:
-    return top_k(keyword_scores(questions, entities, **how), ["qid"], [F.desc("score"), F.col("entity_id")], k)
+def keyword_search(questions: DataFrame, entities: DataFrame, k: int, body_chars: int = 2000, divide: bool = True) -> DataFrame:
+    """Qid, entity_id, score, rank; hits are summed as whole numbers and divided by the question's words at the end"""
+    words = save(questions.select("qid", X.word_set(F.col("question")).alias("ws")), "questions")
+    asked = words.select("qid", F.explode("ws").alias("term"), F.lit(1).alias("factor"))
+    found = ImpactIndex.build(weighted_words(entities, word_fields(body_chars), asked)).search(asked, k)
+    sizes = words.groupBy("qid").agg(F.max(F.size("ws")).alias("n"))
+    return found.join(sizes, "qid").select("qid", "entity_id", (F.col("score") / (F.col("n") if divide else F.lit(1.0))).alias("score"), "rank")
 
 
 def bm25_search(questions: DataFrame, entities: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """R18"""
     tokens = save(entities.select("entity_id", X.words(F.col("body")).alias("ws")), "words")  # each text is split once
-    length = tokens.select("entity_id", F.size("ws").alias("len"))
-    n, mean = length.agg(F.count("*"), F.coalesce(F.avg("len"), F.lit(1.0))).first()
-    asked = questions.select("qid", F.explode(X.word_set(F.col("question"))).alias("w"))
-    found = tokens.select("entity_id", F.size("ws").alias("len"), F.explode("ws").alias("w")).join(asked.select("w").distinct(), "w", "left_semi")
-    hits = save(found.groupBy("entity_id", "w").agg(F.count("*").alias("tf"), F.first("len").alias("len")), "postings")
-    df = hits.groupBy("w").agg(F.count("*").alias("df"))
+    n, mean = tokens.agg(F.count("*"), F.coalesce(F.avg(F.size("ws")), F.lit(1.0))).first()
+    asked = save(questions.select("qid", F.explode(X.word_set(F.col("question"))).alias("term"), F.lit(1).alias("factor")), "asked")
+    found = tokens.select("entity_id", F.size("ws").alias("len"), F.explode("ws").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    hits = save(found.groupBy("entity_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len")), "postings")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
-    scores = asked.join(hits, "w").join(df, "w").groupBy("qid", "entity_id").agg(F.sum(part).alias("score"))
-    return top_k(scores.withColumn("score", F.round("score", 6)), ["qid"], [F.desc("score"), F.col("entity_id")], k)
+    postings = hits.join(df, "term").select("term", "entity_id", part.alias("weight"))
+    best = ImpactIndex.build(postings).search(asked, k + 16)  # sums are rounded before ties are broken: some more than asked
+    return top_k(best.select("qid", "entity_id", F.round("score", 6).alias("score")), ["qid"], [F.desc("score"), F.col("entity_id")], k)
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int, per_block: int = 5_000) -> DataFrame:
@@ -100,14 +91,3 @@ def graph_search(seeds: DataFrame, edges: DataFrame, hops: int = 3, decay: tuple
         seen = save(seen.unionByName(front), "seen")
     score = F.get(F.array(*map(F.lit, decay)), F.col("hop"))
     return seen.select("qid", "id", "hop", score.alias("score"), "ord")
-
-
-def relevant_entities(documents: DataFrame, entities: DataFrame, k: int = 10) -> DataFrame:
-    """J7 by token blocking: an entity whose name or words occur in a document, scored 3 for the whole name and 1 for each
-    word of four letters or more"""
-    names = entities.select("entity_id", F.lower("name").alias("name"), F.filter(X.word_set(F.col("name")), lambda w: F.length(w) >= 4).alias("ws")).where(F.size("ws") > 0)
-    asked = names.select("entity_id", "name", F.explode("ws").alias("w"))
-    have = documents.select("doc_id", F.explode(X.word_set(F.col("text"))).alias("w"))
-    hits = have.join(asked, "w").groupBy("doc_id", "entity_id", "name").agg(F.count("*").alias("n"))
-    whole = hits.join(documents.select("doc_id", F.lower("text").alias("low")), "doc_id").withColumn("score", F.col("n") + 3 * F.contains("low", "name").cast("int"))
-    return top_k(whole.select("doc_id", "entity_id", "score"), ["doc_id"], [F.desc("score"), F.col("entity_id")], k)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import ontology
 from ..functions import text as X
-from ..operators import packs, resolve
+from ..operators import dictionary, packs, resolve
 from . import adapters as A
 from .registry import query
 
@@ -93,3 +93,48 @@ SELECT id FROM w WHERE n IN (SELECT unnest(kept) FROM (SELECT kept FROM k ORDER
 def m9(s, d):
     rows = A.table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("question"))
     return resolve.dedup_questions(rows, ontology.QUESTION_STOPS)
+
+
+def named(s, d):
+    """Entities named by the first three words of the benchmark's passages"""
+    three = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    return A.table(s, d, "benchmark").select(F.col("item_id").alias("entity_id"), F.concat(F.lit("n"), F.col("item_id")).alias("id"), three.alias("name"))
+
+
+@query(
+    "j7_relevant_entities",
+    """WITH n AS (SELECT item_id AS entity_id, 'n' || item_id AS id, lower(array_to_string(string_split(text, ' ')[1:3], ' ')) AS name FROM benchmark),
+l AS (SELECT doc_id, lower(text) AS low FROM documents),
+s AS (SELECT doc_id, entity_id, 3 * contains(low, name)::INT + 2 * contains(low, id)::INT
+ + len(list_filter(regexp_split_to_array(name, '\\s+'), lambda w: length(w) >= 4 AND contains(low, w))) AS score FROM l CROSS JOIN n WHERE name <> '')
+SELECT doc_id, entity_id, score::BIGINT AS score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, entity_id) <= 10""",
+)
+def j7(s, d):
+    found = dictionary.relevant_entities(A.table(s, d, "documents"), named(s, d))
+    return found.select("doc_id", "entity_id", F.col("score").cast("long").alias("score"))
+
+
+@query("x16_link_all_names")
+def x16_all(s, d):
+    """All names in all texts"""
+    docs = A.table(s, d, "documents").select("doc_id", "text")
+    return dictionary.link_all(docs, named(s, d).select("name")).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query(
+    "s15_vault",
+    f"""WITH {A.SQL_EDGES}, {A.SQL_NODES}, nn AS (SELECT entity_id, entity_type, coalesce(name, entity_id) AS name FROM nod),
+k AS (SELECT source_id, rel_type, '**' || array_to_string(list_transform(string_split(rel_type, '_'), lambda w: upper(w[1]) || w[2:]), ' ') || ':** '
+ || string_agg('[[' || coalesce(name, target_id) || ']]', ', ' ORDER BY target_id) AS line FROM edg LEFT JOIN nn ON entity_id = target_id GROUP BY 1, 2),
+r AS (SELECT source_id, string_agg(line, chr(10) ORDER BY rel_type) AS lines FROM k GROUP BY 1),
+p AS (SELECT entity_type || '/' || entity_id || '.md' AS path, '---' || chr(10) || 'type: ' || entity_type || chr(10) || 'id: ' || entity_id || chr(10) || 'name: ' || name || chr(10)
+ || 'aliases:' || chr(10) || '- ' || entity_id || chr(10) || '- ' || name || chr(10) || '---' || chr(10) || chr(10) || '# ' || name || chr(10)
+ || coalesce(chr(10) || '## Relationships' || chr(10) || chr(10) || lines || chr(10), '') AS text FROM nn LEFT JOIN r ON source_id = entity_id),
+i AS (SELECT entity_type, '- [[' || name || ']] (' || entity_type || ')' AS entry, row_number() OVER (PARTITION BY entity_type ORDER BY '- [[' || name || ']] (' || entity_type || ')', entity_id) - 1 AS n FROM nn)
+SELECT path, md5(text) AS text_md5 FROM p UNION ALL
+SELECT 'index/' || entity_type || '/' || (n // 1000) || '.md', md5('## ' || upper(entity_type[1]) || entity_type[2:] || chr(10) || chr(10) || string_agg(entry, chr(10) ORDER BY n) || chr(10)) FROM i GROUP BY entity_type, n // 1000""",
+)
+def s15(s, d):
+    none = F.lit(None).cast("string")
+    nodes = A.nodes(s, d).select("entity_id", "entity_type", "name", F.col("entity_type").alias("layer"), none.alias("description"), none.alias("body"))
+    return dictionary.vault(nodes, A.edges(s, d)).select("path", F.md5("text").alias("text_md5"))

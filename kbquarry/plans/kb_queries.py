@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import ontology
-from ..components import connected_components
 from ..functions import text as X
 from ..functions.vectorized import html_to_text
 from ..operators import coverage as C
@@ -82,14 +81,6 @@ def j6(s, d):
     return A.edges(s, d).join(names, "target_id", "left").select("source_id", "rel_type", F.coalesce("name", "target_id").alias("target"))
 
 
-@query("j7_relevant_entities", f"""WITH n AS (SELECT item_id AS entity_id, lower(array_to_string(string_split(text, ' ')[1:3], ' ')) AS name FROM benchmark), a AS (SELECT entity_id, name, unnest(list_filter(list_distinct({_W('name')}), lambda w: length(w) >= 4)) AS w FROM n),
- h AS (SELECT doc_id, lower(text) AS low, unnest(list_distinct({_W('text')})) AS w FROM documents), m AS (SELECT doc_id, entity_id, count(*) + 3 * any_value(contains(low, name))::INT AS score FROM h JOIN a USING (w) GROUP BY 1, 2)
- SELECT doc_id, entity_id, score::BIGINT AS score FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, entity_id) <= 10""")
-def j7(s, d):
-    names = t(s, d, "benchmark").select(F.col("item_id").alias("entity_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("name"))
-    return search.relevant_entities(t(s, d, "documents"), names).select("doc_id", "entity_id", F.col("score").cast("long").alias("score"))
-
-
 @query("j9_with_prior", "SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'new' ELSE 'prior' END AS state FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
 def j9(s, d):
     prior = t(s, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.lit("prior").alias("p"))
@@ -163,19 +154,6 @@ def m3(s, d):
     return resolve.dedup_classes(t(s, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_type").alias("entity_type"), F.concat_ws(" ", "p_name", "p_brand").alias("name")))
 
 
-@query("m4_bulk_import", f"WITH {_MENT}, k AS (SELECT *, confidence >= 0.02 AS valid, entity_id < 50 AS known FROM men), o AS (SELECT *, coalesce(sum(valid::INT) OVER (PARTITION BY entity_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bf FROM k), c AS (SELECT CASE WHEN NOT valid OR bf > 0 THEN 'failed' WHEN known THEN 'skipped' ELSE 'created' END AS outcome FROM o) SELECT outcome, count(*) AS n FROM c GROUP BY 1")
-def m4(s, d):
-    m = mentions(s, d).withColumn("valid", F.col("confidence") >= 0.02)
-    return resolve.bulk_import(m, m.where("entity_id < 50").select("entity_type", "entity_id")).groupBy("outcome").agg(F.count("*").alias("n"))
-
-
-@query("m5_apply_merges", "SELECT (entity_id - entity_id % 4) AS keep, count(*) AS members, max(confidence) AS confidence, array_to_string(list_sort(list_distinct(list(source) FILTER (source IS NOT NULL))), ',') AS sources FROM (SELECT doc_id AS entity_id, source, CASE quality WHEN 1 THEN 0.9 WHEN 0 THEN 0.3 ELSE 0.5 END::DOUBLE AS confidence FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY 1")
-def m5(s, d):
-    e = A.entities(s, d)
-    chain = e.where("entity_id % 4 > 0").select((F.col("entity_id") - 1).alias("a"), F.col("entity_id").alias("b"), F.lit("merge").alias("action"))
-    return resolve.apply_merges(e, chain)
-
-
 @query("m7_rewrite_edges", f"WITH {G} SELECT DISTINCT source_id, rel_type, CASE WHEN target_id LIKE 'nation:%' THEN 'nation:0' ELSE target_id END AS target_id FROM (SELECT CASE WHEN source_id LIKE 'nation:%' THEN 'nation:0' ELSE source_id END AS source_id, rel_type, target_id FROM edg)")
 def m7(s, d):
     mapping = A.nodes(s, d).where("entity_type = 'nation'").select(F.col("entity_id").alias("old"), F.lit("nation:0").alias("new"))
@@ -514,8 +492,3 @@ def u7(s, d):
 @query("p2_synthesize_fallback", f"WITH {Q} SELECT qid, CASE WHEN trim(question) <> '' THEN 'PARTIAL' ELSE 'NOT_ANSWERABLE' END AS verdict FROM qst")
 def p2(s, d):
     return A.questions(s, d).select("qid", F.when(F.trim("question") != "", "PARTIAL").otherwise("NOT_ANSWERABLE").alias("verdict"))
-
-
-@query("m5_components")
-def components(s, d):
-    return connected_components(A.edges(s, d).where("rel_type = 'part_of'").select(F.col("source_id").alias("a"), F.col("target_id").alias("b")))

@@ -50,15 +50,6 @@ def s13(s, d):
     return s.read.parquet(path).groupBy("date").agg(F.count("*").alias("n"), F.sum(F.length("summary")).alias("chars"))
 
 
-@query("s15_vault", f"WITH {G}, {N}, l AS (SELECT source_id, string_agg('[[' || coalesce(name, target_id) || ']]', ', ' ORDER BY coalesce(name, target_id)) AS links FROM edg LEFT JOIN nod ON entity_id = target_id GROUP BY 1) SELECT entity_id, md5('# ' || name || chr(10) || coalesce(links, '')) AS page_md5 FROM nod LEFT JOIN l ON source_id = entity_id")
-def s15(s, d):
-    names = A.nodes(s, d).select(F.col("entity_id").alias("target_id"), "name")
-    links = A.edges(s, d).join(names, "target_id", "left").groupBy(F.col("source_id").alias("entity_id")).agg(F.sort_array(F.collect_list(F.coalesce("name", "target_id"))).alias("to"))
-    link = F.array_join(F.transform("to", lambda x: F.concat(F.lit("[["), x, F.lit("]]"))), ", ")
-    page = F.concat(F.lit("# "), "name", F.lit("\n"), F.coalesce(link, F.lit("")))
-    return A.nodes(s, d).join(links, "entity_id", "left").select("entity_id", F.md5(page).alias("page_md5"))
-
-
 @query("s17_coverage_tables", f"WITH {V} SELECT source, layer_hint, persona, ddc_class, count(*) AS n FROM evl GROUP BY GROUPING SETS ((source, ddc_class), (layer_hint, ddc_class), (persona, ddc_class), (ddc_class))")
 def s17(s, d):
     sets = [[F.col(c), F.col("ddc_class")] for c in ("source", "layer_hint", "persona")] + [[F.col("ddc_class")]]
@@ -79,14 +70,6 @@ def j8(s, d):
     return asked.join(named, "w").groupBy("qid", "entity_id").agg(F.count("*").alias("n"))
 
 
-@query("m10_stage_proposals", "SELECT o_orderkey AS id, CASE WHEN c_custkey IS NULL THEN 'proposed' ELSE 'proposed-update' END AS action FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey WHERE (o_orderstatus = 'F') = (c_custkey IS NULL)")
-def m10(s, d):
-    items = t(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("entity_id"), (F.col("o_orderstatus") == "F").alias("new"))
-    known = t(s, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("entity_id"), F.lit(True).alias("known"))
-    rows = items.join(known, "entity_id", "left").where(F.col("new") == F.col("known").isNull())
-    return rows.select("id", F.when(F.col("new"), "proposed").otherwise("proposed-update").alias("action"))
-
-
 @query("r12_cap_types", f"WITH {_RRF}, x AS (SELECT *, round(score, 9) AS sc FROM ad), c AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid, entity_type ORDER BY sc DESC, entity_id) AS r FROM x) SELECT qid, entity_id FROM c WHERE r <= greatest(1, floor(n * 0.5))")
 def r12(s, d):
     rows = adjusted(s, d).withColumn("score", F.round("score", 9))

@@ -42,8 +42,9 @@ class KeyedTable:
         paths = [f"{self.path}/data/version={v}/bucket={b}" for b, v in sorted(versions.items())]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def read(self) -> DataFrame:
-        return self._rows(self.versions())
+    def read(self, before: int | None = None) -> DataFrame:
+        """The table, or as it was before the batch with a number"""
+        return self._rows(self.versions(before))
 
     def bucket(self) -> F.Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
