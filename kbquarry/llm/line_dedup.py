@@ -4,8 +4,11 @@ Each line hash gets a HyperLogLog sketch of its sites; sketches merge by aggrega
 from the threshold decide; lines near it get exact distinct counts.  Lines on ``min_sites`` sites or more are
 candidates.  They are counted again with copies of one document as one site (the smallest of those with the line), since a
 copied document's lines are no boilerplate: exact copies by the hash of the text; near copies, sought among the texts at least
-half of whose characters lie in candidates, by bottom-k sketches of word shingles (two texts are copies if both hold five eighths of the ``SKETCH`` smallest hashes of either; a text is compared with
-the first text of each bucket that it falls into, so the work is linear).  Lines that still have ``min_sites`` sites are
+a quarter of whose characters lie in candidates, by bottom-k sketches of word shingles (both hold five eighths of the ``SKETCH``
+smallest hashes of either; a text is compared with the first text of each bucket that it falls into, so the work is
+linear).  What is shared may be a long footer, so two texts are copies only if what each has besides candidate lines is a
+twentieth of its words at most, or if half of its word triples are in the other text: edited lines are, pages' own words
+aren't.  Lines that still have ``min_sites`` sites are
 boilerplate and go from every document that keeps a line of its own; a document of nothing but boilerplate is left whole.
 
 Defined cases: a null text stays null; lines without a word are kept and never counted; a null site is a site of its own;
@@ -26,6 +29,8 @@ from .common import ascii_lower, save, text_words
 LG_K, BAND = 10, 0.2
 #: Shingle hashes that a text is known by, how many of them are bucket keys, words of a shingle.
 SKETCH, KEYS, SHINGLE = 64, 3, 5
+#: Texts of whose characters candidates hold at least one in so many are looked at as copies.
+SHARE = 4
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -55,13 +60,33 @@ def text_sketches(texts: DataFrame) -> DataFrame:
     return words.where(F.size("w") > 0).select("t", "m", F.slice(F.sort_array(F.array_distinct(shingles)), 1, SKETCH).alias("sketch")).dropDuplicates(["t"])
 
 
-def copies(texts: DataFrame) -> DataFrame:
-    """(node, component) of the texts (t, text) that have a near copy among them."""
+def _triples(words: Column) -> Column:
+    at = F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1)))
+    return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, 3), " ")))
+
+
+def _similar(texts: DataFrame) -> DataFrame:
+    """(a, b) of texts (t, text) with like sketches; b is in a bucket whose first text is a."""
     keyed = save(text_sketches(texts).select("t", "m", "sketch", F.explode(F.slice("sketch", 1, KEYS)).alias("key")), "copy-keys")
     first = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("m", "t", "sketch")).alias("one")).where("n > 1")
     pairs = keyed.join(first.select("key", F.col("one.t").alias("a"), F.col("one.sketch").alias("other")), "key").where("t <> a")
     pairs = pairs.select("a", "t", F.array_intersect("sketch", "other").alias("both"), F.slice(F.sort_array(F.array_union("sketch", "other")), 1, SKETCH).alias("least"))
-    return connected_components(pairs.where(8 * F.size(F.array_intersect("least", "both")) >= 5 * F.size("least")).select("a", F.col("t").alias("b")))
+    return save(pairs.where(8 * F.size(F.array_intersect("least", "both")) >= 5 * F.size("least")).select("a", F.col("t").alias("b")).distinct(), "like-texts")
+
+
+def copies(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """(node, component) of the texts (t, text) that have a near copy among them; ``places`` (t, bad): their candidate lines."""
+    pairs = _similar(texts)
+    needed = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
+    known = texts.join(needed, "t", "left_semi").dropDuplicates(["t"]).join(places, "t").withColumn("lines", F.split("text", "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "bad")
+    rest = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
+    known = known.select("t", text_words(ascii_lower(F.col("text"))).alias("w"), text_words(ascii_lower(rest)).alias("r"))
+    known = save(known.select("t", _triples(F.col("w")).alias("all"), _triples(F.col("r")).alias("own"), (20 * F.size("r") <= F.size("w")).alias("few")), "copy-words")
+    for side in "ab":
+        pairs = pairs.join(known.select(F.col("t").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("all", "own", "few")]), side)
+    held = lambda x, y: F.col(f"few_{x}") | (2 * F.size(F.array_intersect(f"own_{x}", f"all_{y}")) >= F.size(f"own_{x}"))
+    return connected_components(pairs.where(held("a", "b") & held("b", "a")).select("a", "b"))
 
 
 def independent(docs: DataFrame, shared: DataFrame, min_sites: int) -> DataFrame:
@@ -69,8 +94,9 @@ def independent(docs: DataFrame, shared: DataFrame, min_sites: int) -> DataFrame
     one."""
     share = shared.groupBy("r1", "r2", "i", "t", "total").agg(F.first("size").alias("size"))  # a repeated row counts once
     share = share.groupBy("r1", "r2", "t", "total").agg(F.sum(F.col("size") + 1).alias("size"))
-    wanted = save(share.where(2 * F.col("size") >= F.col("total")).select("t").distinct(), "mostly-shared")
-    found = copies(docs.select(F.xxhash64("text").alias("t"), "text").join(wanted, "t", "left_semi"))
+    wanted = save(share.where(SHARE * F.col("size") >= F.col("total")).select("t").distinct(), "mostly-shared")
+    places = shared.join(wanted, "t", "left_semi").groupBy("t").agg(F.collect_set("i").alias("bad"))  # places in one text
+    found = copies(docs.select(F.xxhash64("text").alias("t"), "text").join(wanted, "t", "left_semi"), places)
     homes = shared.groupBy("a", "b", "t").agg(F.min("site").alias("site"))
     homes = homes.join(found.withColumnRenamed("node", "t"), "t", "left").groupBy("a", "b", F.coalesce("component", "t").alias("copy")).agg(F.min("site").alias("site"))
     counts = homes.select("a", "b", "site").distinct().groupBy("a", "b").agg(F.count("*").alias("sites"))

@@ -108,7 +108,7 @@ def _pack_groups(pieces: DataFrame, groups: int, salt: int, capacity: int) -> Da
     return pieces.select("pid", "length", gid.alias("gid")).groupBy("gid").applyInPandas(run, PACKED)
 
 
-def pack(pieces: DataFrame, capacity: int, per_group: int = 100_000, release: int = 8) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, per_group: int = 10_000, release: int = 8) -> DataFrame:
     """``pieces`` (PIECES) plus sequence_id and offset.  A group holds ``per_group`` pieces on average."""
     cols = [c.split()[0] for c in PIECES.split(", ")]
     pieces = save(pieces.select(*cols).withColumn("pid", F.monotonically_increasing_id()), "pieces")
@@ -119,7 +119,7 @@ def pack(pieces: DataFrame, capacity: int, per_group: int = 100_000, release: in
     while True:
         turn += 1
         above = packed.where(F.col("bins") > F.col("bound"))
-        if groups == 1 or above.isEmpty():
+        if above.isEmpty() or groups == 1:  # certified, or nothing to exchange with
             break
         loose = above.groupBy("gid", "bin").agg((F.lit(capacity) - F.sum("length")).alias("room"), F.first("bins").alias("bins"), F.first("bound").alias("bound"))
         rank = F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("room"), "bin"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, burst_trie, line_dedup, maxent_lm, minhash, packing, periodic_runs, projection_dedup, quality_rules, sql, substring_dedup, toxicity, url_filter
-from .common import table
+from .common import save, table
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 MIN_SITES = 10
@@ -64,8 +64,11 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the number of sequences used and the bound that certifies it, the same in every row."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    packed = save(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN), "packed-documents")
+    used, bound = packing.certify(packed)
+    return packed.withColumns({"sequences": F.lit(used).cast("long"), "bound": F.lit(bound).cast("long")})
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

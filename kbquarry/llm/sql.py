@@ -37,13 +37,21 @@ l AS (SELECT rid, text, site, unnest(string_split(text, chr(10))) AS line, gener
 k AS (SELECT *, {_LOW.format("regexp_replace(line, '^[ \\t-\\r]+|[ \\t-\\r]+$', '', 'g')")} AS key FROM l),
 cand AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT site) >= 10),
 sh AS (SELECT DISTINCT text, site, key FROM k SEMI JOIN cand USING (key)),
-tx AS (SELECT row_number() OVER () AS t, text, regexp_extract_all({_LOW.format("text")}, '[^ \\t-\\r]+') AS w FROM (SELECT DISTINCT text FROM (SELECT rid, text, sum(length(line) + 1) AS size FROM k SEMI JOIN cand USING (key) GROUP BY rid, text) WHERE 2 * size >= length(text))),
+tx AS (SELECT row_number() OVER () AS t, text, regexp_extract_all({_LOW.format("text")}, '[^ \\t-\\r]+') AS w FROM (SELECT DISTINCT text FROM (SELECT rid, text, sum(length(line) + 1) AS size FROM k SEMI JOIN cand USING (key) GROUP BY rid, text) WHERE 4 * size >= length(text))),
 s AS (SELECT t, md5(text) AS m, list_sort(list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: md5(array_to_string(w[i:i + 4], ' '))[1:8])))[1:64] AS s FROM tx WHERE len(w) > 0),
 b AS (SELECT t, m, s, unnest(s[1:3]) AS key FROM s),
 f1 AS (SELECT key, min({{'m': m, 't': t, 's': s}}) AS one FROM b GROUP BY key HAVING count(*) > 1),
 p AS (SELECT DISTINCT one.t AS a, t AS b, one.s AS o, s FROM b JOIN f1 USING (key) WHERE t <> one.t),
 e0 AS (SELECT a, b, list_sort(list_distinct(o || s))[1:64] AS least, list_intersect(o, s) AS common FROM p),
-e AS (SELECT a, b FROM e0 WHERE 8 * len(list_intersect(least, common)) >= 5 * len(least) UNION SELECT b, a FROM e0 WHERE 8 * len(list_intersect(least, common)) >= 5 * len(least)),
+e1 AS MATERIALIZED (SELECT DISTINCT a, b FROM e0 WHERE 8 * len(list_intersect(least, common)) >= 5 * len(least)),
+one AS (SELECT text, min(rid) AS rid FROM d GROUP BY text),
+rw AS (SELECT rid, coalesce(string_agg(line, chr(10) ORDER BY i), '') AS rest FROM k ANTI JOIN cand USING (key) GROUP BY rid),
+kw AS (SELECT t, w, regexp_extract_all({_LOW.format("coalesce(rest, '')")}, '[^ \\t-\\r]+') AS r FROM tx JOIN one USING (text) LEFT JOIN rw USING (rid) WHERE t IN (SELECT a FROM e1 UNION SELECT b FROM e1)),
+kn AS MATERIALIZED (SELECT t, list_distinct(list_transform(range(1, greatest(1, len(w) - 2) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS everything,
+ list_distinct(list_transform(range(1, greatest(1, len(r) - 2) + 1), lambda i: array_to_string(r[i:i + 2], ' '))) AS own, 20 * len(r) <= len(w) AS few FROM kw),
+e2 AS (SELECT a, b FROM e1 JOIN kn x ON x.t = a JOIN kn y ON y.t = b
+ WHERE (x.few OR 2 * len(list_intersect(x.own, y.everything)) >= len(x.own)) AND (y.few OR 2 * len(list_intersect(y.own, x.everything)) >= len(y.own))),
+e AS MATERIALIZED (SELECT a, b FROM e2 UNION SELECT b, a FROM e2),
 r AS (SELECT t, t AS r FROM tx UNION SELECT r.t, e.b FROM r JOIN e ON r.r = e.a),
 c AS (SELECT text, coalesce(min(r), 1000000000 + row_number() OVER ()) AS copy FROM (SELECT DISTINCT text FROM sh) LEFT JOIN tx USING (text) LEFT JOIN r USING (t) GROUP BY text),
 bp AS (SELECT key FROM (SELECT key, copy, min(site) AS site FROM sh JOIN c USING (text) GROUP BY key, copy) GROUP BY key HAVING count(DISTINCT site) >= 10),

@@ -162,6 +162,21 @@ def test_line_dedup_cleans_thin_pages_and_spares_copies(spark):
     assert all(got[i] == (t, 0) for i, t, _ in near + exact)
 
 
+@pytest.mark.parametrize("size", [36, 60, 120, 300])
+def test_line_dedup_takes_long_footers_from_thin_pages(spark, size):
+    footer = "\n".join(" ".join(words(12, 40 * size + k)) for k in range(size // 12))
+    thin = [(i, f"{' '.join(words(20, 8000 + i))}\n{footer}", f"s{i}") for i in range(30)]
+    body = [words(30, 9000 + k) for k in range(8)]
+    near = []  # a word of two lines of eight is another one in each of sixteen copies
+    for i in range(16):
+        lines = [list(x) for x in body]
+        lines[i % 8][7], lines[(i + 3) % 8][20] = f"edit{i}", f"other{i}"
+        near.append((100 + i, "\n".join(map(" ".join, lines)), f"s{i}"))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_boilerplate(spark.createDataFrame(thin + near, "doc_id long, text string, source string"), 10).collect()}
+    assert all(got[i] == t.split("\n")[0] for i, t, _ in thin)
+    assert all(got[i] == t for i, t, _ in near)
+
+
 def test_toxicity_learns_words_stems_and_folds(spark):
     rng = random.Random(1)
     rows, labels = [], []
