@@ -18,14 +18,18 @@ def union_methods(**lists: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def rrf(candidates: DataFrame, k: int = 60) -> DataFrame:
-    """Fused score as a share of the question's best, found_by and matched_by"""
+def rrf(candidates: DataFrame, k: int = 60, graph: DataFrame | None = None) -> DataFrame:
+    """Fused score as a share of the question's best, found_by and matched_by; with ``graph`` (qid, entity_id, hop,
+    rel_from, rel_type) also how the graph reached those that aren't seeds (else null)"""
     order = F.array_position(F.array(*map(F.lit, METHODS)), F.col("method"))
     found = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct(order.alias("o"), "method"))), lambda x: x["method"]), ",")
     rows = candidates.groupBy("qid", "entity_id").agg(
         F.sum(1 / (k + F.col("rank"))).alias("raw"), found.alias("found_by"), F.max_by("method", F.struct("score", -order)).alias("matched_by"), F.max(F.when(F.col("method") == "vector", F.col("score"))).alias("cosine")
     )
-    return rows.withColumn("fused", F.col("raw") / F.max("raw").over(Window.partitionBy("qid")))
+    rows = rows.withColumn("fused", F.col("raw") / F.max("raw").over(Window.partitionBy("qid")))
+    if graph is None:
+        return rows
+    return rows.join(graph.where("hop > 0").select("qid", "entity_id", "hop", "rel_from", "rel_type"), ["qid", "entity_id"], "left")
 
 
 def fuse(rows: DataFrame, boost: Column, blend: float = 0.3) -> DataFrame:
@@ -55,10 +59,16 @@ def dedup_inverse(rows: DataFrame) -> DataFrame:
     return keep_one(rows.withColumn("_pair", pair), ["qid", "_pair"], [F.desc("score"), F.col("entity_id")]).drop("_pair")
 
 
-def diversify(rows: DataFrame, k: int = 15, type_ratio: float = 0.5, layer_ratio: float = 0.6, listing: str | None = None) -> DataFrame:
-    """R12, R13"""
+def cap_types(rows: DataFrame, ratio: float = 0.5) -> DataFrame:
+    """Not where the question lists or compares"""
+    return cap_share(rows, "qid", "entity_type", ratio, [F.desc("score"), F.col("entity_id")], F.col("is_listing") | F.col("is_comparison"))
+
+
+def diversify(rows: DataFrame, k: int = 15, type_ratio: float = 0.5, layer_ratio: float = 0.6) -> DataFrame:
+    """``rows`` (qid, entity_id, score, entity_type, layer, is_listing, is_comparison); layers aren't capped where the
+    question lists"""
     order = [F.desc("score"), F.col("entity_id")]
-    kept = cap_share(cap_share(rows, "qid", "entity_type", type_ratio, order), "qid", "layer", layer_ratio, order)
+    kept = cap_share(cap_types(rows, type_ratio), "qid", "layer", layer_ratio, order, F.col("is_listing"))
     return top_k(kept, ["qid"], order, k, "pos")
 
 
@@ -80,3 +90,13 @@ def hop_gaps(hops: DataFrame) -> DataFrame:
     low = hops.where((F.col("confidence") < 0.4) & (F.col("hop") <= 1)).select("qid", "entity_id", F.lit("low_confidence_hub").alias("gap_type"), F.lit("high").alias("severity"))
     orphan = hops.where((F.col("confidence") >= 0.4) & (F.col("n_edges") == 0)).select("qid", "entity_id", F.lit("orphan_entity").alias("gap_type"), F.lit("low").alias("severity"))
     return low.unionByName(orphan)
+
+
+def funnel(candidates: DataFrame, selected: DataFrame, entities: DataFrame, gaps: DataFrame) -> DataFrame:
+    """What is left of each question's rows after each stage, with the selected bodies' tokens and the gaps"""
+    counts = [F.count_if(F.col("method") == m).alias(f"n_{m}") for m in METHODS]
+    found = candidates.groupBy("qid").agg(*counts, F.count("*").alias("n_candidates"), F.count_distinct("entity_id").alias("n_fused"))
+    sizes = entities.select("entity_id", F.floor(F.length("body") / 4).alias("tokens"))
+    kept = selected.select("qid", "entity_id").join(sizes, "entity_id").groupBy("qid").agg(F.count("*").alias("n_selected"), F.sum("tokens").cast("long").alias("tokens"))
+    noted = gaps.groupBy("qid").agg(F.count("*").alias("n_gaps"))
+    return found.join(kept, "qid").join(noted, "qid", "left").withColumn("n_gaps", F.coalesce("n_gaps", F.lit(0)))

@@ -24,11 +24,11 @@ def min_max_norm(df: DataFrame, part: str, score: str) -> DataFrame:
     return df.withColumns({"lo": F.min(score).over(w), "hi": F.max(score).over(w)}).withColumn("norm", F.coalesce(F.try_divide(F.col(score), F.col("hi")), F.lit(0.0)))
 
 
-def cap_share(df: DataFrame, part: str, group: str, ratio: float, order: list[Column]) -> DataFrame:
-    """Of each group at most max(1, floor(ratio * rows of the part))"""
+def cap_share(df: DataFrame, part: str, group: str, ratio: float, order: list[Column], free: Column | None = None) -> DataFrame:
+    """Of each group at most max(1, floor(ratio * rows of the part)); all rows where ``free`` is true"""
     n = F.count("*").over(Window.partitionBy(part))
     r = F.row_number().over(Window.partitionBy(part, group).orderBy(*order))
-    return df.withColumns({"_n": n, "_r": r}).where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * ratio))).drop("_n", "_r")
+    return df.withColumns({"_n": n, "_r": r}).where((F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * ratio))) | F.coalesce(F.lit(False) if free is None else free, F.lit(False))).drop("_n", "_r")
 
 
 def take_until_budget(df: DataFrame, part: list[str], order: list[Column], size: str, budget: float) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..ontology import TYPE_LAYERS, TYPES, layer_of
+from ..operators.scan import numbered
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -47,6 +48,14 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def document_edges(spark: SparkSession, d: str) -> DataFrame:
+    """source_id, rel_type, target_id: from each document to the next one of its source"""
+    rows = numbered(table(spark, d, "documents").where("source is not null").select("source", "doc_id", "lang"), "source", "doc_id")
+    after = rows.select((F.col("place") - 1).alias("place"), F.col("source").alias("to_source"), F.col("doc_id").alias("target_id"), F.col("lang").alias("to_lang"))
+    rel = F.when(F.col("lang") == F.col("to_lang"), "triggers").otherwise("owned_by")
+    return rows.join(after, "place").where("source = to_source").select(F.col("doc_id").alias("source_id"), rel.alias("rel_type"), "target_id")
+
+
 def nodes(spark: SparkSession, d: str) -> DataFrame:
     """entity_id, entity_type, name of the graph"""
     t = lambda n: table(spark, d, n)
@@ -99,3 +108,5 @@ SQL_EVENTS = """evt AS (SELECT event_id AS id, ts AS "at", user_id AS entity_id,
 SQL_EVAL = f"""{SQL_ENTITIES}, evl AS (SELECT entity_id AS qid, name AS question, source, lang AS layer_hint, ['architect', 'developer', 'new-joiner', ''][1 + entity_id % 4] AS persona,
  CASE WHEN quality = 1 AND toxic = 0 THEN 'CLEAN' WHEN quality = 1 AND toxic = 1 THEN 'INCOMPLETE' ELSE 'MISSING' END AS ddc_class, length(body) AS total_ms, 'run' || (entity_id % 3) AS run_id FROM ent)"""
 SQL_QUESTIONS = "qst AS (SELECT item_id AS qid, text AS question FROM benchmark)"
+SQL_DOCUMENT_EDGES = """ded AS (SELECT * FROM (SELECT doc_id AS source_id, CASE WHEN lang = lead(lang) OVER w THEN 'triggers' ELSE 'owned_by' END AS rel_type, lead(doc_id) OVER w AS target_id
+ FROM documents WHERE source IS NOT NULL WINDOW w AS (PARTITION BY source ORDER BY doc_id)) WHERE target_id IS NOT NULL)"""

@@ -117,7 +117,7 @@ def _blocks(source):
 
 def hops_and_relations(s, d):
     e = A.entities(s, d)
-    hops = adjusted(s, d).select("qid", "entity_id", F.round("score", 9).alias("score"), "layer", "entity_type", F.when(F.col("layer") == "structural", 1.5).otherwise(1.0).alias("priority"))
+    hops = adjusted(s, d).select("qid", "entity_id", F.round("score", 9).alias("score"), "layer", "entity_type", "is_listing", "is_comparison", F.when(F.col("layer") == "structural", 1.5).otherwise(1.0).alias("priority"))
     edges = e.where("source is not null").select(F.col("entity_id").alias("source_id"), F.lit("part_of").alias("rel_type"), F.col("source").alias("target_id"))
     names = e.select(F.col("source").alias("entity_id"), F.col("source").alias("name")).distinct()
     return e, hops, context.first_relations(edges, names)
@@ -130,8 +130,8 @@ def r14_text(s, d):
     return context.context_text(blocks).join(blocks.groupBy("qid").agg(F.count("*").alias("blocks")), "qid").select("qid", "blocks", F.md5("context").alias("h"))
 
 
-@query("r21_run_eval", f"""WITH {_RRF}, x AS (SELECT *, round(score, 9) AS sc FROM ad), c1 AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid, entity_type ORDER BY sc DESC, entity_id) AS r FROM x), c2 AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n2, row_number() OVER (PARTITION BY qid, layer ORDER BY sc DESC, entity_id) AS r2 FROM c1 WHERE r <= greatest(1, floor(n * 0.5))),
- f AS (SELECT qid, entity_id, layer, sc FROM c2 WHERE r2 <= greatest(1, floor(n2 * 0.6)) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sc DESC, entity_id) <= 15), {_blocks('f')}, z AS (SELECT qid, count(*) AS n, string_agg(block, chr(10) || '---' || chr(10) ORDER BY pos) AS t FROM c WHERE running <= 24000 GROUP BY qid)
+@query("r21_run_eval", f"""WITH {_RRF}, x AS (SELECT *, round(score, 9) AS sc FROM ad), c1 AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid, entity_type ORDER BY sc DESC, entity_id) AS r FROM x), c2 AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n2, row_number() OVER (PARTITION BY qid, layer ORDER BY sc DESC, entity_id) AS r2 FROM c1 WHERE (r <= greatest(1, floor(n * 0.5)) OR is_listing OR is_comparison)),
+ f AS (SELECT qid, entity_id, layer, sc FROM c2 WHERE (r2 <= greatest(1, floor(n2 * 0.6)) OR is_listing) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sc DESC, entity_id) <= 15), {_blocks('f')}, z AS (SELECT qid, count(*) AS n, string_agg(block, chr(10) || '---' || chr(10) ORDER BY pos) AS t FROM c WHERE running <= 24000 GROUP BY qid)
 SELECT qid, coalesce(n, 0) AS entities_retrieved, md5(coalesce(substr(t, 1, 500), '')) AS answer, CASE WHEN n IS NULL THEN 'not_answerable' ELSE 'partial' END AS score, CASE WHEN n IS NULL THEN 'MISSING' ELSE 'INCOMPLETE' END AS ddc_class FROM qst LEFT JOIN z USING (qid)""")
 def r21(s, d):
     e, hops, relations = hops_and_relations(s, d)

@@ -11,8 +11,11 @@ from ..functions.vectorized import html_to_text
 from ..operators import coverage as C
 from ..operators import fuse, resolve, search, windows
 from ..operators.backend import RetrievalConfig
+from ..operators.understanding import understand
+from ..scratch import save
 from . import adapters as A
 from .registry import query
+from .text_queries import asked, intent_ctes
 
 E, G, N, V, CL, EV, Q = A.SQL_ENTITIES, A.SQL_EDGES, A.SQL_NODES, A.SQL_EVAL, A.SQL_CALLS, A.SQL_EVENTS, A.SQL_QUESTIONS
 _W = A.SQL_WORDS.format
@@ -206,30 +209,81 @@ def seeds(s, d):
 
 @query("r4_graph_search", f"WITH {G}, {N}, s0 AS (SELECT name::BIGINT AS qid, entity_id AS id FROM nod WHERE entity_type = 'order' AND entity_id LIKE '%00'), s1 AS (SELECT DISTINCT qid, target_id AS id FROM s0 JOIN edg ON source_id = id EXCEPT SELECT * FROM s0), s2 AS (SELECT DISTINCT qid, target_id AS id FROM s1 JOIN edg ON source_id = id EXCEPT SELECT * FROM s1 EXCEPT SELECT * FROM s0), s3 AS (SELECT DISTINCT qid, target_id AS id FROM s2 JOIN edg ON source_id = id EXCEPT SELECT * FROM s2 EXCEPT SELECT * FROM s1 EXCEPT SELECT * FROM s0) SELECT qid, id, 0 AS hop, 1.0::DOUBLE AS score FROM s0 UNION ALL SELECT qid, id, 1, 0.85 FROM s1 UNION ALL SELECT qid, id, 2, 0.7 FROM s2 UNION ALL SELECT qid, id, 3, 0.55 FROM s3")
 def r4(s, d):
-    return search.graph_search(seeds(s, d), A.edges(s, d)).drop("ord")
+    return search.graph_search(seeds(s, d), A.edges(s, d)).drop("ord", "rel_from", "rel_type")
+
+
+_ALLOWED = "(dominant NOT IN (" + ", ".join(f"'{i}'" for i in ontology.INTENT_EDGES) + ") OR " + " OR ".join(f"(dominant = '{i}' AND rel_type IN ({', '.join(map(repr, e))}))" for i, e in ontology.INTENT_EDGES.items()) + ")"
+_STEP = "SELECT qid, r, target_id AS id, source_id AS f, rel_type FROM {} JOIN ded ON source_id = id JOIN ic ON item_id = qid WHERE " + _ALLOWED
+#: Each document has one edge at most, so that the first visit is the one of the fewest hops, then of the first seed.
+_GRAPH = f"""{A.SQL_DOCUMENT_EDGES}, {intent_ctes()}, vq AS (SELECT qid // 100 AS qid, entity_id, rank, score FROM vc),
+sm AS (SELECT least(15, greatest(5, count(*) // 100)) AS m FROM ent),
+h0 AS (SELECT qid, entity_id AS id, rank AS r FROM vq, sm WHERE rank < m UNION ALL SELECT qid, entity_id, rank FROM kw, sm WHERE rank < m AND qid NOT IN (SELECT qid FROM vq)),
+h1 AS ({_STEP.format("(SELECT qid, r, id FROM h0)")}), h2 AS ({_STEP.format("(SELECT qid, r, id FROM h1)")}), h3 AS ({_STEP.format("(SELECT qid, r, id FROM h2)")}),
+hs AS (SELECT qid, r, id, NULL AS f, NULL AS rel_type, 0 AS hop FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3),
+hf AS (SELECT * FROM hs WHERE id IN (SELECT entity_id FROM ent) QUALIFY row_number() OVER (PARTITION BY qid, id ORDER BY hop, r) = 1),
+gr AS (SELECT qid, id AS entity_id, hop, f AS rel_from, rel_type, row_number() OVER (PARTITION BY qid ORDER BY hop, r) - 1 AS rank, [1.0, 0.85, 0.7, 0.55][hop + 1]::DOUBLE AS score FROM hf)"""
+_KV = f"""{E}, {Q}, {_KEYS}, {_VEC}, {_GRAPH},
+un AS (SELECT qid, entity_id, rank, score, 'keyword' AS method, 2 AS o FROM kw UNION ALL SELECT qid, entity_id, rank, score, 'vector', 1 FROM vq UNION ALL SELECT qid, entity_id, rank, score, 'graph', 3 FROM gr)"""
+_BOOST = "CASE layer " + " ".join(f"WHEN '{x}' THEN l_{x}" for x in ontology.LAYERS) + " ELSE 1 END"
+_RRF = f"""{_KV},
+rr AS (SELECT qid, entity_id, sum(1.0 / (60 + rank)) AS raw, string_agg(method, ',' ORDER BY o) AS found_by, list(method ORDER BY score DESC, o)[1] AS matched_by, max(score) FILTER (method = 'vector') AS cosine FROM un GROUP BY 1, 2),
+ff AS (SELECT rr.*, hop, rel_from, rel_type, raw / max(raw) OVER (PARTITION BY rr.qid) AS fused FROM rr LEFT JOIN (SELECT * FROM gr WHERE hop > 0) g ON g.qid = rr.qid AND g.entity_id = rr.entity_id),
+oe AS (SELECT source_id AS entity_id, count(*) AS n FROM ded GROUP BY 1), nd AS (SELECT entity_id, count(*) OVER (PARTITION BY md5(body)) AS n FROM ent),
+fu AS (SELECT ff.*, layer, entity_type, confidence, name, coalesce(oe.n, 0) AS n_edges, nd.n AS n_docs, is_listing, is_comparison,
+ CASE WHEN cosine IS NULL THEN fused * {_BOOST} ELSE 0.7 * fused * {_BOOST} + 0.3 * cosine END AS score
+ FROM ff JOIN ent USING (entity_id) LEFT JOIN oe USING (entity_id) JOIN nd USING (entity_id) JOIN ic ON item_id = qid),
+co AS (SELECT *, min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi FROM fu),
+ad AS (SELECT * EXCLUDE (score), score AS before, CASE WHEN score >= lo + 0.15 * CASE WHEN hi > lo THEN hi - lo ELSE 1 END
+ THEN score * pow(0.5 + 0.5 * confidence, 0.3) * CASE WHEN n_edges > 0 THEN 1 + 0.03 * ln(1 + n_edges) ELSE 1 END * (1 + 0.02 * ln(1 + n_docs)) ELSE score END AS score FROM co)"""
+
+
+def understood(s, d):
+    """Saved: its patterns would else be repeated in every expression that uses their weights."""
+    return save(understand(asked(s, d).withColumnRenamed("item_id", "qid")), "understood")
+
+
+def method_lists(s, d):
+    """The vector, keyword and graph list of each question; the vector list's first, else the keyword list's, are the seeds."""
+    v = save(vectors(s, d).select(F.floor(F.col("qid") / 100).alias("qid"), "entity_id", "rank", F.round("score", 6).alias("score")), "vector-list")
+    kw = save(keyword(s, d), "keyword-list")
+    first = min(15, max(5, t(s, d, "documents").count() // 100))
+    start = v.where(F.col("rank") < first).unionByName(kw.where(F.col("rank") < first).join(v.select("qid").distinct(), "qid", "left_anti").select(*v.columns))
+    types = understood(s, d).select("qid", F.explode("edge_types").alias("rel_type"))
+    found = search.graph_search(start.select("qid", F.col("entity_id").alias("id"), F.col("rank").alias("ord")), A.document_edges(s, d), types=types, known=t(s, d, "documents").select(F.col("doc_id").alias("id")))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("ord")) - 1
+    graph = found.select("qid", F.col("id").alias("entity_id"), place.alias("rank"), "score", "hop", "rel_from", "rel_type")
+    return v, kw, save(graph, "graph-list")
 
 
-_KV = f"{E}, {Q}, {_KEYS}, {_VEC}, un AS (SELECT qid, entity_id, rank, score, 'keyword' AS method, 2 AS o FROM kw UNION ALL SELECT qid // 100, entity_id, rank, score, 'vector', 1 FROM vc)"
-_RRF = f"{_KV}, rr AS (SELECT qid, entity_id, sum(1.0 / (60 + rank)) AS raw, string_agg(method, ',' ORDER BY o) AS found_by, max(score) FILTER (method = 'vector') AS cosine FROM un GROUP BY 1, 2), ff AS (SELECT *, raw / max(raw) OVER (PARTITION BY qid) AS fused FROM rr), fu AS (SELECT ff.*, layer, entity_type, confidence, name, (lang IS NOT NULL)::INT + (source IS NOT NULL)::INT AS n_edges, CASE WHEN cosine IS NULL THEN fused * CASE layer WHEN 'structural' THEN 1.5 ELSE 1 END ELSE 0.7 * fused * CASE layer WHEN 'structural' THEN 1.5 ELSE 1 END + 0.3 * cosine END AS score FROM ff JOIN ent USING (entity_id)), co AS (SELECT *, min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi FROM fu), ad AS (SELECT * EXCLUDE (score), score AS before, CASE WHEN score >= lo + 0.15 * CASE WHEN hi > lo THEN hi - lo ELSE 1 END THEN score * pow(0.5 + 0.5 * confidence, 0.3) * CASE WHEN n_edges > 0 THEN 1 + 0.03 * ln(1 + n_edges) ELSE 1 END * (1 + 0.02 * ln(2)) ELSE score END AS score FROM co)"
+def candidates(s, d):
+    v, kw, graph = method_lists(s, d)
+    return fuse.union_methods(vector=v, keyword=kw, graph=graph)
 
 
-def candidates(s, d):
-    v = vectors(s, d).select(F.floor(F.col("qid") / 100).alias("qid"), "entity_id", "rank", F.round("score", 6).alias("score"))
-    return fuse.union_methods(vector=v, keyword=keyword(s, d))
+def ranked(s, d):
+    v, kw, graph = method_lists(s, d)
+    return fuse.rrf(fuse.union_methods(vector=v, keyword=kw, graph=graph), graph=graph)
 
 
 def fused(s, d):
-    rows = fuse.rrf(candidates(s, d)).join(A.entities(s, d).select("entity_id", "layer", "entity_type", "confidence", "name", (F.col("lang").isNotNull().cast("int") + F.col("source").isNotNull().cast("int")).alias("n_edges")), "entity_id")
-    return fuse.fuse(rows, F.when(F.col("layer") == "structural", 1.5).otherwise(1.0))
+    """With what the question asks for, the entity's relationships and the documents that hold its text"""
+    e = A.entities(s, d).select("entity_id", "layer", "entity_type", "confidence", "name", F.md5("body").alias("hash"))
+    copies = e.groupBy("hash").agg(F.count("*").alias("n_docs"))
+    edges = A.document_edges(s, d).groupBy(F.col("source_id").alias("entity_id")).agg(F.count("*").alias("n_edges"))
+    e = e.join(copies, "hash").drop("hash").join(edges, "entity_id", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
+    asks = understood(s, d).select("qid", "is_listing", "is_comparison", *[f"l_{x}" for x in ontology.LAYERS])
+    boost = F.coalesce(*[F.when(F.col("layer") == x, F.round(f"l_{x}", 6)) for x in ontology.LAYERS], F.lit(1.0))
+    rows = ranked(s, d).join(e, "entity_id").join(asks, "qid").withColumn("boost", boost)
+    return fuse.fuse(rows, F.col("boost")).drop("boost", *[f"l_{x}" for x in ontology.LAYERS])
 
 
 def adjusted(s, d):
-    return fuse.adjust_scores(fused(s, d).withColumn("n_docs", F.lit(1)))
+    return fuse.adjust_scores(fused(s, d))
 
 
 @query("r5_rrf", f"WITH {_RRF} SELECT qid, entity_id, round(fused, 6) AS fused, found_by FROM ff")
 def r5(s, d):
-    return fuse.rrf(candidates(s, d)).select("qid", "entity_id", F.round("fused", 6).alias("fused"), "found_by")
+    return ranked(s, d).select("qid", "entity_id", F.round("fused", 6).alias("fused"), "found_by")
 
 
 @query("r6_fuse", f"WITH {_RRF} SELECT qid, entity_id, round(score, 4) AS score FROM fu")
@@ -237,9 +291,9 @@ def r6(s, d):
     return fused(s, d).select("qid", "entity_id", F.round("score", 4).alias("score"))
 
 
-@query("r7_provenance")
+@query("r7_provenance", f"WITH {_RRF} SELECT qid, entity_id, found_by, matched_by, hop, rel_from, rel_type FROM ff")
 def r7(s, d):
-    return fuse.rrf(candidates(s, d)).select("qid", "entity_id", "found_by", "matched_by")
+    return ranked(s, d).select("qid", "entity_id", "found_by", "matched_by", "hop", "rel_from", "rel_type")
 
 
 @query("r8_adjust_scores", f"WITH {_RRF} SELECT qid, entity_id, round(score, 4) AS score FROM ad")
@@ -258,12 +312,12 @@ def r11(s, d):
     return fuse.dedup_inverse(rows).select("qid", "entity_id", "score")
 
 
-@query("r13_diversify", f"WITH {_RRF}, x AS (SELECT *, round(score, 9) AS sc FROM ad), c1 AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid, entity_type ORDER BY sc DESC, entity_id) AS r FROM x), c2 AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n2, row_number() OVER (PARTITION BY qid, layer ORDER BY sc DESC, entity_id) AS r2 FROM c1 WHERE r <= greatest(1, floor(n * 0.5))) SELECT qid, entity_id, (row_number() OVER (PARTITION BY qid ORDER BY sc DESC, entity_id) - 1)::INT AS pos FROM c2 WHERE r2 <= greatest(1, floor(n2 * 0.6)) QUALIFY pos < 15")
+@query("r13_diversify", f"WITH {_RRF}, x AS (SELECT *, round(score, 9) AS sc FROM ad), c1 AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid, entity_type ORDER BY sc DESC, entity_id) AS r FROM x), c2 AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n2, row_number() OVER (PARTITION BY qid, layer ORDER BY sc DESC, entity_id) AS r2 FROM c1 WHERE (r <= greatest(1, floor(n * 0.5)) OR is_listing OR is_comparison)) SELECT qid, entity_id, (row_number() OVER (PARTITION BY qid ORDER BY sc DESC, entity_id) - 1)::INT AS pos FROM c2 WHERE (r2 <= greatest(1, floor(n2 * 0.6)) OR is_listing) QUALIFY pos < 15")
 def r13(s, d):
     return fuse.diversify(adjusted(s, d).withColumn("score", F.round("score", 9))).select("qid", "entity_id", "pos")
 
 
-@query("r16_vanilla_merge", f"WITH {_KV}, m AS (SELECT qid, entity_id, round(avg(score), 6)::DOUBLE AS score FROM un GROUP BY 1, 2) SELECT qid, entity_id, score FROM m QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, entity_id) <= 15")
+@query("r16_vanilla_merge", f"WITH {_KV}, m AS (SELECT qid, entity_id, round(avg(score), 6)::DOUBLE AS score FROM un WHERE method <> 'graph' GROUP BY 1, 2) SELECT qid, entity_id, score FROM m QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, entity_id) <= 15")
 def r16(s, d):
     v = vectors(s, d).select(F.floor(F.col("qid") / 100).alias("qid"), "entity_id", F.round("score", 6).alias("score"))
     return fuse.vanilla_merge(v, keyword(s, d)).select("qid", "entity_id", "score")
@@ -280,14 +334,26 @@ def r18(s, d):
     return search.bm25_search(A.questions(s, d), A.entities(s, d), 10).select("qid", "entity_id", F.round("score", 4).alias("score"))
 
 
-@query("r20_funnel", f"WITH {_RRF} SELECT qid, count(*) FILTER (method = 'vector') AS n_vector, count(*) FILTER (method = 'keyword') AS n_keyword, count(DISTINCT entity_id) AS n_fused FROM un GROUP BY 1")
+@query(
+    "r20_funnel",
+    f"""WITH {_RRF}, x AS (SELECT *, round(score, 9) AS sc FROM ad),
+c1 AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid, entity_type ORDER BY sc DESC, entity_id) AS r FROM x),
+c2 AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n2, row_number() OVER (PARTITION BY qid, layer ORDER BY sc DESC, entity_id) AS r2 FROM c1 WHERE r <= greatest(1, floor(n * 0.5)) OR is_listing OR is_comparison),
+sl AS (SELECT * FROM c2 WHERE r2 <= greatest(1, floor(n2 * 0.6)) OR is_listing QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sc DESC, entity_id) <= 15),
+sn AS (SELECT qid, count(*) AS n_selected, sum(length(body) // 4)::BIGINT AS tokens, count(*) FILTER ((sl.confidence < 0.4 AND coalesce(hop, 0) <= 1) OR (sl.confidence >= 0.4 AND n_edges = 0)) AS n_gaps FROM sl JOIN ent USING (entity_id) GROUP BY 1)
+SELECT qid, count(*) FILTER (method = 'vector') AS n_vector, count(*) FILTER (method = 'keyword') AS n_keyword, count(*) FILTER (method = 'graph') AS n_graph,
+ count(*) AS n_candidates, count(DISTINCT entity_id) AS n_fused, any_value(n_selected) AS n_selected, any_value(tokens) AS tokens, any_value(n_gaps) AS n_gaps FROM un JOIN sn USING (qid) GROUP BY qid""",
+)
 def r20(s, d):
-    return candidates(s, d).groupBy("qid").agg(F.count_if(F.col("method") == "vector").alias("n_vector"), F.count_if(F.col("method") == "keyword").alias("n_keyword"), F.count_distinct("entity_id").alias("n_fused"))
+    v, kw, graph = method_lists(s, d)
+    found = fuse.union_methods(vector=v, keyword=kw, graph=graph)
+    selected = fuse.diversify(adjusted(s, d).withColumn("score", F.round("score", 9))).withColumn("hop", F.coalesce("hop", F.lit(0)))
+    return fuse.funnel(found, selected, A.entities(s, d).select("entity_id", "body"), fuse.hop_gaps(selected))
 
 
-@query("g2_hop_gaps", f"WITH {_RRF} SELECT qid, entity_id, CASE WHEN confidence < 0.4 THEN 'low_confidence_hub' ELSE 'orphan_entity' END AS gap_type, CASE WHEN confidence < 0.4 THEN 'high' ELSE 'low' END AS severity FROM fu WHERE confidence < 0.4 OR n_edges = 0")
+@query("g2_hop_gaps", f"WITH {_RRF} SELECT qid, entity_id, CASE WHEN confidence < 0.4 THEN 'low_confidence_hub' ELSE 'orphan_entity' END AS gap_type, CASE WHEN confidence < 0.4 THEN 'high' ELSE 'low' END AS severity FROM fu WHERE (confidence < 0.4 AND coalesce(hop, 0) <= 1) OR (confidence >= 0.4 AND n_edges = 0)")
 def g2(s, d):
-    return fuse.hop_gaps(fused(s, d).withColumn("hop", F.lit(0)))
+    return fuse.hop_gaps(fused(s, d).withColumn("hop", F.coalesce("hop", F.lit(0))))
 
 
 @query("g5_unanswered_gaps", f"WITH {V} SELECT qid, CASE WHEN total_ms > 1000 THEN 'thin_coverage' ELSE 'missing_entity' END AS gap_type FROM evl WHERE ddc_class = 'MISSING'")

@@ -70,10 +70,10 @@ def j8(s, d):
     return asked.join(named, "w").groupBy("qid", "entity_id").agg(F.count("*").alias("n"))
 
 
-@query("r12_cap_types", f"WITH {_RRF}, x AS (SELECT *, round(score, 9) AS sc FROM ad), c AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid, entity_type ORDER BY sc DESC, entity_id) AS r FROM x) SELECT qid, entity_id FROM c WHERE r <= greatest(1, floor(n * 0.5))")
+@query("r12_cap_types", f"WITH {_RRF}, x AS (SELECT *, round(score, 9) AS sc FROM ad), c AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid, entity_type ORDER BY sc DESC, entity_id) AS r FROM x) SELECT qid, entity_id FROM c WHERE (r <= greatest(1, floor(n * 0.5)) OR is_listing OR is_comparison)")
 def r12(s, d):
     rows = adjusted(s, d).withColumn("score", F.round("score", 9))
-    return windows.cap_share(rows, "qid", "entity_type", 0.5, [F.desc("score"), F.col("entity_id")]).select("qid", "entity_id")
+    return fuse.cap_types(rows).select("qid", "entity_id")
 
 
 _PACK = f"{_RRF}, i AS (SELECT qid, entity_id, layer, round(score, 9) AS sc, row_number() OVER (PARTITION BY qid, layer ORDER BY round(score, 9) DESC, entity_id) AS turn FROM ad), p AS (SELECT i.*, row_number() OVER (PARTITION BY qid ORDER BY turn, layer) AS pos, greatest(250, least(2500, floor(2400 * sc / sum(sc) OVER (PARTITION BY qid)))) AS share FROM i), b AS (SELECT p.*, least(length(body), 4 * share) AS chars FROM p JOIN ent USING (entity_id)), k AS (SELECT *, sum(chars) OVER (PARTITION BY qid ORDER BY pos) AS running FROM b)"
@@ -94,12 +94,12 @@ def r15(s, d):
 
 
 def hops(s, d):
-    """The fused hops with their flag; names of a length divisible by three stand for entities without relationships."""
-    rows = fused(s, d).drop("n_edges").join(A.entities(s, d).select("entity_id", (F.length("name") % 3).alias("n_edges")), "entity_id")
+    """The fused hops with their flag"""
+    rows = fused(s, d)
     return rows.withColumn("flag", gaps.hop_flag(F.col("confidence"), F.col("n_edges")))
 
 
-_HOP = f"{_RRF}, hp AS (SELECT *, CASE WHEN confidence < 0.4 THEN 'low_confidence' WHEN length(name) % 3 = 0 THEN 'orphan_entity' END AS flag FROM fu)"
+_HOP = f"{_RRF}, hp AS (SELECT *, CASE WHEN confidence < 0.4 THEN 'low_confidence' WHEN n_edges = 0 THEN 'orphan_entity' END AS flag FROM fu)"
 
 
 @query("g1_hop_flags", f"WITH {_HOP} SELECT qid, entity_id, flag FROM hp")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import ontology
 from ..functions import text as X
+from ..operators.understanding import understand
 from . import adapters as A
 from .registry import query
 
@@ -112,7 +113,8 @@ def asked(s, d):
     return A.table(s, d, "benchmark").select("item_id", F.concat(head, F.lower(F.substring("text", 1, 60))).alias("question"))
 
 
-def _intent_sql() -> str:
+def intent_ctes() -> str:
+    """CTE ic: item_id, w_<intent>, l_<layer>, dominant, is_listing, is_comparison, keywords"""
     cols = []
     for i, ps in ontology.INTENTS.items():
         n = " + ".join(f"regexp_matches(q, '{p}')::INT" for p in ps)
@@ -125,15 +127,24 @@ def _intent_sql() -> str:
         b = [f"1 + {x[layer] - 1:.1f} * coalesce(w_{i} / top, 0)" for i, x in ontology.INTENT_LAYERS.items() if layer in x]
         layers.append(f"round(greatest(1.0, {', '.join(b)}), 6)::DOUBLE AS l_{layer}" if b else f"1.0::DOUBLE AS l_{layer}")
     kept = ", ".join(f"round({n}, 6)::DOUBLE AS {n}" for n in names)
-    return f"WITH q AS (SELECT item_id, lower({_HEAD}) AS q FROM benchmark), a AS (SELECT item_id, {', '.join(cols)} FROM q), b AS (SELECT item_id, {', '.join(out)} FROM a), c AS (SELECT *, greatest({tops}) AS top FROM b) SELECT item_id, {kept}, {', '.join(layers)} FROM c"
+    dominant = "CASE " + " ".join(f"WHEN w_{i} = top THEN '{i}'" for i in ontology.INTENTS) + " END AS dominant"
+    stops = "[" + ", ".join(f"'{w}'" for w in ontology.KEYWORD_STOPS) + "]"
+    keywords = f"array_to_string(list_filter({A.SQL_WORDS.format('q')}, lambda w: NOT list_contains({stops}, w) AND length(w) > 1), ',') AS keywords"
+    return f"""iq AS (SELECT item_id, lower({_HEAD}) AS q FROM benchmark),
+ia AS (SELECT item_id, q, {', '.join(cols)} FROM iq),
+ib AS (SELECT item_id, q, {', '.join(out)} FROM ia),
+it AS (SELECT *, greatest({tops}) AS top FROM ib),
+ic AS (SELECT item_id, {kept}, {', '.join(layers)}, {dominant}, w_listing IS NOT NULL AS is_listing, w_comparison IS NOT NULL AS is_comparison, {keywords} FROM it)"""
 
 
-@query("x14_classify_queries", _intent_sql())
+_EDGES = "CASE dominant " + " ".join(f"WHEN '{i}' THEN '{','.join(e)}'" for i, e in ontology.INTENT_EDGES.items()) + " END AS edge_types"
+
+
+@query("x14_classify_queries", f"WITH {intent_ctes()} SELECT *, {_EDGES} FROM ic")
 def x14(s, d):
-    w = X.intents(F.col("question"))
-    rows = asked(s, d).select("item_id", *[c.alias(f"w_{i}") for i, c in w.items()])
-    named = {i: F.col(f"w_{i}") for i in w}
-    return rows.select("item_id", *[F.round(c, 6).cast("double").alias(f"w_{i}") for i, c in named.items()], *[F.round(c, 6).cast("double").alias(f"l_{k}") for k, c in X.layer_priorities(named).items()])
+    rows = understand(asked(s, d))
+    numbers = [F.round(c, 6).cast("double").alias(c) for c in rows.columns if c[:2] in ("w_", "l_")]
+    return rows.select("item_id", *numbers, "dominant", "is_listing", "is_comparison", F.array_join("keywords", ",").alias("keywords"), F.array_join("edge_types", ",").alias("edge_types"))
 
 
 @query("x15_citations", r"SELECT doc_id, array_to_string(regexp_extract_all('see [doc ' || doc_id || '] and [' || lang || '] ' || text, '\[([^\]]+)\]', 1), '|') AS c FROM documents")
