@@ -12,6 +12,11 @@ TYPE_LAYERS = {
 }
 TYPES = list(TYPE_LAYERS)
 LAYERS = ["structural", "behavioral", "reference", "organizational", "language", "decision"]
+# Front matter keys that name relationships.
+RELATION_KEYS = [
+    "related_to", "depends_on", "owned_by", "deployed_on", "implements_capability", "consumes", "produces", "triggers", "triggered_by", "affects",
+    "affected_by", "related_systems", "related_processes", "triggered", "published_by", "subscribed_by", "managed_by",
+]
 STATUSES = ["active", "deprecated", "planned", "proposed"]
 # Expected relationships (type, relationship, target type) used by the audit of the adapters' graph.
 EXPECTED = [("order", "owned_by", "customer"), ("order", "contains", "part"), ("part", "produced_by", "supplier"), ("customer", "belongs_to", "nation"), ("supplier", "belongs_to", "nation"), ("nation", "part_of", "region"), ("part", "owned_by", "customer")]

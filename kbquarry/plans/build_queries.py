@@ -35,16 +35,6 @@ def s1(s, d):
 _FIRST = "(SELECT source, min(doc_id) AS doc_id, arg_min(text, doc_id) AS text FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY source)"
 
 
-@query("s3_read_entities", f"SELECT 'doc-' || doc_id AS id, 'active' AS status, '[a, b]' AS tags, md5({_TRIM.format('text')}) AS h FROM {_FIRST}")
-def s3(s, d):
-    first = t(s, d, "documents").where("source is not null and text is not null").groupBy("source").agg(F.min("doc_id").alias("doc_id"), F.min_by("text", "doc_id").alias("text"))
-    path = scratch_path(s, "entities")
-    page = F.concat(F.lit("---\nid: doc-"), "doc_id", F.lit("\nstatus: planned\ntags: [a, b]\nstatus: active\n---\n"), "text")
-    first.select("source", page.alias("value")).repartition("source").write.partitionBy("source").text(path)
-    rows = files.read_entity_markdown(s, path)
-    return rows.select(*[F.col("fields")[k].alias(k) for k in ("id", "status", "tags")], F.md5("body").alias("h"))
-
-
 @query("s9_read_work_items", f"WITH w AS (SELECT {_TRIM.format('text')} AS x FROM {_FIRST}) SELECT substr(trim(replace(split_part(x, chr(10), 1), '#', '')), 1, 50) AS topic, md5(CASE WHEN length(x) > 2000 THEN substr(x, 1, 2000) || chr(10) || '[truncated]' ELSE x END) AS h FROM w WHERE x <> ''")
 def s9(s, d):
     first = t(s, d, "documents").where("source is not null and text is not null").groupBy("source").agg(F.min_by("text", "doc_id").alias("value"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..components import connected_components
 from ..operators import imports, merges
 from ..scratch import scratch_path
+from ..sources import frontmatter
 from ..streaming.tables import KeyedTable, latest
 from . import adapters as A
 from .kb_queries import _MENT, mentions
@@ -125,3 +126,41 @@ SELECT node, min(node) OVER (PARTITION BY r) AS component FROM x""",
 def components(s, d):
     tree = A.edges(s, d).where(F.col("rel_type").isin("part_of", "belongs_to", "owned_by"))
     return connected_components(tree.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")))
+
+
+def pages(s, d):
+    """An entity page of each document: quoted, block and nested values, of ten one that can't be read and one that is no
+    mapping"""
+    docs = A.table(s, d, "documents")
+    line = lambda key, c: F.concat(F.lit(f"{key}: "), c, F.lit("\n"))
+    front = F.concat(
+        line("id", F.concat(F.lit("doc-"), "doc_id")), line("name", F.concat(F.lit('"Page: '), "doc_id", F.lit('"'))), F.lit("status: planned\nstatus: active\n"), line("confidence", F.when(F.col("doc_id") % 3 == 0, "high").otherwise("0.75")),
+        F.lit("description: >\n  folded\n  text\ntags: [a, 'b, c']\nnested:\n  key: [1, 2]\nrelated_to:\n"), F.concat(F.lit("  - lang-"), F.coalesce("lang", F.lit("none")), F.lit("\n  - ''\n  - 7\n")), line("owned_by", F.concat(F.lit("'"), F.coalesce("source", F.lit("")), F.lit("'"))), F.lit("unknown: x\n"),
+    )
+    odd = F.when(F.col("doc_id") % 10 == 8, "a: [").when(F.col("doc_id") % 10 == 9, "- a\n- b").otherwise(front)
+    return docs.select("doc_id", F.concat(F.lit("---\n"), odd, F.lit("\n---\n"), F.coalesce("text", F.lit(""))).alias("value"))
+
+
+_TRIMMED = "regexp_replace(coalesce(text, ''), '^[ \\t-\\r]+|[ \\t-\\r]+$', '', 'g')"
+
+
+@query(
+    "s3_read_entities",
+    f"""SELECT 'doc-' || doc_id AS id, 'Page: ' || doc_id AS name, 'active' AS status, CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE 0.75 END::DOUBLE AS confidence, 'folded text' || chr(10) AS description,
+ 'a|b, c' AS tags, '[1,2]' AS nested, md5({_TRIMMED}) AS h FROM documents WHERE doc_id % 10 < 8""",
+)
+def s3(s, d):
+    rows = frontmatter.parse_pages(pages(s, d))
+    texts = [frontmatter.field(k, F.lit("")).alias(k) for k in ("id", "name", "status")]
+    more = [F.concat(F.trim(frontmatter.field("description", F.lit("")), F.lit("\n")), F.lit("\n")).alias("description"), F.array_join(F.col("texts")["tags"], "|").alias("tags"), F.get_json_object("front", "$.nested.key").alias("nested")]
+    return rows.select(*texts, "confidence", *more, F.md5("body").alias("h"))
+
+
+@query(
+    "s4_frontmatter_edges",
+    """SELECT 'doc-' || doc_id AS source_id, 'related_to' AS rel_type, 0 AS pos, 'lang-' || coalesce(lang, 'none') AS target_id FROM documents WHERE doc_id % 10 < 8
+UNION ALL SELECT 'doc-' || doc_id, 'owned_by', 0, source FROM documents WHERE doc_id % 10 < 8 AND source <> ''""",
+)
+def s4(s, d):
+    rows = frontmatter.parse_pages(pages(s, d)).withColumn("entity_id", frontmatter.field("id", F.lit("")))
+    return frontmatter.frontmatter_edges(rows)

@@ -27,13 +27,6 @@ def s2(s, d):
     return t(s, d, "pages").select("page_id", html_to_text("html").alias("text"))
 
 
-@query("s4_frontmatter_edges", f"WITH {E} SELECT entity_id, 'related_to' AS rel_type, lang AS target_id FROM ent WHERE lang IS NOT NULL UNION ALL SELECT entity_id, 'part_of', source FROM ent WHERE source IS NOT NULL")
-def s4(s, d):
-    front = F.create_map(F.lit("related_to"), F.array("lang"), F.lit("part_of"), F.array("source"), F.lit("not_declared"), F.array("name"))
-    rows = A.entities(s, d).select("entity_id", F.explode(F.map_filter(front, lambda k, v: k.isin("related_to", "part_of"))).alias("rel_type", "targets"))
-    return rows.select("entity_id", "rel_type", F.explode("targets").alias("target_id")).where("target_id is not null")
-
-
 @query("s7_render_markdown", f"WITH {E} SELECT entity_id, md5('---' || chr(10) || 'type: ' || entity_type || chr(10) || '---' || chr(10) || '# ' || name || chr(10) || body) AS h FROM ent")
 def s7(s, d):
     from ..sources.files import render_markdown
@@ -255,17 +248,17 @@ def method_lists(s, d):
     return v, kw, save(graph, "graph-list")
 
 
-def candidates(s, d):
-    v, kw, graph = method_lists(s, d)
+def candidates(s, d, lists=None):
+    v, kw, graph = lists or method_lists(s, d)
     return fuse.union_methods(vector=v, keyword=kw, graph=graph)
 
 
-def ranked(s, d):
-    v, kw, graph = method_lists(s, d)
+def ranked(s, d, lists=None):
+    v, kw, graph = lists or method_lists(s, d)
     return fuse.rrf(fuse.union_methods(vector=v, keyword=kw, graph=graph), graph=graph)
 
 
-def fused(s, d):
+def fused(s, d, lists=None):
     """With what the question asks for, the entity's relationships and the documents that hold its text"""
     e = A.entities(s, d).select("entity_id", "layer", "entity_type", "confidence", "name", F.md5("body").alias("hash"))
     copies = e.groupBy("hash").agg(F.count("*").alias("n_docs"))
@@ -273,12 +266,12 @@ def fused(s, d):
     e = e.join(copies, "hash").drop("hash").join(edges, "entity_id", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
     asks = understood(s, d).select("qid", "is_listing", "is_comparison", *[f"l_{x}" for x in ontology.LAYERS])
     boost = F.coalesce(*[F.when(F.col("layer") == x, F.round(f"l_{x}", 6)) for x in ontology.LAYERS], F.lit(1.0))
-    rows = ranked(s, d).join(e, "entity_id").join(asks, "qid").withColumn("boost", boost)
+    rows = ranked(s, d, lists).join(e, "entity_id").join(asks, "qid").withColumn("boost", boost)
     return fuse.fuse(rows, F.col("boost")).drop("boost", *[f"l_{x}" for x in ontology.LAYERS])
 
 
-def adjusted(s, d):
-    return fuse.adjust_scores(fused(s, d))
+def adjusted(s, d, lists=None):
+    return fuse.adjust_scores(fused(s, d, lists))
 
 
 @query("r5_rrf", f"WITH {_RRF} SELECT qid, entity_id, round(fused, 6) AS fused, found_by FROM ff")
@@ -345,9 +338,9 @@ SELECT qid, count(*) FILTER (method = 'vector') AS n_vector, count(*) FILTER (me
  count(*) AS n_candidates, count(DISTINCT entity_id) AS n_fused, any_value(n_selected) AS n_selected, any_value(tokens) AS tokens, any_value(n_gaps) AS n_gaps FROM un JOIN sn USING (qid) GROUP BY qid""",
 )
 def r20(s, d):
-    v, kw, graph = method_lists(s, d)
-    found = fuse.union_methods(vector=v, keyword=kw, graph=graph)
-    selected = fuse.diversify(adjusted(s, d).withColumn("score", F.round("score", 9))).withColumn("hop", F.coalesce("hop", F.lit(0)))
+    lists = method_lists(s, d)
+    found = candidates(s, d, lists)
+    selected = fuse.diversify(adjusted(s, d, lists).withColumn("score", F.round("score", 9))).withColumn("hop", F.coalesce("hop", F.lit(0)))
     return fuse.funnel(found, selected, A.entities(s, d).select("entity_id", "body"), fuse.hop_gaps(selected))
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import gaps, windows
+from ..operators import fuse, gaps, windows
 from ..scratch import scratch_path
 from ..sources import files
 from . import adapters as A

@@ -25,18 +25,6 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(~F.col("filename").startswith(".")).withColumn("content", content).where("content <> ''").drop("raw")
 
 
-def read_entity_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """S3: front matter of plain ``key: value`` lines (of a repeated key the last), which must begin the file, and the body;
-    block lists (``- item`` lines below a key) come as ``[a, b]``; files without front matter are dropped"""
-    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    parts = F.split(F.col("value"), "(?m)^---[ \\t]*$", 3)
-    front = F.regexp_replace(F.regexp_replace(parts[1], r"(?m)\n[ \t]*-[ \t]+(.*)$", ", $1"), r"(?m)^(\w+):[ \t]*, (.*)$", "$1: [$2]")
-    rows = raw.where((F.size(parts) == 3) & (F.btrim(parts[0], F.lit(SPACES)) == "")).select("path", front.alias("front"), F.btrim(parts[2], F.lit(SPACES)).alias("body"))
-    pairs = F.transform(F.regexp_extract_all("front", F.lit(r"(?m)^(\w+):[ \t]*(.*)$"), 0), lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(1)).alias("k"), F.trim(F.regexp_replace(x, r"^\w+:", "")).alias("v")))
-    last = F.filter("pairs", lambda p, i: ~F.exists(F.slice(F.col("pairs"), i + 2, F.size("pairs")), lambda q: q["k"] == p["k"]))
-    return rows.withColumn("pairs", pairs).withColumn("fields", F.map_from_entries(last)).where(F.size("fields") > 0).drop("pairs")
-
-
 def read_extractions(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a file, bad files left out"""
     return spark.read.schema(schema + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path).where("_corrupt_record is null").drop("_corrupt_record")

@@ -1,7 +1,7 @@
 """Files in and out, and the gaps of hops."""
 
 from kbquarry.operators import gaps
-from kbquarry.sources import files
+from kbquarry.sources import files, frontmatter
 from kbquarry.streaming import jobs
 
 
@@ -23,8 +23,8 @@ def test_documents_are_read_as_text(spark, tmp_path):
 def test_entity_pages_need_front_matter(spark, tmp_path):
     put(tmp_path / "x.md", "---\ntype: system\nname: Ledger\n---\nBody of it\n")
     put(tmp_path / "y.md", "no front matter")
-    (row,) = files.read_entity_markdown(spark, str(tmp_path)).collect()
-    assert row["fields"] == {"type": "system", "name": "Ledger"} and row["body"].strip() == "Body of it"
+    (row,) = frontmatter.read_entities(spark, str(tmp_path)).collect()
+    assert row["texts"] == {"type": ["system"], "name": ["Ledger"]} and row["body"] == "Body of it"
 
 
 def test_bad_extractions_are_left_out(spark, tmp_path):
