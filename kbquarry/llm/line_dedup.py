@@ -34,11 +34,19 @@ SHARE = 4
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def _folded(line: Column) -> Column:
+    """ascii_lower(), for lines of ASCII alone by the faster lower()"""
+    return F.when(F.octet_length(line) == F.char_length(line), F.lower(line)).otherwise(ascii_lower(line))
+
+
 def line_keys(text: Column) -> Column:
-    """128 bits of each line without outer white space, A-Z folded; null for lines without a word.  Every line is trimmed and
-    folded once: two steps, since a lambda evaluates what it names as often as it names it."""
-    bare = F.transform(F.split(text, "\n", -1), lambda x: ascii_lower(F.btrim(x, F.lit(SPACES))))
-    return F.transform(bare, lambda x: F.when(F.length(x) > 0, F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))))
+    """Of each line n, its length, and k, 128 bits of it without outer white space, A-Z folded; k is null for lines without a
+    word.  Every line is trimmed and folded once: in steps, since a lambda evaluates what it names as often as it names
+    it."""
+    bare = F.transform(F.split(text, "\n", -1), lambda x: F.struct(F.length(x).alias("n"), F.btrim(x, F.lit(SPACES)).alias("x")))
+    low = F.transform(bare, lambda s: F.struct(s["n"].alias("n"), _folded(s["x"]).alias("x")))
+    key = lambda x: F.when(F.length(x) > 0, F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
+    return F.transform(low, lambda s: F.struct(s["n"].alias("n"), key(s["x"]).alias("k")))
 
 
 def boilerplate(rows: DataFrame, min_sites: int) -> DataFrame:
@@ -61,8 +69,9 @@ def text_sketches(texts: DataFrame) -> DataFrame:
 
 
 def _triples(words: Column) -> Column:
+    """Hashes of the distinct word triples"""
     at = F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1)))
-    return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, 3), " ")))
+    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice(words, i, 3))))
 
 
 def _similar(texts: DataFrame) -> DataFrame:
@@ -107,8 +116,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, site: str = "source
     """``docs`` with its text cleaned, plus n_lines and n_removed (long; null text: 0)."""
     where = F.coalesce(F.col(site).cast("string"), F.lit("\x01")).alias("site")
     row = [F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("r2")]  # never null
-    sized = F.arrays_zip(line_keys(F.col("text")).alias("k"), F.transform(F.split("text", "\n", -1), lambda x: F.length(x)).alias("n"))
-    rows = docs.select(*row, F.xxhash64("text").alias("t"), F.length("text").alias("total"), where, F.posexplode(sized).alias("i", "x")).where(F.col("x.k").isNotNull())
+    rows = docs.select(*row, F.xxhash64("text").alias("t"), F.length("text").alias("total"), where, F.posexplode(line_keys(F.col("text"))).alias("i", "x")).where(F.col("x.k").isNotNull())
     rows = save(rows.select("r1", "r2", "t", "total", "site", "x.k.a", "x.k.b", "i", F.col("x.n").alias("size")), "line-keys")  # texts are split and hashed once for all that follows
     shared = save(rows.join(boilerplate(rows, min_sites), ["a", "b"], "left_semi"), "shared-lines")
     found = independent(docs, shared, min_sites)
