@@ -2,6 +2,7 @@
 
 from kbquarry.operators import gaps
 from kbquarry.sources import files, frontmatter
+from kbquarry.streaming.tables import KeyedTable
 from kbquarry.streaming import jobs
 
 
@@ -60,4 +61,6 @@ def test_batches_fold_to_the_whole(spark, tmp_path):
     for i in range(3):
         rows.where(F.col("last") % 3 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    assert sorted(map(tuple, jobs.fold_batches(stream, "k", n=F.sum, last=F.max).collect())) == [(0, 7, 18), (1, 7, 19), (2, 6, 17)]
+    fold = lambda df: df.groupBy("k").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    table = jobs.keyed_available(stream, KeyedTable(spark, ["k"], rows.schema, fold, f"file://{tmp_path}/table"), mode="append")
+    assert sorted(map(tuple, table.read().collect())) == [(0, 7, 18), (1, 7, 19), (2, 6, 17)]
