@@ -65,7 +65,9 @@ def text_sketches(texts: DataFrame) -> DataFrame:
     words = texts.select("t", F.md5("text").alias("m"), text_words(ascii_lower(F.col("text"))).alias("w"))
     at = F.sequence(F.lit(1), F.greatest(F.size("w") - SHINGLE + 1, F.lit(1)))
     shingles = F.transform(at, lambda i: F.substring(F.md5(F.array_join(F.slice("w", i, SHINGLE), " ")), 1, 8))
-    return words.where(F.size("w") > 0).select("t", "m", F.slice(F.sort_array(F.array_distinct(shingles)), 1, SKETCH).alias("sketch")).dropDuplicates(["t"])
+    sketch = F.slice(F.sort_array(F.array_distinct(shingles)), 1, SKETCH).alias("sketch")
+    # asked above the aggregation: below it, the filter would sink to the scan and split every text of the table
+    return words.select("t", "m", sketch, (F.size("w") > 0).alias("any")).dropDuplicates(["t"]).where("any").drop("any")
 
 
 def _triples(words: Column) -> Column:
@@ -116,7 +118,9 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, site: str = "source
     """``docs`` with its text cleaned, plus n_lines and n_removed (long; null text: 0)."""
     where = F.coalesce(F.col(site).cast("string"), F.lit("\x01")).alias("site")
     row = [F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("r2")]  # never null
-    rows = docs.select(*row, F.xxhash64("text").alias("t"), F.length("text").alias("total"), where, F.posexplode(line_keys(F.col("text"))).alias("i", "x")).where(F.col("x.k").isNotNull())
+    # texts are hashed below the explode, else each line would hash its whole text; explode's own filter would split them again
+    rows = docs.select(*row, F.xxhash64("text").alias("t"), F.length("text").alias("total"), where, line_keys(F.col("text")).alias("lines"))
+    rows = rows.select("r1", "r2", "t", "total", "site", F.posexplode_outer("lines").alias("i", "x")).where(F.col("x.k").isNotNull())
     rows = save(rows.select("r1", "r2", "t", "total", "site", "x.k.a", "x.k.b", "i", F.col("x.n").alias("size")), "line-keys")  # texts are split and hashed once for all that follows
     shared = save(rows.join(boilerplate(rows, min_sites), ["a", "b"], "left_semi"), "shared-lines")
     found = independent(docs, shared, min_sites)
