@@ -1,4 +1,4 @@
-"""Top-k of summed term weights without all hits (R2, R3, R18, J7, J8): impact-ordered postings, read in blocks under a
+"""Top-k of summed term weights without all hits (J7): impact-ordered postings, read in blocks under a
 threshold of each query.
 
 Postings of a term are placed by weight (and id), by one distributed sort of all postings: no term's list lies in one
@@ -72,12 +72,3 @@ class ImpactIndex:
         for more in found[1:]:
             out = out.unionByName(more)
         return out
-
-
-def weighted_words(entities: DataFrame, fields: list[tuple], asked: DataFrame) -> DataFrame:
-    """term, entity_id, weight: sums of the weights of the fields (array of words, weight) that hold a word which ``asked``
-    (term) names"""
-    weighted = lambda words, v: F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(v).alias("v")))
-    entries = F.concat(*[weighted(words, v) for words, v in fields])
-    rows = entities.select("entity_id", F.explode(entries).alias("x")).select("entity_id", "x.*")
-    return rows.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "entity_id").agg(F.sum("v").alias("weight"))
