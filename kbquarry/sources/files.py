@@ -15,14 +15,30 @@ RESULT = (
 )
 
 
+def trimmed(text: Column, end: int = 10_000) -> Column:
+    """``text`` without SPACES at both ends.  A trim of several characters at the right makes two whole numbers for every byte,
+    so only the last ``end`` characters are trimmed, unless all of these are spaces."""
+    left = F.ltrim(text, F.lit(SPACES))
+    last = F.right(left, F.lit(end))
+    kept = F.rtrim(last, F.lit(SPACES))
+    cut = F.length(left) - F.length(last) + F.length(kept)
+    return F.when(F.length(last) == F.length(kept), left).when(kept == "", F.rtrim(left, F.lit(SPACES))).otherwise(F.substring(left, F.lit(1), cut))
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Markdown, text and HTML files below ``path``; dot-files and empty ones are left out"""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt,html,htm}").load(path)
-    text = F.coalesce(F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")), F.decode("content", "ISO-8859-1"))
-    name = F.element_at(F.split("path", "/"), -1)
-    rows = raw.select(name.alias("filename"), F.col("path").alias("filepath"), text.alias("raw"), F.regexp_extract(name, r"\.(\w+)$", 1).alias("file_type"), F.col("length").alias("size_bytes"))
-    content = F.btrim(F.when(F.col("file_type").isin("html", "htm"), html_to_text("raw")).otherwise(F.col("raw")), F.lit(SPACES))
-    return rows.where(~F.col("filename").startswith(".")).withColumn("content", content).where("content <> ''").drop("raw")
+    """Markdown, text and HTML files below ``path``; dot-files and empty ones are left out.  Only HTML goes through Python."""
+
+    def read(kinds: str) -> DataFrame:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{kinds}}}").load(path)
+        text = F.col("content").cast("string")
+        text = F.when(F.is_valid_utf8(text), text).otherwise(F.decode("content", "ISO-8859-1"))
+        name = F.element_at(F.split("path", "/"), -1)
+        rows = raw.select(name.alias("filename"), F.col("path").alias("filepath"), text.alias("raw"), F.regexp_extract(name, r"\.(\w+)$", 1).alias("file_type"), F.col("length").alias("size_bytes"))
+        return rows.where(~F.col("filename").startswith("."))
+
+    plain, html = read("md,txt").withColumnRenamed("raw", "content"), read("html,htm").withColumn("content", html_to_text("raw")).drop("raw")
+    rows = plain.unionByName(html)
+    return rows.withColumn("content", trimmed(F.col("content"))).where("content <> ''").select("filename", "filepath", "file_type", "size_bytes", "content")
 
 
 def read_extractions(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Files in and out, and the gaps of hops."""
 
+from pyspark.sql import functions as F
+
 from kbquarry.operators import gaps
 from kbquarry.sources import files, frontmatter
 from kbquarry.streaming.tables import KeyedTable
@@ -64,3 +66,20 @@ def test_batches_fold_to_the_whole(spark, tmp_path):
     fold = lambda df: df.groupBy("k").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
     table = jobs.keyed_available(stream, KeyedTable(spark, ["k"], rows.schema, fold, f"file://{tmp_path}/table"), mode="append")
     assert sorted(map(tuple, table.read().collect())) == [(0, 7, 18), (1, 7, 19), (2, 6, 17)]
+
+
+def test_trimmed_equals_a_trim_of_both_ends(spark):
+    texts = ["", " \n", "a", " a b \t\n", "\r\x0b\x0cé  ü" + " " * 9, "x" + "\n" * 7, "\n" * 7 + "x", " ab", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for end in (1, 3, 100):
+        got = df.select(F.btrim("t", F.lit(files.SPACES)).alias("a"), files.trimmed(F.col("t"), end).alias("b")).collect()
+        assert [r["a"] for r in got] == [r["b"] for r in got]
+
+
+def test_plain_files_stay_out_of_python(spark, tmp_path):
+    (tmp_path / "a.txt").write_text(" plain <b>text</b>\n")
+    (tmp_path / "b.html").write_text("<p>marked</p>")
+    found = files.read_documents(spark, str(tmp_path))
+    assert sorted((r["filename"], r["content"], r["file_type"]) for r in found.collect()) == [("a.txt", "plain <b>text</b>", "txt"), ("b.html", "marked", "html")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("Scan") < plan.index("ArrowEvalPython")
