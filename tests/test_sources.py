@@ -81,5 +81,5 @@ def test_plain_files_stay_out_of_python(spark, tmp_path):
     (tmp_path / "b.html").write_text("<p>marked</p>")
     found = files.read_documents(spark, str(tmp_path))
     assert sorted((r["filename"], r["content"], r["file_type"]) for r in found.collect()) == [("a.txt", "plain <b>text</b>", "txt"), ("b.html", "marked", "html")]
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") == 1 and plan.index("Scan") < plan.index("ArrowEvalPython")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("Relation") < plan.index("ArrowEvalPython")

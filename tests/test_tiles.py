@@ -54,3 +54,14 @@ def test_vector_search_ranks_what_it_shows(spark):
     q = spark.createDataFrame([(0, [1.0, 0.0])], "qid long, embedding array<double>")
     ids = lambda **how: [r["entity_id"] for r in search.vector_search(q, v, 3, **how).orderBy("rank").collect()]
     assert ids(digits=6) == [1, 2, 3] and ids() == [2, 3, 1]
+
+
+def test_pairs_are_dealt_to_tasks_of_a_bounded_number_of_rows(spark):
+    """One shuffle, before any hash table of pairs, and as many tasks as the rows need."""
+    from kbquarry.plans.adapters import distinct_pairs
+
+    rows = spark.range(1000).select((F.col("id") % 300).alias("a"), (F.col("id") % 7).alias("b"))
+    found = distinct_pairs(rows, "a", per_task=100)
+    assert sorted(map(tuple, found.collect())) == sorted({(i % 300, i % 7) for i in range(1000)}) and found.rdd.getNumPartitions() == 10
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("HashAggregate") == 2 and plan.rindex("HashAggregate") < plan.index("Exchange")
