@@ -45,8 +45,8 @@ def _html_series(html: pd.Series) -> pd.Series:
 
 
 def html_to_text(html: Column | str) -> Column:
-    """Made on use: a worker that imports this module has no session."""
-    return F.pandas_udf(_html_series, "string")(html)
+    """Made on use: a worker that imports this module has no session.  Nondeterministic, so that no plan runs it twice."""
+    return F.pandas_udf(_html_series, "string").asNondeterministic()(html)
 
 
 def link_mentions(names: list[str]) -> Callable:
