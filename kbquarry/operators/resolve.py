@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..ontology import NAME_STOPS
 from ..scratch import save
 from .mention_state import entities_of, fold_facts, mention_facts
+from .tiled_sets import overlapping_pairs, similar_pairs
 
 # Fixed value: what a variant of a name ends in.
 SUFFIX = r"\s+(deployment|v\d+|process|processing|monitoring|migration)$"
@@ -65,16 +66,6 @@ def similar_sets(sets: DataFrame, threshold: float, block: list[str], strict: bo
     return _verified(found, sets, X.jaccard, lambda v: v > threshold if strict else v >= threshold)
 
 
-def overlapping_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a < b of ``sets`` (rep, words; each set once) that share over ``threshold`` of the smaller set.  Only the smaller
-    one is cut to its rarest words; the larger is met by all of its words."""
-    ranked = save(_ranked(sets, []), "ranked-words")
-    small = ranked.where(F.col("r") <= F.col("size") - F.floor(F.col("size") * threshold + 1e-9)).select(F.col("rep").alias("x"), F.col("size").alias("nx"), "w")
-    found = small.join(ranked.select(F.col("rep").alias("y"), F.col("size").alias("ny"), "w"), "w").where("x <> y and nx <= ny")
-    found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return _verified(found, sets, lambda x, y: F.size(F.array_intersect(x, y)) / F.least(F.size(x), F.size(y)), lambda v: v > threshold)
-
-
 def dedup_classes(entities: DataFrame, threshold: float = 0.5) -> DataFrame:
     """M3 as classes: entity_id, class_id.  Entities link if names of one type are similar, or names without a variant
     suffix are equal; entities without a name stand alone.  Copies meet their class by join, never each other."""
@@ -100,10 +91,11 @@ def dedup_questions(questions: DataFrame, stops: list[str], jaccard: float = 0.5
     firsts = set_members(both, []).where("id = rep").select("id").unionByName(both.where(F.size("words") == 0).select("id"))
     own = save(rows.join(firsts, "id", "left_semi"), "different-questions")
     by_words, by_long = set_members(own.select("id", "words"), []), set_members(own.select("id", F.col("long").alias("words")), [])
-    named = lambda df, kind: save(df.select("id", F.struct(F.lit(kind).alias("kind"), F.col("rep")).alias("rep"), "words"), "sets")
-    by_words, by_long = named(by_words, "words"), named(by_long, "long")
-    links = similar_sets(by_words.where("id = rep.rep").select("rep", "words"), jaccard, [], strict=True)
-    links = links.unionByName(overlapping_sets(by_long.where("id = rep.rep").select("rep", "words"), overlap))
+    by_words, by_long = (save(df, "sets") for df in (by_words, by_long))
+    different = lambda df: df.where("id = rep").select("rep", "words")
+    named = lambda df, kind, *cols: df.select(*[c for c in df.columns if c not in cols], *[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("rep")).alias(c) for c in cols])
+    links = named(similar_pairs(different(by_words), jaccard), "words", "a", "b").unionByName(named(overlapping_pairs(different(by_long), overlap), "long", "a", "b"))
+    by_words, by_long, links = named(by_words, "words", "rep"), named(by_long, "long", "rep"), save(links, "links")  # read twice
     return keep_first(own.select("id"), by_words.unionByName(by_long).select("id", F.col("rep").alias("s")), links)
 
 

@@ -65,3 +65,30 @@ def test_pairs_are_dealt_to_tasks_of_a_bounded_number_of_rows(spark):
     assert sorted(map(tuple, found.collect())) == sorted({(i % 300, i % 7) for i in range(1000)}) and found.rdd.getNumPartitions() == 10
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("HashAggregate") == 2 and plan.rindex("HashAggregate") < plan.index("Exchange")
+
+
+@pytest.mark.parametrize("per_block", [25_000, 30])
+def test_pairs_of_sets_by_tiles_equal_all_pairs(spark, per_block):
+    from kbquarry.operators.tiled_sets import overlapping_pairs, similar_pairs
+
+    rng = random.Random(3)
+    sets = {i: {f"w{int(rng.random() ** 3 * 30)}" for _ in range(rng.choice([1, 2, 4, 9, 14]))} for i in range(120)}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()] + [(500, [])], "rep long, words array<string>")
+    pairs = [(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b]
+    for run, holds in ((similar_pairs, lambda c, n, m: c / (n + m - c) > 0.5), (overlapping_pairs, lambda c, n, m: c / min(n, m) > 0.5)):
+        want = sorted((a, b) for a, b, c in pairs if holds(c, len(sets[a]), len(sets[b])))
+        assert want and sorted(tuple(r) for r in run(df, 0.5, per_block=per_block).collect()) == want
+        assert run(df.limit(0), 0.5).count() == 0
+
+
+def test_question_pairs_carry_no_words_through_a_shuffle(spark, monkeypatch):
+    """Candidates are counted within tasks: no join verifies them on the sets"""
+    from kbquarry.operators import resolve
+
+    seen = []
+    monkeypatch.setattr(resolve, "keep_first", lambda rows, members, links: seen.append(links) or rows)
+    verified = []
+    monkeypatch.setattr(resolve, "_verified", lambda found, *a: verified.append(1) or found)
+    qs = spark.createDataFrame([(1, "which service stores customer orders"), (2, "which service stores customer orders today"), (3, "who owns billing")], "id long, question string")
+    resolve.dedup_questions(qs, ["which", "who"])
+    assert not verified and seen[0].select("a.rep", "b.rep").distinct().collect() == [(1, 2)]
