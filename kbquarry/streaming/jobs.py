@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.mention_state import FACT, SCHEMA, entities_of, fold_facts, mention_facts
+from ..operators.mention_state import ENTITY, SCHEMA, entities_of, fold_facts, mention_facts, merge_facts
 from ..scratch import scratch_path
 from .efforts import ROLLUP, effort_rollup
 from .tables import KeyedTable, latest
@@ -58,8 +58,8 @@ def effort_table(log: DataFrame, path: str | None = None, **how) -> DataFrame:
 
 
 def merge_stream(mentions: DataFrame, path: str | None = None) -> DataFrame:
-    """Each batch of mentions folded into the entities' facts, of which only touched buckets are read and written; the
-    entities are those that merge_mentions() makes of all mentions.  Facts of one entity lie in several buckets."""
+    """Each batch of mentions is folded to a row an entity, which is merged into the entities' facts, of which only touched
+    buckets are read and written; the entities are those that merge_mentions() makes of all mentions."""
     schema = SCHEMA.format(id=mentions.schema["entity_id"].dataType.simpleString())
-    table = KeyedTable(mentions.sparkSession, FACT, schema, fold_facts, path)
-    return entities_of(keyed_available(mentions, table, mention_facts, "append").read())
+    table = KeyedTable(mentions.sparkSession, ENTITY, schema, merge_facts, path)
+    return entities_of(keyed_available(mentions, table, lambda batch: fold_facts(mention_facts(batch)), "append").read())

@@ -54,7 +54,8 @@ class KeyedTable:
         try:
             touched = {r[0] for r in batch.select(self.bucket()).distinct().collect()}  # ``buckets`` numbers at most
             before = {b: v for b, v in self.versions(before=number).items() if b in touched}
-            folded = self.fold(self._rows(before).unionByName(batch)).select(*self.schema.names, self.bucket().alias("bucket"))
+            rows = self._rows(before).unionByName(batch) if before else batch
+            folded = self.fold(rows).select(*self.schema.names, self.bucket().alias("bucket"))
             folded.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/version={number}")
         finally:
             batch.unpersist()

@@ -171,3 +171,21 @@ def test_window_counts_come_early_and_whole(spark, tmp_path):
     e = lambda n, at, action: (n, minutes(at), "w", "call", False, None, action, "z")
     got = jobs.event_count_table(stream_of(spark, tmp_path, [[e(1, 1, "x"), e(2, 40, "x")], [e(3, 45, "x"), e(4, 50, "y")]]), f"file://{tmp_path}/state")
     assert sorted((r["start"], r["action"], r["n"]) for r in got.collect()) == sorted([(minutes(-30), "x", 1), (minutes(0), "x", 3), (minutes(30), "x", 2), (minutes(0), "y", 1), (minutes(30), "y", 1)])
+
+
+def test_a_mention_is_one_row_of_facts_and_an_entity_one_row_of_state(spark, tmp_path):
+    """What is shuffled and kept grows with mentions and entities, not with what each of them says"""
+    rng = random.Random(4)
+    df = spark.createDataFrame([mention(i, rng) for i in range(60)], MENTION)
+    facts = mention_state.mention_facts(df)
+    folded = mention_state.fold_facts(facts)
+    n = df.select("entity_type", "entity_id").distinct().count()
+    assert facts.count() == 60 and folded.count() == n
+    for k in range(2):
+        df.where(f"pos % 2 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(MENTION).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.merge_stream(stream, f"file://{tmp_path}/state")
+    state = tables.KeyedTable(spark, mention_state.ENTITY, mention_state.SCHEMA.format(id="bigint"), mention_state.merge_facts, f"file://{tmp_path}/state").read()
+    assert state.count() == n
+    sort = lambda df: sorted((tuple(r[c] for c in df.columns if c != "items"), sorted(map(tuple, r["items"]), key=str)) for r in df.collect())
+    assert sort(state) == sort(folded)
