@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from kbquarry.operators import dictionary
 from kbquarry.operators.impact_index import ImpactIndex
@@ -83,3 +84,12 @@ def test_impact_search_leaves_hot_lists_unread(spark):
     index = ImpactIndex.build(spark.createDataFrame(rows, "term string, entity_id long, weight int"))
     got = index.search(spark.createDataFrame([(1, "hot", 1), (1, "rare", 1)], "qid long, term string, factor int"), 10, counts=counts, direct=0)
     assert [r["entity_id"] for r in got.orderBy("rank").collect()] == [0, *range(1, 10)] and sum(counts) < 1000
+
+
+def test_names_are_not_read_where_no_text_could_hold_them(spark):
+    """A name that can't be read: nothing asks for it as long as no entity has a body"""
+    broken = spark.range(3).select(F.col("id").cast("string").alias("name"), F.raise_error(F.lit("read")).cast("string").alias("pattern"))
+    bodies = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert dictionary.find_strings(bodies, broken.select("pattern")).count() == 0
+    linked = dictionary.link_all(bodies, broken.select(F.col("pattern").alias("name")))
+    assert sorted(map(tuple, linked.collect())) == [(1, None), (2, "")]
