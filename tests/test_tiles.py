@@ -92,3 +92,16 @@ def test_question_pairs_carry_no_words_through_a_shuffle(spark, monkeypatch):
     qs = spark.createDataFrame([(1, "which service stores customer orders"), (2, "which service stores customer orders today"), (3, "who owns billing")], "id long, question string")
     resolve.dedup_questions(qs, ["which", "who"])
     assert not verified and seen[0].select("a.rep", "b.rep").distinct().collect() == [(1, 2)]
+
+
+def test_vector_search_ranks_no_more_rows_of_a_larger_table(spark, monkeypatch):
+    """A query's rows to rank come from a fixed number of blocks, not from one block more for every ``per_block`` rows."""
+    rng, seen, last = random.Random(9), [], search.top_k
+    vectors = [[rng.choice([-2.0, -1.0, 0.0, 1.0, 3.0]) for _ in range(6)] for _ in range(800)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "entity_id long, embedding array<double>")
+    asked = df.where("entity_id % 100 = 0").select(F.col("entity_id").alias("qid"), "embedding")
+    monkeypatch.setattr(search, "top_k", lambda rows, *a: seen.append(rows) or last(rows, *a))
+    cosine = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / max(1e-12, sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5), 9)
+    found = sorted((r["qid"], r["rank"], r["entity_id"]) for r in search.vector_search(asked, df, 4, per_block=10).collect())
+    want = [(q, r, e) for q in range(0, 800, 100) if any(vectors[q]) for r, (_, e) in enumerate(sorted((-cosine(vectors[q], v), e) for e, v in enumerate(vectors))[:4])]
+    assert found == want and seen[0].count() <= 8 * 4 * 16
