@@ -14,9 +14,8 @@ def run_eval(questions: DataFrame, scored: DataFrame, entities: DataFrame, relat
     score, layer, entity_type, priority).  ``synthesize`` makes an answer and its score from a column of contexts.  A
     question that finds nothing, or whose answer fails, is MISSING."""
     kept = fuse.diversify(scored, config.top, config.type_ratio, config.layer_ratio)
-    blocks = context.pack_blocks(kept, entities, relations, config)
-    found = context.context_text(blocks).join(blocks.groupBy("qid").agg(F.count("*").alias("n")), "qid")
-    answered = found.select("qid", "n", synthesize(F.col("context")).alias("a"))
+    found = context.context_text(context.pack_blocks(kept, entities, relations, config))
+    answered = found.select("qid", F.col("blocks").alias("n"), synthesize(F.col("context")).alias("a"))
     score = F.coalesce("a.score", F.lit("not_answerable"))
     rows = questions.join(answered, "qid", "left")
     return rows.select("qid", "question", F.coalesce("a.answer", F.lit("")).alias("answer"), score.alias("score"), X.ddc_class(score).alias("ddc_class"), F.coalesce("n", F.lit(0)).alias("entities_retrieved"))

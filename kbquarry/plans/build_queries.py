@@ -116,8 +116,7 @@ def hops_and_relations(s, d):
 @query("r14_context_text", f"WITH {_RRF}, x AS (SELECT qid, entity_id, layer, round(score, 9) AS sc FROM ad), {_blocks('x')} SELECT qid, count(*) AS blocks, md5(string_agg(block, chr(10) || '---' || chr(10) ORDER BY pos)) AS h FROM c WHERE running <= 24000 GROUP BY qid")
 def r14_text(s, d):
     e, hops, relations = hops_and_relations(s, d)
-    blocks = context.pack_blocks(hops, e, relations)
-    return context.context_text(blocks).join(blocks.groupBy("qid").agg(F.count("*").alias("blocks")), "qid").select("qid", "blocks", F.md5("context").alias("h"))
+    return context.context_text(context.pack_blocks(hops, e, relations)).select("qid", "blocks", F.md5("context").alias("h"))
 
 
 @query("r21_run_eval", f"""WITH {_RRF}, x AS (SELECT *, round(score, 9) AS sc FROM ad), c1 AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid, entity_type ORDER BY sc DESC, entity_id) AS r FROM x), c2 AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n2, row_number() OVER (PARTITION BY qid, layer ORDER BY sc DESC, entity_id) AS r2 FROM c1 WHERE (r <= greatest(1, floor(n * 0.5)) OR is_listing OR is_comparison)),

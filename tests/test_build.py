@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from kbquarry.operators import backend, context, extraction
@@ -39,6 +40,26 @@ def test_context_text(spark):
     assert [r["entity_id"] for r in small.collect()] == []
 
 
+@pytest.mark.parametrize("most", [100, 0])
+def test_context_packs_shuffle_no_bodies_that_no_hop_names(spark, most):
+    """However large the table is, bodies meet the hops where they are read (or by a shuffle, for more than ``most`` hops), with the same blocks."""
+    e = spark.range(500).select(F.col("id").alias("entity_id"), F.concat(F.lit("n"), "id").alias("name"), F.lit("api").alias("entity_type"), F.lit(0.5).alias("confidence"), F.lit("d").alias("description"), F.lit("s").alias("source"), F.concat(F.lit("body "), "id").alias("body"))
+    hops = spark.createDataFrame([(q, 7 * q + i, 1.0 / (1 + i), "structural", 1.0) for q in range(3) for i in range(4)], "qid long, entity_id long, score double, layer string, priority double")
+    edges = spark.createDataFrame([(8, "uses", "3"), (8, "uses", "x"), (400, "uses", "1")], "source_id long, rel_type string, target_id string")
+    names = e.select(F.col("entity_id").cast("string").alias("entity_id"), "name")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        blocks = context.pack_blocks(hops, e, context.first_relations(edges, names), most=most)
+        plan = blocks._jdf.queryExecution().sparkPlan().toString()
+        found = {(r["qid"], r["pos"]): (r["entity_id"], r["block"]) for r in blocks.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert ("BroadcastHashJoin" in plan, "SortMergeJoin" in plan) == ((True, False) if most else (False, True))
+    assert len(found) == 12 and found[1, 2] == (8, "Entity: n8 (api, confidence: 50%)\nDescription: d\nRelationships:\n  uses → n3\n  uses → x\nSource: s\n\nbody 8\n")
+    assert {(r["qid"], r["blocks"]) for r in context.context_text(blocks).collect()} == {(q, 4) for q in range(3)}
+
+
 def test_ingest_reads_new_changed_and_failed_documents_only(spark, tmp_path):
     src, state, seen = str(tmp_path / "in"), f"file://{tmp_path}/state", []
 
