@@ -105,3 +105,19 @@ def test_vector_search_ranks_no_more_rows_of_a_larger_table(spark, monkeypatch):
     found = sorted((r["qid"], r["rank"], r["entity_id"]) for r in search.vector_search(asked, df, 4, per_block=10).collect())
     want = [(q, r, e) for q in range(0, 800, 100) if any(vectors[q]) for r, (_, e) in enumerate(sorted((-cosine(vectors[q], v), e) for e, v in enumerate(vectors))[:4])]
     assert found == want and seen[0].count() <= 8 * 4 * 16
+
+
+def test_labels_meet_documents_without_a_shuffle_of_texts(spark, tmp_path):
+    """Also where labels are over the size that Spark broadcasts by itself; more than ``most`` labels take the shuffle and give the same rows."""
+    from kbquarry.plans import adapters
+
+    spark.createDataFrame([(i, f"text {i}", "en", f"src{i}", 6) for i in range(50)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i % 30, i % 2, i % 3) for i in range(35)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = adapters.entities(spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+        few, many = (sorted(map(repr, adapters.entities(spark, str(tmp_path), *most).collect())) for most in ((), (10,)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and few == many and len(few) == 55
