@@ -55,7 +55,7 @@ def n3(s, d):
     kind = F.when(F.col("action") == "signup", "open").when(F.col("action") == "purchase", "end").otherwise("call")
     effort = F.concat("entity_id", F.lit("/"), F.date_format("at", "yyyy-MM-dd"))
     log = stream(s, d).select(effort.alias("effort_id"), kind.alias("kind"), "at", (F.col("action") == "error").alias("is_gap"), F.lit("resolved").alias("outcome"))
-    return jobs.effort_table(log).drop("last_at", "n_updates")
+    return jobs.effort_table(log).drop("last_at")
 
 
 @query("n6_merge_stream", SQL["m1_merge_mentions"])

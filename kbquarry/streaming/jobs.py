@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.mention_state import ENTITY, SCHEMA, entities_of, fold_facts, mention_facts, merge_facts
 from ..scratch import scratch_path
-from .efforts import ROLLUP, effort_rollup
+from .efforts import FACTS, effort_facts, merge_facts as merge_efforts, rolled_up
 from .tables import KeyedTable, latest
 
 
@@ -51,10 +51,22 @@ def event_count_table(events: DataFrame, path: str | None = None, **how) -> Data
     return keyed_available(event_counts(events, **how), table).read()
 
 
-def effort_table(log: DataFrame, path: str | None = None, **how) -> DataFrame:
-    """N3 as a table: the latest roll-up of every effort"""
-    table = KeyedTable(log.sparkSession, ["effort_id"], ROLLUP, latest(["effort_id"], "n_updates"), path)
-    return keyed_available(effort_rollup(log, **how), table).read()
+def effort_table(log: DataFrame, path: str | None = None, idle_minutes: int = 120, late: str = "1 hour") -> DataFrame:
+    """N3 as a table: the latest roll-up of every effort.  Each batch is folded to a row of facts an effort, which are merged into the
+    efforts' facts; timeouts follow from those and the watermark (the greatest time so far less ``late``) when the table is read, so a
+    late call opens its effort again.  Late rows are held against the watermark before the last batch, as Spark's operators with state do."""
+    spark, delay = log.sparkSession, F.expr(f"INTERVAL {late}")
+    table = KeyedTable(spark, ["effort_id"], FACTS, merge_efforts, path)
+    marks = KeyedTable(spark, ["k"], "k int, at timestamp", lambda df: df.groupBy("k").agg(F.max("at").alias("at")), f"{table.path}/marks", buckets=1)
+    watermark = lambda df: F.broadcast(df.agg((F.max("at") - delay).alias("watermark")))
+
+    def sink(batch: DataFrame, number: int) -> None:
+        rows = batch.crossJoin(watermark(marks.read(before=number - 1))).where("watermark is null or at is null or at >= watermark")
+        table.upsert(effort_facts(rows), number)
+        marks.upsert(batch.select(F.lit(0).alias("k"), "at").groupBy("k").agg(F.max("at").alias("at")), number)
+
+    log.writeStream.foreachBatch(sink).option("checkpointLocation", f"{table.path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return rolled_up(table.read().crossJoin(watermark(marks.read())), F.col("watermark"), idle_minutes)
 
 
 def merge_stream(mentions: DataFrame, path: str | None = None) -> DataFrame:
