@@ -84,18 +84,20 @@ def dedup_classes(entities: DataFrame, threshold: float = 0.5) -> DataFrame:
 def dedup_questions(questions: DataFrame, stops: list[str], jaccard: float = 0.55, overlap: float = 0.7) -> DataFrame:
     """M9: ids of ``questions`` (id, question) that stay when a question goes if a kept earlier one has a content-word Jaccard
     over ``jaccard``, or shares over ``overlap`` of the smaller set of content words of five letters or more."""
-    rows = questions.select("id", X.content_words(F.col("question"), stops).alias("words"))
-    rows = save(rows.withColumn("long", F.filter("words", lambda w: F.length(w) >= 5)), "questions")
-    # equal texts of both kinds of sets first: all but the earliest go, with or after it
-    both = rows.select("id", F.array_union("words", F.transform("long", lambda w: F.concat(w, F.lit("+")))).alias("words"))
-    firsts = set_members(both, []).where("id = rep").select("id").unionByName(both.where(F.size("words") == 0).select("id"))
+    rows = questions.select("id", F.array_sort(X.content_words(F.col("question"), stops)).alias("words"))
+    rows = rows.withColumn("long", F.filter("words", lambda w: F.length(w) >= 5))
+    key = lambda c: F.sha2(F.concat_ws(" ", c), 256)  # noqa: E731  # of sets in order, whose words hold no space: lists aren't shuffled to be compared
+    rows = save(rows.withColumns({"w": F.when(F.size("words") > 0, key("words")), "l": F.when(F.size("long") > 0, key("long"))}), "questions")
+    # equal sets of words, which have equal long ones, first: all but the earliest go, with or after it
+    firsts = rows.where("w is not null").groupBy("w").agg(F.min("id").alias("id")).select("id").unionByName(rows.where("w is null").select("id"))
     own = save(rows.join(firsts, "id", "left_semi"), "different-questions")
-    by_words, by_long = set_members(own.select("id", "words"), []), set_members(own.select("id", F.col("long").alias("words")), [])
-    by_words, by_long = (save(df, "sets") for df in (by_words, by_long))
-    different = lambda df: df.where("id = rep").select("rep", "words")
+    by_words = own.where("w is not null").select("id", F.col("id").alias("rep"), "words")
+    reps = own.where("l is not null").groupBy("l").agg(F.min("id").alias("rep"))
+    by_long = save(own.select("id", "l").join(reps, "l").select("id", "rep"), "sets")
+    long_sets = own.select("id", F.col("long").alias("words")).join(by_long.where("id = rep"), "id").select("rep", "words")
     named = lambda df, kind, *cols: df.select(*[c for c in df.columns if c not in cols], *[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("rep")).alias(c) for c in cols])
-    links = named(similar_pairs(different(by_words), jaccard), "words", "a", "b").unionByName(named(overlapping_pairs(different(by_long), overlap), "long", "a", "b"))
-    by_words, by_long, links = named(by_words, "words", "rep"), named(by_long, "long", "rep"), save(links, "links")  # read twice
+    links = named(similar_pairs(by_words.select("rep", "words"), jaccard), "words", "a", "b").unionByName(named(overlapping_pairs(long_sets, overlap), "long", "a", "b"))
+    by_words, by_long, links = named(by_words.select("id", "rep"), "words", "rep"), named(by_long, "long", "rep"), save(links, "links")  # read twice
     return keep_first(own.select("id"), by_words.unionByName(by_long).select("id", F.col("rep").alias("s")), links)
 
 

@@ -2,6 +2,9 @@
 counted in full; only pairs that hold are rows.  Candidates, which grow with the square of the table, are never shuffled,
 and a pair doesn't carry its sets' words.
 
+Within a task matches of words are taken many sets at a time.  Before words are compared, a match must hold with the most that two
+sets can share by their sizes, by its places in both (from there on), and by 512 bits of each that their words set.
+
 What is shuffled are the sets as numbers, once a block: bytes grow with the table times the number of blocks."""
 
 from __future__ import annotations
@@ -18,72 +21,112 @@ from .scan import numbered
 
 
 class _Block:
-    """Sets of one block: ``ids`` are their words, rarest first, from ``at[i]`` for set i"""
+    """Sets of one block by size: ``ids`` are their words, rarest first, from ``at[i]`` for set i; ``sig`` are their bits"""
 
-    def __init__(self, rows: pd.DataFrame, known: np.ndarray):
-        self.rep, words = rows["rep"].to_numpy(), rows["words"].tolist()
-        self.size = np.array([len(w) for w in words], np.int64)
+    def __init__(self, rows: pd.DataFrame):
+        lists = rows["words"].tolist()
+        size = np.array([len(w) for w in lists], np.int64)
+        order = np.argsort(size, kind="stable")
+        self.rep, self.size = rows["rep"].to_numpy()[order], size[order]
         self.at = np.concatenate([[0], np.cumsum(self.size)])
-        self.ids = np.searchsorted(known, np.concatenate(words))
-
-    def postings(self, n_words: int, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """starts, sets: the sets whose first ``upto`` words hold word w are sets[starts[w] : starts[w + 1]]"""
-        of = np.repeat(np.arange(len(self.size)), self.size)
-        first = np.arange(len(self.ids)) - self.at[of] < upto[of]
-        ids, of = self.ids[first], of[first]
-        order = np.argsort(ids, kind="stable")
-        return np.searchsorted(ids[order], np.arange(n_words + 1)), of[order]
-
-
-def tiled_pairs(sets: DataFrame, keep: Callable, first: Callable, other: Callable | None = None, per_block: int = 25_000) -> DataFrame:
-    """Pairs a < b of ``sets`` (rep, words; each set once) with ``keep(common, smaller size, larger size)``.  ``first(size)``
-    says how many (one at least) of the smaller set's rarest words must meet the larger one, which shows its ``other(size)`` rarest words, or
-    all.  All three take numpy arrays.
+        self.ids = np.concatenate([lists[k] for k in order]).astype(np.int64)
+        self.of = np.repeat(np.arange(len(size)), self.size)
+        bits = np.zeros((len(size), 512), bool)
+        bits[self.of, (self.ids.astype(np.uint32) * np.uint32(2654435769)) >> np.uint32(23)] = True
+        self.sig = np.packbits(bits, axis=1).view(np.uint64)
+
+    def shown(self, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """set, place and word of the first ``upto`` words of each set"""
+        place = np.arange(len(self.ids)) - self.at[self.of]
+        first = place < upto[self.of]
+        return self.of[first], place[first], self.ids[first]
+
+
+def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[k], begin[k] + 1, ... (count[k] of them) for each k"""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def _shared(x: _Block, y: _Block, a: np.ndarray, b: np.ndarray, most: int = 4_000_000) -> np.ndarray:
+    """How many words x's set a[k] and y's set b[k] share"""
+    width = max(x.ids.max(), y.ids.max()) + 1
+    known, out = y.of * width + y.ids, [np.zeros(0, np.int64)]  # in order, as words of a set are
+    cuts = np.searchsorted(np.cumsum(x.size[a]), np.arange(most, x.size[a].sum() + most, most))
+    for k in np.split(np.arange(len(a)), np.unique(cuts)):
+        if len(k):
+            n = x.size[a[k]]
+            asked = np.repeat(b[k], n) * width + x.ids[_spread(x.at[a[k]], n)]
+            hit = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
+            out.append(np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n))
+    return np.concatenate(out)
+
+
+def tiled_pairs(sets: DataFrame, keep: Callable, first: Callable, other: Callable | None = None, per_block: int = 40_000, least: int = 5_000, matches: int = 1_000_000) -> DataFrame:
+    """Pairs a < b of ``sets`` (rep, words; each set once) with ``keep(common, smaller size, larger size)``, which must hold for more in
+    common, or a smaller larger set, where it holds.  ``first(size)`` says how many (one at least) of the smaller set's rarest words must
+    meet the larger one, which shows its ``other(size)`` rarest words, or all.  All three take numpy arrays.  Blocks have up to
+    ``per_block`` sets; there are up to 8 of ``least`` or more, so that small tables keep several tasks busy.  ``matches`` of words are
+    held at a time, more only for one set that has more.
 
     Defined cases: empty sets and null words link with nothing; an empty table gives no pairs."""
     words = sets.select("rep", F.explode(F.array_distinct("words")).alias("w")).where("w is not null")
-    rare = numbered(words.groupBy("w").agg(F.count("*").alias("df")), "df", "w", name="n")
-    rows = save(words.join(rare.select("w", "n"), "w").groupBy("rep").agg(F.sort_array(F.collect_list("n")).alias("words")), "sets")  # the words of one set
-    blocks = max(1, -(-rows.count() // per_block))
+    rare = save(numbered(words.groupBy("w").agg(F.count("*").alias("df")), "df", "w", name="n").select("w", "n"), "numbers")
+    number = F.col("n").cast("int") if rare.count() < 1 << 31 else F.col("n")
+    rows = save(words.join(rare, "w").groupBy("rep").agg(F.sort_array(F.collect_list(number)).alias("words")), "sets")  # the words of one set
+    n = rows.count()
+    blocks = max(1, -(-n // per_block), min(8, n // least))
     kind = sets.schema["rep"].dataType.simpleString()
     own = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
     left = rows.withColumn("i", own).withColumn("j", F.explode(F.sequence("i", F.lit(blocks - 1))))
     right = rows.select(F.col("rep").alias("rep"), F.col("words").alias("words")).withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j"))))
 
-    def probe(x: _Block, y: _Block, n_words: int, same: bool, ties: bool) -> tuple[np.ndarray, np.ndarray]:
+    def probe(x: _Block, y: _Block, same: bool, ties: bool) -> tuple[np.ndarray, np.ndarray]:
         """Of x and y those pairs in which x's set is the smaller one, or as large if ``ties``"""
-        starts, sets_of = y.postings(n_words, y.size if other is None else other(y.size))
-        upto, marks, found_x, found_y = np.minimum(first(x.size), x.size), np.zeros(n_words, np.int64), [], []
-        for i, n in enumerate(x.size):
-            mine = x.ids[x.at[i] : x.at[i + 1]]
-            met = [sets_of[starts[w] : starts[w + 1]] for w in mine[: upto[i]]]
-            near = np.unique(np.concatenate(met))
-            size = y.size[near]
-            fits = (size > n) | ((size == n) & ((near > i) if same else ties))
-            fits &= keep(np.minimum(n, size), n, size)  # the most that they can share
-            near, size = near[fits], size[fits]
-            if not len(near):
-                continue
-            marks[mine] = 1
-            begin = np.cumsum(size) - size
-            common = np.add.reduceat(marks[y.ids[np.repeat(y.at[near] - begin, size) + np.arange(size.sum())]], begin)
-            marks[mine] = 0
-            near = near[keep(common, n, size)]
-            found_x.append(np.full(len(near), i))
-            found_y.append(near)
-        return tuple(np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_x, found_y))
+        width = len(y.size) + 1
+        met, place_y, words = y.shown(y.size if other is None else other(y.size))
+        key = words * width + met
+        order = np.argsort(key, kind="stable")
+        key, met, place_y = key[order], met[order], place_y[order]
+        owner, place, words = x.shown(np.minimum(first(x.size), x.size))
+        # y's sets are in the order of their sizes: from the first that is large enough to the last one of which x's can be enough
+        low = np.arange(1, len(x.size) + 1) if same else np.searchsorted(y.size, x.size, "left" if ties else "right")
+        sizes, at = np.unique(x.size, return_inverse=True)
+        larger = np.unique(y.size)
+        most = [larger[(larger >= n) & keep(np.full(len(larger), n), np.full(len(larger), n), np.maximum(larger, n))] for n in sizes]
+        high = np.searchsorted(y.size, np.array([m[-1] if len(m) else -1 for m in most])[at], "right")
+        begin, end = np.searchsorted(key, words * width + low[owner]), np.searchsorted(key, words * width + np.maximum(low, high)[owner])
+        some = end > begin
+        owner, place, begin, count = owner[some], place[some], begin[some], (end - begin)[some]
+        total = np.cumsum(count)
+        found, a = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+        while a < len(owner):  # whole sets of x at a time
+            b = max(np.searchsorted(total, total[a] - count[a] + matches, "right"), a + 1)
+            b = np.searchsorted(owner, owner[b], "left") if b < len(owner) and owner[b] != owner[a] else np.searchsorted(owner, owner[b - 1], "right")
+            to = _spread(begin[a:b], count[a:b])
+            i, j = np.repeat(owner[a:b], count[a:b]), met[to]
+            n, m = x.size[i], y.size[j]
+            fits = np.nonzero(keep(np.minimum(n - np.repeat(place[a:b], count[a:b]), m - place_y[to]), n, m))[0]
+            i, j, n, m = i[fits], j[fits], n[fits], m[fits]
+            p, q = x.sig[i], y.sig[j]
+            missing = [np.bitwise_count(one & ~two).sum(axis=1, dtype=np.int64) for one, two in ((p, q), (q, p))]
+            fits = keep(np.minimum(n - missing[0], m - missing[1]), n, m)
+            pair = np.unique(i[fits] * width + j[fits])
+            i, j = pair // width, pair % width
+            if len(pair):
+                fits = keep(_shared(x, y, i, j), x.size[i], y.size[j])
+                found.append((i[fits], j[fits]))
+            a = b
+        return tuple(np.concatenate(f) for f in zip(*found, strict=True))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"x": left["rep"].iloc[:0], "y": right["rep"].iloc[:0]})
-        known = np.unique(np.concatenate(left["words"].tolist() + right["words"].tolist()))
         same = left["i"].iloc[0] == left["j"].iloc[0]
-        x, y = _Block(left, known), _Block(right, known)
-        if same:
-            y = x
-        a, b = probe(x, y, len(known), same, True)
+        x = _Block(left)
+        y = x if same else _Block(right)
+        a, b = probe(x, y, same, True)
         if not same:
-            d, c = probe(y, x, len(known), False, False)
+            d, c = probe(y, x, False, False)
             a, b = np.concatenate([a, c]), np.concatenate([b, d])
         return pd.DataFrame({"x": x.rep[a], "y": y.rep[b]})
 

@@ -121,3 +121,38 @@ def test_labels_meet_documents_without_a_shuffle_of_texts(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and few == many and len(few) == 55
+
+
+def test_pairs_of_large_sets_equal_all_pairs_a_few_matches_at_a_time(spark):
+    """Sets of up to 200 words, most of them edited copies, so that sizes, places and bits all decide"""
+    from kbquarry.operators.tiled_sets import overlapping_pairs, similar_pairs
+
+    rng = random.Random(6)
+    sets: dict = {}
+    for i in range(90):
+        old = list(sets[rng.randrange(i)]) if i > 5 and rng.random() < 0.7 else []
+        kept = {w for w in old if rng.random() < rng.choice([0.5, 0.8, 1.0])}
+        sets[i] = kept | {f"w{int(rng.random() ** 2 * 900)}" for _ in range(rng.choice([1, 3, 30, 120]) if len(kept) < 120 else 1)}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "rep long, words array<string>")
+    pairs = [(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b]
+    for run, t, holds in ((similar_pairs, 0.55, lambda c, n, m: c / (n + m - c) > 0.55), (overlapping_pairs, 0.7, lambda c, n, m: c / min(n, m) > 0.7)):
+        want = sorted((a, b) for a, b, c in pairs if holds(c, len(sets[a]), len(sets[b])))
+        for how in ({"matches": 40, "least": 20}, {}):
+            assert len(want) > 10 and sorted(tuple(r) for r in run(df, t, **how).collect()) == want
+
+
+def test_a_tile_meets_many_sets_at_a_time(spark, tmp_path):
+    """What holds is asked for many pairs at a time, not set by set"""
+    import numpy as np
+
+    from kbquarry.operators.tiled_sets import tiled_pairs
+
+    def keep(c, n, m):
+        with open(tmp_path / "asked", "a") as f:
+            f.write("x")
+        return c / (n + m - c) > 0.5
+
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, [f"w{rng.randrange(60)}" for _ in range(5)]) for i in range(1_000)], "rep long, words array<string>")
+    first = lambda size: np.floor(0.5 * size).astype(np.int64) + 1
+    assert tiled_pairs(df, keep, first, first).count() and (tmp_path / "asked").stat().st_size < 100
